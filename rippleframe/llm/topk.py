@@ -23,7 +23,8 @@ from .common import BROADCAST_BYTES, materialize, read_table
 
 TILE = 2048
 K = 20
-NONE = np.iinfo(np.int64).min
+#: Below every score; its negative is a number too.
+NONE = np.iinfo(np.int64).min + 1
 
 
 def whole_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
