@@ -45,7 +45,8 @@ class PerfectHash:
         self.order = np.full(n, -1, dtype=np.int64)
         if not keys:
             return
-        b, f1, f2 = self._parts(self.digest(keys))
+        h = self.digest(keys)
+        b = self._bucket(h)
         by_bucket = np.argsort(b, kind="stable")
         cuts = np.flatnonzero(np.diff(b[by_bucket])) + 1
         groups = sorted(np.split(by_bucket, cuts), key=len, reverse=True)
@@ -57,7 +58,7 @@ class PerfectHash:
                 break
             base = 0
             while True:
-                slots = (f1[g][None, :] + (tries + base) * f2[g][None, :]) % n
+                slots = self._slot(h[g][None, :], tries + base)
                 ok = free[slots].all(axis=1)
                 srt = np.sort(slots, axis=1)
                 ok &= (srt[:, 1:] != srt[:, :-1]).all(axis=1)
@@ -79,17 +80,21 @@ class PerfectHash:
         h = xxhash.xxh3_64_intdigest
         return np.fromiter((h(k) for k in keys), dtype=np.uint64)
 
-    def _parts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        b = (h % np.uint64(self.buckets)).astype(np.int64)
-        f1 = ((h >> np.uint64(13)) % np.uint64(self.n)).astype(np.int64)
-        f2 = ((h >> np.uint64(31)) % np.uint64(max(1, self.n - 1))).astype(np.int64) + 1
-        return b, f1, f2
+    def _bucket(self, h: np.ndarray) -> np.ndarray:
+        return (h % np.uint64(self.buckets)).astype(np.int64)
+
+    def _slot(self, h: np.ndarray, displacement: np.ndarray) -> np.ndarray:
+        """A fresh hash for each displacement, so the search visits all slots."""
+        x = h ^ ((displacement.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) % np.uint64(self.n)).astype(np.int64)
 
     def slots(self, keys: list[bytes]) -> np.ndarray:
         """The key index on each key's slot; only equal bytes prove that the key is in the set."""
-        b, f1, f2 = self._parts(self.digest(keys))
-        d = self.displace[b]
-        return self.order[np.where(d < 0, -1 - d, (f1 + np.maximum(d, 0) * f2) % self.n)]
+        h = self.digest(keys)
+        d = self.displace[self._bucket(h)]
+        return self.order[np.where(d < 0, -1 - d, self._slot(h, np.maximum(d, 0)))]
 
 
 class Vocabulary:
