@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 DATE = "2024-01-01T00:00:00Z"
-_skip = re.compile(r"<!--.*?-->|<(script|style|head)\b.*?</\1\s*>", re.S | re.I)
+_skip = re.compile(r"<!--.*?-->|<(script|style|head|title)\b.*?</\1\s*>", re.S | re.I)
 _breaks = re.compile(r"<(?:br|/?p|/?div|/?h[1-6]|/?li|/?ul|/?ol|/?tr|/?article|/?nav|/?footer)\b[^>]*>", re.I)
 _tag = re.compile(r"<[^>]*>")
 _title = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
