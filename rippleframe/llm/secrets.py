@@ -86,5 +86,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     every = F.array_sort(F.concat(plain, F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    count = [F.size(F.expr(f"filter(base, s -> s.kind = {k})")).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return scanned.join(added, "rid", "left").select("doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"))
