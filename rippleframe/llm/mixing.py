@@ -110,11 +110,11 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
-def rates_of(mass: np.ndarray, gaps: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents with expected domain tokens ``mass`` after the steps so far."""
+def rates_of(mass: np.ndarray, gaps: list[np.ndarray], floor: float = 0.0) -> np.ndarray:
+    """Rates, ``floor`` at least, of documents with expected domain tokens ``mass`` after the steps so far."""
     r = np.ones(len(mass))
     for g in gaps:
-        r = np.maximum(0.0, r - mass @ g)
+        r = np.maximum(floor, r - mass @ g)
     return r
 
 
@@ -123,7 +123,7 @@ def fit_rates(post: DataFrame, domains: list[str], targets: dict[str, float], st
 
     The gradient is taken in the metric of the domains' second moments, in which a unit
     step is safe. Targets are shares of today's total; with ``cover`` of the least total
-    for which no domain has to shrink.
+    for which no domain has to shrink, and no rate then goes below 1.
     """
     k = len(domains)
     share = np.array([targets.get(d, 0.0) for d in domains])
@@ -134,7 +134,7 @@ def fit_rates(post: DataFrame, domains: list[str], targets: dict[str, float], st
             total = np.zeros(k + k * k)
             for b in batches:
                 mass = b.column(1).flatten().to_numpy().reshape(-1, k) * b.column(0).to_numpy()[:, None]
-                total[:k] += rates_of(mass, gaps) @ mass
+                total[:k] += rates_of(mass, gaps, float(cover)) @ mass
                 if second:
                     total[k:] += (mass.T @ mass).reshape(-1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
@@ -171,13 +171,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             mass = b.column(2).flatten().to_numpy().reshape(-1, k) * b.column(1).to_numpy()[:, None]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates_of(mass, gaps))], names=["doc_id", "n_tokens", "p", "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates_of(mass, gaps, float(cover)))], names=["doc_id", "n_tokens", "p", "rate"])
 
     return post.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double")
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, cover: bool = True) -> DataFrame:
-    """``docs`` with each row as often as its rate says, the fraction settled by a hash of the id."""
+    """``docs`` with each row as often as its rate says, the fraction settled by a hash of the id; with ``cover`` none goes."""
     rates = mix(docs, labelled, targets, cover=cover).select(F.col("doc_id").alias("__mix_id"), F.col("rate").alias("__mix_rate")).groupBy("__mix_id").agg(F.max("__mix_rate").alias("__mix_rate"))
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     joined = docs.join(rates, F.col("doc_id").cast("long").eqNullSafe(F.col("__mix_id")), "left")

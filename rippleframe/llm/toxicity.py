@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -343,8 +344,6 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
 def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", at: float = 0.5) -> DataFrame:
     """``docs`` without the rows scored ``at`` or more; columns as they came."""
-    import pandas as pd
-
     shared, held = docs.sparkSession.sparkContext.broadcast(net), {}
 
     @F.pandas_udf("double")
