@@ -20,3 +20,15 @@ def gaps(commits: DataFrame, planned: DataFrame, threshold: float) -> DataFrame:
     found = confidence(commits).filter(F.col("confidence") >= threshold).join(planned.select(F.col("file").alias("file_a")), "file_a", "left_semi")
     missing = found.join(planned.select(F.col("file").alias("file_b")), "file_b", "left_anti")
     return missing.groupBy(F.col("file_b").alias("file")).agg(F.max("confidence").alias("best"), F.count(F.lit(1)).alias("sources"))
+
+
+def hubs(found: DataFrame, planned: int, least: int = 3, share: float = 0.6) -> DataFrame:
+    """Of ``gaps`` rows those that ``least`` planned files, or ``share`` of them, point to."""
+    return found.filter((F.col("sources") >= least) | (F.col("sources") >= share * planned))
+
+
+def convention_pairs(commits: DataFrame, least: int = 5) -> DataFrame:
+    """file_a, file_b, together: unordered pairs in ``least`` or more commits."""
+    other = commits.select("commit_id", F.col("file").alias("file_b"))
+    pairs = commits.withColumnRenamed("file", "file_a").join(other, "commit_id").filter("file_a < file_b")
+    return pairs.groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= least)

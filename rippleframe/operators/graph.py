@@ -26,3 +26,42 @@ def test_coverage(refs: DataFrame, defs: DataFrame) -> DataFrame:
 
 def not_referenced(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return defs.select("id").join(refs.select(F.col("to_def").alias("id")), "id", "left_anti")
+
+
+def callers(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """id, caller_file: files outside a definition's own whose non-test definitions refer to it."""
+    of = lambda c: defs.select(F.col("id").alias(f"{c}_def"), F.col("source_file").alias(f"{c}_file"), F.col("is_test").alias(f"{c}_test"))
+    joined = refs.join(of("from"), "from_def").join(of("to"), "to_def").filter("NOT from_test AND from_file <> to_file")
+    return joined.select(F.col("to_def").alias("id"), F.col("from_file").alias("caller_file")).distinct()
+
+
+def two_hop(refs: DataFrame) -> DataFrame:
+    """id, second: reached by two references and neither by one nor equal."""
+    first = refs.select("to_def", F.col("from_def").alias("id"))
+    second = refs.select(F.col("from_def").alias("to_def"), F.col("to_def").alias("second"))
+    direct = refs.select(F.col("from_def").alias("id"), F.col("to_def").alias("second"))
+    return first.join(second, "to_def").filter("id <> second").select("id", "second").distinct().join(direct, ["id", "second"], "left_anti")
+
+
+def reachable_callers(refs: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """id: what reaches a seed in at most ``hops`` references; each round joins the new ones only."""
+    step = refs.select(F.col("to_def").alias("id"), "from_def")
+    frontier = seeds.select("id").join(step, "id").select(F.col("from_def").alias("id")).distinct()
+    seen = frontier
+    for _ in range(hops - 1):
+        frontier = frontier.join(step, "id").select(F.col("from_def").alias("id")).distinct().join(seen, "id", "left_anti")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def test_density(defs: DataFrame) -> DataFrame:
+    """source_file, tests, definitions, density."""
+    counts = defs.groupBy("source_file").agg(F.count_if("is_test").alias("tests"), F.count(F.lit(1)).alias("definitions"))
+    return counts.withColumn("density", F.col("tests") / F.col("definitions"))
+
+
+def blast_buckets(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """bucket, definitions, tests: definitions by number of callers (none, 1-2, 3-9, 10 and more)."""
+    n = F.coalesce("callers", F.lit(0))
+    bucket = F.when(n == 0, "none").when(n < 3, "few").when(n < 10, "some").otherwise("many")
+    return defs.join(in_degree(refs), "id", "left").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("definitions"), F.count_if("is_test").alias("tests"))
