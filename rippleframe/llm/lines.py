@@ -1,11 +1,9 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions alone.
 
-Distinct lines are signed over character shingles. The signature holds, for each of
-``BANDS * ROWS`` masks, the shingle hash nearest to the mask in xor order, a min-wise
-choice. It reads the shingles that begin with white space, a choice by content that near
-lines make alike; lines with fewer than ``FEW`` of those are also signed over all their
-shingles. Lines that agree in a band are candidates, and a candidate counts only if the
-exact Jaccard similarity of the full shingle sets reaches the threshold.
+Distinct lines are signed over all their character shingles. The signature holds, for each
+of ``BANDS * ROWS`` masks, the shingle hash nearest to the mask in xor order, a min-wise
+choice. Lines that agree in a band are candidates, and a candidate counts only if the
+exact Jaccard similarity of the shingle sets reaches the threshold.
 
 A band bucket is first compared with two of its lines in each of ``STARS`` rounds, and
 verified links are contracted by distributed union-find. What still lies in different
@@ -30,7 +28,6 @@ from .components import components
 SHINGLE = 5
 BANDS = 12
 ROWS = 5
-FEW = 8
 STARS = 2
 THRESHOLD = 0.8
 
@@ -51,11 +48,6 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return every.withColumn("key", F.when(F.col("line").rlike("\\S"), F.unhex(F.md5("line"))))
 
 
-def _starts(line: Column, n: int = SHINGLE) -> Column:
-    """Shingles that begin with white space."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(\\s.{{{n - 1}}}))"), F.lit(1))
-
-
 def _masks() -> list[int]:
     out, x = [], 0x9E3779B97F4A7C15
     for _ in range(BANDS * ROWS):
@@ -65,22 +57,15 @@ def _masks() -> list[int]:
 
 
 def signed(distinct: DataFrame) -> DataFrame:
-    """distinct(key, id, first, line), dealt by key -> the same with main, bands: one or two rows a line.
+    """distinct(key, id, first, line), dealt by key -> the same with bands: one row a line.
 
     Shingles are grouped within the partitions that hold their lines, so nothing is shuffled.
-    ``main`` marks one row of each line; the other has no line.
     """
-    starts = _starts(F.col("line"))
-
-    def tagged(kind: str, main: bool, found: Column) -> Column:
-        return F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(main).alias("main"), F.xxhash64(s).alias("h")))
-
-    few = F.when(F.size(starts) == 0, tagged("c", True, shingles(F.col("line")))).when(F.size(starts) < FEW, tagged("c", False, shingles(F.col("line"))))
-    each = distinct.select("key", "id", "first", "line", F.explode(F.concat(tagged("w", True, starts), F.coalesce(few, F.array().cast("array<struct<kind:string,main:boolean,h:bigint>>")))).alias("s"))
-    each = each.select("key", "id", "first", "line", F.col("s.kind").alias("kind"), F.col("s.main").alias("main"), F.col("s.h").alias("h"))
-    sig = each.groupBy("key", "id", "first", "line", "kind", "main").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks())))
-    bands = F.array(*(F.xxhash64("kind", F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
-    return sig.select("key", "id", "first", F.when(F.col("main"), F.col("line")).alias("line"), "main", bands.alias("bands"))
+    each = distinct.select("key", "id", "first", "line", F.explode(shingles(F.col("line"))).alias("s"))
+    each = each.select("key", "id", "first", "line", F.xxhash64("s").alias("h"))
+    sig = each.groupBy("key", "id", "first", "line").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks())))
+    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
+    return sig.select("key", "id", "first", "line", bands.alias("bands"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -114,7 +99,7 @@ def similar_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFr
     every = lines.select("id", F.explode("bands").alias("band"))
     shared = every.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("band")
     banded = materialize(every.join(shared, "band", "left_semi").withColumn("comp", F.col("id")), "line-shared")
-    texts = materialize(lines.filter("main").select("id", "line").join(banded.select("id").distinct(), "id", "left_semi"), "line-texts")
+    texts = materialize(lines.select("id", "line").join(banded.select("id").distinct(), "id", "left_semi"), "line-texts")
     spark = lines.sparkSession
     linked = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
@@ -144,7 +129,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     ).withColumn("id", F.monotonically_increasing_id())
     lines = materialize(signed(distinct), "line-signed")
     roots = similar_components(lines, threshold)
-    rooted = lines.filter("main").select("key", "id", "first").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", F.coalesce("root", "id").alias("root"), "first")
+    rooted = lines.select("key", "id", "first").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", F.coalesce("root", "id").alias("root"), "first")
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     of = materialize(rooted.join(best, "root").select("key", F.col("root").alias("component"), F.col("best.rid").alias("k_rid"), F.col("best.line_no").alias("k_no")), "line-keepers")
     kept = F.col("key").isNull() | ((F.col("rid") == F.col("k_rid")) & (F.col("line_no") == F.col("k_no")))
