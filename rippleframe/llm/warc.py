@@ -1,5 +1,9 @@
 """WARC derivatives: metadata and plain-text conversion records of response records.
 
+The metadata record keeps every header of its source: the HTTP status line, each HTTP
+header line and each WARC header line, block digest included, in their order. A folded
+header is kept as one line.
+
 Defined results: a null page body counts as empty; a null url gives an empty target; rows
 that repeat give repeated records with equal ids; an empty table gives an empty result.
 """
@@ -46,19 +50,35 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """Records of uncompressed WARC bytes: (headers, block)."""
-    out, at = [], 0
+def fields(lines: list[str]) -> list[tuple[str, str]]:
+    """Names and values of header lines, repeated ones too; continuation lines are folded in."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+        elif line.strip():
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Records of uncompressed WARC bytes: (header fields, block)."""
+    at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         version, *lines = data[at:end].decode().split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(line.split(": ", 1) for line in lines)
-        size = int(headers["Content-Length"])
-        out.append((headers, data[end + 4 : end + 4 + size]))
+        found = fields(lines)
+        size = int(next(v for k, v in found if k.lower() == "content-length"))
+        yield found, data[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
-    return out
+
+
+def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """Records of uncompressed WARC bytes: (headers, block), of a repeated header the last."""
+    return [(dict(found), block) for found, block in records(data)]
 
 
 def response(url: str | None, body: str | None, date: str = DATE) -> bytes:
@@ -72,20 +92,31 @@ def response(url: str | None, body: str | None, date: str = DATE) -> bytes:
 
 
 def derive(source: bytes) -> list[tuple[str, str, str, bytes]]:
-    """(type, record id, refers-to, record bytes) of the metadata and the conversion of a response."""
-    (headers, block), *_ = parse(source)
-    http, payload = block.split(b"\r\n\r\n", 1)
-    body, of, url = payload.decode("utf-8", "replace"), headers["WARC-Record-ID"], headers["WARC-Target-URI"]
+    """(type, record id, refers-to, record bytes) of the metadata and the conversion of every response in ``source``."""
+    out = []
+    for found, block in records(source):
+        if {k.lower(): v for k, v in found}.get("warc-type") == "response":
+            out += _derive_one(found, block)
+    return out
+
+
+def _derive_one(found: list[tuple[str, str]], block: bytes) -> list[tuple[str, str, str, bytes]]:
+    headers = {k.lower(): v for k, v in found}
+    http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+    status, *http_lines = http.decode(errors="replace").split("\r\n")
+    body, of, url, date = payload.decode("utf-8", "replace"), headers["warc-record-id"], headers.get("warc-target-uri", ""), headers["warc-date"]
     text = plain_text(body).encode()
     title = _title.search(body)
     links = [f"outlink: {' '.join(x.split())}" for x in _link.findall(body)]
-    about = "\r\n".join([f"title: {' '.join(html.unescape(title[1]).split()) if title else ''}", f"source-payload-digest: {headers['WARC-Payload-Digest']}", f"source-http: {http.decode(errors='replace').splitlines()[0]}", *links, ""]).encode()
+    kept = [f"source-{kind}-header: {k}: {v}" for kind, group in (("http", fields(http_lines)), ("warc", found)) for k, v in group]
+    about = "\r\n".join([f"title: {' '.join(html.unescape(title[1]).split()) if title else ''}", f"source-payload-digest: {headers.get('warc-payload-digest', '')}", f"source-http: {status}", *kept, *links, ""]).encode()
     out = []
     for kind, kind_type, data in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", text)):
-        own = record_id(kind, url, payload)
+        # A source with an id of its own gives ids of its own, so equal pages of one input stay apart.
+        own = record_id(kind, url, payload) if of == record_id("response", url, payload) else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {of}')}>"
         out.append((kind, own, of, record(
-            [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", of), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", headers["WARC-Date"]),
-             ("WARC-Target-URI", url), ("WARC-Date", headers["WARC-Date"]), ("WARC-Block-Digest", digest(data)), ("Content-Type", kind_type)], data)))
+            [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", of), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date),
+             ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Block-Digest", digest(data)), ("Content-Type", kind_type)], data)))
     return out
 
 
