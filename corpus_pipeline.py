@@ -27,7 +27,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as their fitted rates say, at the least total for which no domain shrinks."""
+    """Rows as often as their fitted rates say, none less than once, at the target shares of quality."""
     return mixing.resample(docs, mixing.quality_domains(spark, sf_dir))
 
 

@@ -5,7 +5,9 @@ each document's posterior over domains. With n tokens and posteriors p, document
 n*p to the domain totals at rate 1; nonnegative rates r are fitted by projected gradient
 on the squared gap between the expected totals and the targets. A step depends on the
 corpus only through the domain totals, so an iteration is one distributed sum, and a
-document's rate follows from the gaps of the steps so far.
+document's rate follows from the gaps of the steps so far. The fit goes on until the
+shares are within ``TOLERANCE`` of the targets. If they cannot be reached, or not in
+``STEPS`` steps, the best rates found are returned with a warning that gives both shares.
 
 Defined results: a null or blank text has no tokens and rate 1; rows that repeat each have
 their rate; without labels of two domains there is nothing to mix and rates are 1; an
@@ -15,6 +17,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -27,7 +30,10 @@ from .common import materialize, read_table
 
 DIM = 1 << 13
 TRAIN_DOCS = 3000
-STEPS = 12
+#: Most steps of a fit; one that converges takes few.
+STEPS = 200
+#: Largest gap between a share and its target at which a fit ends.
+TOLERANCE = 1e-6
 MEMO_WORDS = 200_000
 #: Shares of quality-0 and quality-1 text.
 TARGETS = {"0": 0.15, "1": 0.85}
@@ -110,8 +116,19 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
+def shares_of(domains: list[str], targets: dict[str, float]) -> np.ndarray:
+    share = np.array([targets.get(d, 0.0) for d in domains])
+    return share / share.sum() if share.sum() > 0 else np.full(len(domains), 1 / len(domains))
+
+
+def mass_of(tokens: pa.Array, p: pa.Array, share: np.ndarray, cover: bool) -> np.ndarray:
+    """Expected domain tokens of each document; with ``cover``, what they exceed its tokens at the target shares by."""
+    n = tokens.to_numpy()[:, None]
+    return n * (p.flatten().to_numpy().reshape(-1, len(share)) - (share if cover else 0.0))
+
+
 def rates_of(mass: np.ndarray, gaps: list[np.ndarray], floor: float = 0.0) -> np.ndarray:
-    """Rates, ``floor`` at least, of documents with expected domain tokens ``mass`` after the steps so far."""
+    """Rates, ``floor`` at least, of documents with ``mass_of`` after the steps so far."""
     r = np.ones(len(mass))
     for g in gaps:
         r = np.maximum(floor, r - mass @ g)
@@ -122,40 +139,57 @@ def fit_rates(post: DataFrame, domains: list[str], targets: dict[str, float], st
     """The steps' gaps, from which ``rates_of`` gives every rate. ``post`` has to be a written table.
 
     The gradient is taken in the metric of the domains' second moments, in which a unit
-    step is safe. Targets are shares of today's total; with ``cover`` of the least total
-    for which no domain has to shrink, and no rate then goes below 1.
+    step is safe; once rates lie at the floor, also in the metric of the others' moments, in
+    which steps are longer. A pass tries several steps and the best is kept. Targets are
+    shares of today's total; with ``cover`` no rate goes below 1 and the total is free to grow.
     """
     k = len(domains)
-    share = np.array([targets.get(d, 0.0) for d in domains])
-    share = share / share.sum() if share.sum() > 0 else np.full(k, 1 / k)
+    share, floor = shares_of(domains, targets), float(cover)
+
+    def sums(gaps: list[np.ndarray], tries: list[np.ndarray]) -> np.ndarray:
+        """For each try: the mass, the domain tokens and the second moments of documents above the floor; last, the moments of all."""
+        wide = 2 * k + k * k
 
-    def sums(gaps: list[np.ndarray], second: bool) -> np.ndarray:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k + k * k)
+            total = np.zeros(len(tries) * wide + k * k)
             for b in batches:
-                mass = b.column(1).flatten().to_numpy().reshape(-1, k) * b.column(0).to_numpy()[:, None]
-                total[:k] += rates_of(mass, gaps, float(cover)) @ mass
-                if second:
-                    total[k:] += (mass.T @ mass).reshape(-1)
+                mass, tokens = mass_of(b.column(0), b.column(1), share, cover), mass_of(b.column(0), b.column(1), share, False)
+                r = rates_of(mass, gaps, floor)
+                for t, g in enumerate(tries):
+                    new = np.maximum(floor, r - mass @ g)
+                    free = mass[new > floor]
+                    total[t * wide : (t + 1) * wide] += np.concatenate([new @ mass, new @ tokens, (free.T @ free).reshape(-1)])
+                total[len(tries) * wide :] += (mass.T @ mass).reshape(-1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
 
         rows = post.select("n_tokens", "p").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(k + k * k)
+        out = np.zeros(len(tries) * wide + k * k)
         for i, x in rows:
             out[i] = x
         return out
 
-    first = sums([], True)
-    now, inverse = first[:k], np.linalg.pinv(first[k:].reshape(k, k))
-    want = share * now.sum()
-    if cover and (share > 0).all():
-        want = share * (now / share).max()
+    def parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return x[:k] - want, x[k : 2 * k], np.linalg.pinv(x[2 * k :].reshape(k, k), rcond=1e-9)
+
+    first = sums([], [np.zeros(k)])
+    inverse = np.linalg.pinv(first[-k * k :].reshape(k, k), rcond=1e-9)
+    want = np.zeros(k) if cover else share * first[k : 2 * k].sum()
+    gap, now, free = parts(first[: -k * k])
     gaps: list[np.ndarray] = []
     for _ in range(steps):
-        if np.abs(now - want).max() <= 1e-6 * max(1.0, want.sum()):
+        if np.abs(gap).max() <= TOLERANCE * now.sum():
+            return gaps
+        step, longer = inverse @ gap, free @ gap
+        tries = [step, 2 * step, 4 * step, longer, longer / 2]
+        found = [parts(x) for x in sums(gaps, tries)[: -k * k].reshape(len(tries), -1)]
+        best = min(range(len(tries)), key=lambda t: found[t][0] @ inverse @ found[t][0])
+        if found[best][0] @ inverse @ found[best][0] >= (1 - 1e-6) * (gap @ inverse @ gap):
             break
-        gaps.append(inverse @ (now - want))
-        now = sums(gaps, False)[:k]
+        gaps.append(tries[best])
+        gap, now, free = found[best]
+    if np.abs(gap).max() > TOLERANCE * now.sum():
+        reached = ", ".join(f"{d}: {x:.4f} of {y:.4f}" for d, x, y in zip(domains, now / now.sum(), share, strict=True))
+        warnings.warn(f"mixing stopped after {len(gaps)} steps short of its targets; shares reached {reached}; largest gap {np.abs(gap).max() / now.sum():.2e} of the tokens", stacklevel=2)
     return gaps
 
 
@@ -166,11 +200,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), F.array(F.lit(1.0)).alias("p"), F.lit(1.0).alias("rate"))
     post = materialize(posteriors(docs, classifier), "mix-posteriors")
     gaps = fit_rates(post, classifier.domains, targets or TARGETS, steps, cover)
-    k = len(classifier.domains)
+    share = shares_of(classifier.domains, targets or TARGETS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mass = b.column(2).flatten().to_numpy().reshape(-1, k) * b.column(1).to_numpy()[:, None]
+            mass = mass_of(b.column(1), b.column(2), share, cover)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates_of(mass, gaps, float(cover)))], names=["doc_id", "n_tokens", "p", "rate"])
 
     return post.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double")
