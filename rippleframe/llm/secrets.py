@@ -78,13 +78,26 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every document."""
-    scanned = scan(read_table(spark, sf_dir, "documents"))
-    added = find_secrets(scanned).filter("kind = 'token' AND live").groupBy("rid").agg(
-        F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("added")
+def verdicts(scanned: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, ownership for every row of ``scan``.
+
+    ``ownership`` has kind, start, end, n_owners, n_repos and live of every candidate span, base
+    spans and copied tokens too, in the order of their starts.
+    """
+    owned = find_secrets(scanned).groupBy("rid").agg(
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repos", "live"))).alias("owned")
     )
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    every = F.array_sort(F.concat(plain, F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    live = F.filter("owned", lambda s: (s["kind"] == KINDS[3]) & s["live"])
+    added = F.transform(live, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
+    every = F.array_sort(F.concat(plain, F.coalesce(added, F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    said = F.transform("owned", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"], s["n_owners"], s["n_repos"], F.when(s["live"], "live").otherwise("copied")))
     count = [F.size(F.expr(f"filter(base, s -> s.kind = {k})")).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return scanned.join(added, "rid", "left").select("doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"))
+    return scanned.join(owned, "rid", "left").select(
+        "doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.coalesce(F.array_join(said, ","), F.lit("")).alias("ownership")
+    )
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, ownership for every document."""
+    return verdicts(scan(read_table(spark, sf_dir, "documents")))
