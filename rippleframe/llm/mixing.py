@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import Encoder, blocks_of, share_vocabulary, slices
 from .common import materialize, read_table
 
 DIM = 1 << 13
@@ -48,29 +49,28 @@ class Classifier:
         self.domains, self.w, self.b = domains, np.zeros((DIM, len(domains))), np.zeros(len(domains))
         self.memo: dict[str, int] = {}
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, int]:
+    def counts(self, text: str | None) -> np.ndarray:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         memo, found = self.memo, _find(text or "")
         for w in set(found).difference(memo):
             memo[w] = zlib.crc32(w.encode("utf-8", "replace")) % DIM
-        return np.fromiter(map(memo.__getitem__, found), np.int64, len(found)), len(found)
+        return np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
 
     def _logits(self, x: np.ndarray) -> np.ndarray:
         return self.b + (self.w[x].mean(axis=0) * 20 if len(x) else 0)
 
-    def posterior(self, text: str | None) -> tuple[np.ndarray, int]:
-        x, n = self.counts(text)
-        z = self._logits(x)
+    def posterior(self, text: str | None) -> np.ndarray:
+        z = self._logits(self.counts(text))
         z = np.exp(z - z.max())
-        return z / z.sum(), n
+        return z / z.sum()
 
     def fit(self, texts: list[str], domains: list[str], epochs: int = 5, seed: int = 3) -> Classifier:
         r, g2 = np.random.default_rng(seed), np.full_like(self.w, 1e-6)
         y = [self.domains.index(d) for d in domains]
         share = np.bincount(y, minlength=len(self.domains)) / max(1, len(y))
         self.b = np.log(share + 1e-6)
-        data = [self.counts(t)[0] for t in texts]
+        data = [self.counts(t) for t in texts]
         for _ in range(epochs):
             for k in r.permutation(len(data)):
                 x = data[k]
@@ -102,15 +102,18 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, train_docs: int = TRAIN
 
 
 def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """doc_id, n_tokens, p array<double>."""
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    """doc_id, n_tokens, p array<double>; tokens are those of ``bpe``."""
+    shared, vocabulary = docs.sparkSession.sparkContext.broadcast(classifier), share_vocabulary(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary.value)
         for b in batches:
-            for part in (b.slice(at, 512) for at in range(0, b.num_rows, 512)):
-                got = [shared.value.posterior(t) for t in part.column(1).to_pylist()]
+            for part in slices(b):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                # Blank texts have no tokens.
+                counts = [n if t.strip() else 0 for x, y in blocks_of(texts) for t, n in zip(texts[x:y], encoder.counts(texts[x:y]), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([n for _, n in got], pa.int64()), pa.array([p for p, _ in got], pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"]
+                    [part.column(0), pa.array(counts, pa.int64()), pa.array([shared.value.posterior(t) for t in texts], pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"]
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")

@@ -44,3 +44,15 @@ def test_shares_out_of_reach_are_reported(spark, tmp_path):
     spark.createDataFrame([(10, [0.5, 0.5]), (20, [0.6, 0.4])], "n_tokens long, p array<double>").write.parquet(f"{tmp_path}/post")
     with pytest.warns(UserWarning, match="short of its targets"):
         fit_rates(spark.read.parquet(f"{tmp_path}/post"), ["0", "1"], {"0": 0.15, "1": 0.85})
+
+
+def test_texts_without_spaces_weigh_their_tokens(spark):
+    from rippleframe.llm.bpe import Encoder, Vocabulary
+    from rippleframe.llm.mixing import Classifier, posteriors
+
+    texts = ["これは空白のない長い文章です。" * 50, "a few plain words", "x" * 2000, " \n ", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["n_tokens"] for x in posteriors(docs, Classifier(["0", "1"])).collect()}
+    want = Encoder(Vocabulary.load()).counts([t or "" for t in texts])
+    assert [got[k] for k in range(3)] == want[:3] and got[0] > 100
+    assert [got[k] for k in range(3, 6)] == [0, 0, 0]
