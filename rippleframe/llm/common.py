@@ -1,4 +1,4 @@
-"""Shared helpers: reading tables, shared scratch tables, sizes of frames."""
+"""Shared helpers: reading tables, shared scratch tables, names that clash with none."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINT_DIR = "file:///tmp/checkpoints"
 
 #: Most bytes of one broadcast value; larger inputs go in blocks or through a shuffle.
@@ -21,6 +21,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return (root or LOCAL_CHECKPOINT_DIR).rstrip("/")
 
 
@@ -28,19 +30,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a frame from ``materialize`` once nothing reads it any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the tables behind frames from ``materialize`` once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            df._scratch_path = None
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until none of them is a column of ``df`` (names compare without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

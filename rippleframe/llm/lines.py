@@ -1,28 +1,41 @@
-"""Fuzzy line dedup by MinHash, with DataFrame functions alone.
+"""Fuzzy line dedup by MinHash.
 
-Distinct lines are signed over all their character shingles. The signature holds, for each
-of ``BANDS * ROWS`` masks, the shingle hash nearest to the mask in xor order, a min-wise
-choice. Lines that agree in a band are candidates, and a candidate counts only if the
-exact Jaccard similarity of the shingle sets reaches the threshold.
+Distinct lines are signed over all their character shingles: for each of ``BANDS * ROWS``
+masks, the least shingle hash under xor with the mask. Lines that agree in all rows of a
+band are candidates. Candidates whose signatures differ in more than ``MOST_APART`` of
+``CHECKED`` values are passed over: at a similarity of 0.8 that many differ with a chance
+below one in ten thousand. The rest count only if the exact Jaccard similarity of their
+shingle sets reaches the threshold.
 
 A band bucket is first compared with two of its lines in each of ``STARS`` rounds, and
 verified links are contracted by distributed union-find. What still lies in different
 components of a bucket is then compared pair by pair, so no candidate is left out, yet
-a bucket of near copies costs about its size. Of each component the first line by
-document id and position stays.
+a bucket of near copies costs about its size. Pairs that were refuted are not compared
+again. Of each component the first line by document id and position stays.
+
+Signing and verifying run as numpy and Python in Arrow batches of bounded size, the rest
+with DataFrame functions; the README gives the figures of the form with DataFrame
+functions alone, which did not fit its limits.
 
 Defined results: a null text counts as empty (one empty line); lines with no character
-but white space are never duplicates; lines shorter than a shingle are their own single
-shingle; a null id ranks last; an empty table gives an empty result. Two lines at
-similarity s meet in a band with probability about ``1 - (1 - s**ROWS)**BANDS``.
+but white space are never duplicates and stay; lines shorter than a shingle are their own
+single shingle; a null id ranks last; rows that repeat both id and text are decided once
+and get the same result, rows that repeat an id with other texts rank by a hash of the
+text; an empty table gives an empty result; only the two named columns are read, so extra
+columns of any name change nothing. Two lines at similarity s meet in a band with a chance
+of about ``1 - (1 - s**ROWS)**BANDS``, 0.991 at 0.8.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import discard, materialize, read_table
 from .components import components
 
 SHINGLE = 5
@@ -30,126 +43,236 @@ BANDS = 12
 ROWS = 5
 STARS = 2
 THRESHOLD = 0.8
+#: Signature values whose low four bits are kept, in two words, and the most that may differ.
+CHECKED = 32
+MOST_APART = 15
+#: Characters that are signed at a time.
+BLOCK_CHARS = 1 << 18
+
+_U64 = np.uint64
 
 
-def shingles(line: Column, n: int = SHINGLE) -> Column:
-    return F.when(F.length(line) < n, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+def _place() -> Column:
+    """What lines rank by."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "line_no")
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, t: ``docs`` has to be a scan or a written table, so that rows keep their numbers."""
+def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th, t: a row is known by its id and a hash of its text, whatever the partitions."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return rows.withColumn("rid", F.monotonically_increasing_id())
+    return rows.select("doc_id", F.xxhash64("t").alias("th"), "t")
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, line_no, line, key (null for blank lines)."""
-    every = numbered(docs, id_col, text_col).select("rid", "doc_id", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
+    """doc_id, th, line_no, line, key (null for blank lines)."""
+    every = rows_of(docs, id_col, text_col).select("doc_id", "th", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
     return every.withColumn("key", F.when(F.col("line").rlike("\\S"), F.unhex(F.md5("line"))))
 
 
-def _masks() -> list[int]:
-    out, x = [], 0x9E3779B97F4A7C15
-    for _ in range(BANDS * ROWS):
-        x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        out.append(x - 2**64 if x >= 2**63 else x)
-    return out
+def _masks() -> np.ndarray:
+    return np.random.default_rng(20_011).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U64(27))) * _U64(0x94D049BB133111EB)
+    return x ^ (x >> _U64(31))
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """The signature of each line, of one character at least: (lines, BANDS * ROWS) of uint32."""
+    sizes = np.array([len(x) for x in lines], dtype=np.int64)
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + _U64(1)
+    h = np.zeros(len(chars), dtype=np.uint64)
+    for k in range(SHINGLE):
+        # Lines that are shorter than a shingle have their only one at their start.
+        h[: len(chars) - k] = h[: len(chars) - k] * _U64(0x100000001B3) + chars[k:]
+    counts = np.maximum(sizes - SHINGLE + 1, 1)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    for i in np.flatnonzero(sizes < SHINGLE):
+        own = 0
+        for c in chars[begins[i] : ends[i]].tolist():
+            own = (own * 0x100000001B3 + c) % 2**64
+        h[begins[i]] = own
+    starts = np.cumsum(counts) - counts
+    at = np.repeat(begins - starts, counts) + np.arange(counts.sum())
+    short = (_scrambled(h[at]) >> _U64(32)).astype(np.uint32)
+    return np.stack([np.minimum.reduceat(short ^ m, starts) for m in _masks()], axis=1)
+
+
+def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = batch.column(1).to_pylist()
+        cuts, held = [0], 0
+        for k, line in enumerate(lines):
+            held += len(line)
+            if held >= BLOCK_CHARS or k + 1 == len(lines):
+                cuts.append(k + 1)
+                held = 0
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            sig = signatures(lines[a:b]).astype(np.uint64)
+            bands = np.zeros((b - a, BANDS), dtype=np.uint64)
+            for r in range(ROWS):
+                bands = _scrambled(bands * _U64(0x9E3779B97F4A7C15) + sig[:, r::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64))
+            low = (sig[:, :CHECKED] & _U64(15)).reshape(b - a, 2, 16) << (_U64(4) * np.arange(16, dtype=np.uint64))
+            words = np.bitwise_or.reduce(low, axis=2).view(np.int64)
+            flat = pa.array(bands.view(np.int64).reshape(-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists, pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], names=["id", "line", "first", "bands", "s0", "s1"])
+
+
+_FIRST = "struct<no_id:boolean,doc_id:bigint,th:bigint,line_no:int>"
 
 
 def signed(distinct: DataFrame) -> DataFrame:
-    """distinct(key, id, first, line), dealt by key -> the same with bands: one row a line.
+    """distinct(id, line, first) -> the same with bands, s0 and s1."""
+    return distinct.select("id", "line", "first").mapInArrow(_signed, f"id long, line string, first {_FIRST}, bands array<long>, s0 long, s1 long")
+
+
+def shingle_set(line: str) -> set[str]:
+    return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
 
-    Shingles are grouped within the partitions that hold their lines, so nothing is shuffled.
-    """
-    each = distinct.select("key", "id", "first", "line", F.explode(shingles(F.col("line"))).alias("s"))
-    each = each.select("key", "id", "first", "line", F.xxhash64("s").alias("h"))
-    sig = each.groupBy("key", "id", "first", "line").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks())))
-    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
-    return sig.select("key", "id", "first", "line", bands.alias("bands"))
+
+def _verify(threshold: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, one = None, set()
+        for batch in batches:
+            b_ids, lines_a, lines_b = (batch.column(k).to_pylist() for k in range(3))
+            near = np.zeros(batch.num_rows, dtype=bool)
+            for k, (b, x, y) in enumerate(zip(b_ids, lines_a, lines_b, strict=True)):
+                if b != name:
+                    name, one = b, shingle_set(y)
+                if threshold * len(one) > max(len(x) - SHINGLE + 1, 1):
+                    continue
+                other = shingle_set(x)
+                common = len(one & other)
+                near[k] = common >= threshold * (len(one) + len(other) - common)
+            hit = batch.filter(pa.array(near))
+            yield pa.RecordBatch.from_arrays([hit.column(3), hit.column(4)], names=["a", "b"])
+
+    return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """pairs(a, b) whose lines are similar enough."""
+    """pairs(a, b, comp_a, comp_b) -> the components (a, b) whose lines are similar enough."""
     side = lambda end: texts.select(F.col("id").alias(end), F.col("line").alias(f"line_{end}"))
-    sets = F.array(F.struct(*(F.array_distinct(shingles(F.col(f"line_{end}"))).alias(v) for end, v in (("a", "x"), ("b", "y")))))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("b", "line_a", "line_b", "comp_a", "comp_b").mapInArrow(_verify(threshold), "a long, b long")
+
 
-    def similar(s: Column) -> Column:
-        n, m = F.size(s["x"]), F.size(s["y"])
-        common = F.size(F.array_intersect(s["x"], s["y"]))
-        return (F.least(n, m) >= threshold * F.greatest(n, m)) & (common >= threshold * (n + m - common))
+def _apart(x: Column, y: Column) -> Column:
+    """In how many of 16 four-bit values two words differ."""
+    z = x.bitwiseXOR(y)
+    z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+    z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+    return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
 
-    # Inside the lambda each shingle set is built once a pair.
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.exists(sets, similar)).select("a", "b")
+
+def _close(x: str, y: str) -> Column:
+    return _apart(F.col(f"{x}s0"), F.col(f"{y}s0")) + _apart(F.col(f"{x}s1"), F.col(f"{y}s1")) <= MOST_APART
 
 
 def _open(banded: DataFrame, seed: int) -> DataFrame:
     """Buckets that hold several components: band and two of its lines."""
     order = F.xxhash64("id", F.lit(seed))
-    return banded.groupBy("band").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", order).alias("p"), F.max_by("id", order).alias("q")
-    ).filter("lo <> hi").select("band", "p", "q")
+    line = F.struct("id", "comp", "s0", "s1")
+    return banded.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(line, order).alias("p"), F.max_by(line, order).alias("q")).filter("lo <> hi")
+
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """id, comp, o.id, o.comp -> a, b, comp_a, comp_b with a < b."""
+    first = F.col("id") < F.col("o.id")
+    pick = lambda x, y: (F.when(first, F.col(x)).otherwise(F.col(y)), F.when(first, F.col(y)).otherwise(F.col(x)))
+    (a, b), (ca, cb) = pick("id", "o.id"), pick("comp", "o.comp")
+    return pairs.select(a.alias("a"), b.alias("b"), ca.alias("comp_a"), cb.alias("comp_b")).distinct()
 
-def _contracted(banded: DataFrame, roots: DataFrame) -> DataFrame:
-    return banded.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("comp"))
+
+def _candidates(banded: DataFrame, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of a round, and the table it holds, if any."""
+    unlike = F.col("comp") != F.col("o.comp")
+    if seed < STARS:
+        near = banded.join(_open(banded, seed).select("band", "p", "q"), "band").select("id", "comp", "s0", "s1", F.explode(F.array_distinct(F.array("p", "q"))).alias("o"))
+        return _ordered(near.filter(unlike & _close("", "o."))), None
+    held = materialize(banded.join(_open(banded, seed).select("band"), "band", "left_semi"), "line-rest")
+    other = held.select("band", F.struct("id", "comp", "s0", "s1").alias("o"))
+    return _ordered(held.join(other, "band").filter((F.col("id") < F.col("o.id")) & unlike & _close("", "o."))), held
 
 
 def similar_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """lines as ``signed`` gives them, written -> (node, root): linked lines with the smallest id they reach."""
     every = lines.select("id", F.explode("bands").alias("band"))
-    shared = every.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("band")
-    banded = materialize(every.join(shared, "band", "left_semi").withColumn("comp", F.col("id")), "line-shared")
+    shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    banded = materialize(every.join(shared, "band", "left_semi").join(lines.select("id", "s0", "s1"), "id").withColumn("comp", F.col("id")), "line-shared")
     texts = materialize(lines.select("id", "line").join(banded.select("id").distinct(), "id", "left_semi"), "line-texts")
-    spark = lines.sparkSession
-    linked = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
+    roots = lines.sparkSession.createDataFrame([], "node long, root long")
+    tried = None
     for seed in range(STARS + 1):
+        pairs, held = _candidates(banded, seed)
+        pairs = materialize(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "line-pairs")
+        found = materialize(_verified(pairs, texts, threshold).distinct(), "line-links")
+        moved = components(found, "lines")
+        discard(held, found)
+        top = moved.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        known = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        # A component that has not moved yet is a single line.
+        both = materialize(known.unionByName(moved.join(roots.select("node"), "node", "left_anti")), "line-roots")
+        discard(roots)
+        roots = both
         if seed < STARS:
-            ends = F.explode(F.array_distinct(F.array("p", "q"))).alias("other")
-            near = banded.join(_open(banded, seed), "band").select("id", ends).filter("id <> other")
-            pairs = near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+            merged = moved.select(F.col("node").alias("comp"), "root")
+            again = materialize(banded.join(merged, "comp", "left").select("band", "id", "s0", "s1", F.coalesce("root", "comp").alias("comp")), "line-shared")
+            compared = pairs if tried is None else materialize(tried.unionByName(pairs), "line-tried")
+            discard(banded, *((tried, pairs) if tried is not None else ()))
+            banded, tried = again, compared
         else:
-            held = materialize(banded.join(_open(banded, seed).select("band"), "band", "left_semi"), "line-rest")
-            other = held.select("band", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = held.join(other, "band").filter("id < b AND comp <> comp_b").select(F.col("id").alias("a"), "b")
-        found = materialize(_verified(pairs.distinct(), texts, threshold), "line-links")
-        if found.isEmpty():
-            continue
-        linked = linked.unionByName(found)
-        roots = components(linked, "lines")
-        banded = _contracted(banded, roots)
+            discard(banded, tried, pairs)
+        discard(moved)
+    discard(texts)
     return roots
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """rid, doc_id, line_no, component (null for blank lines), kept: one row a line, of rows as ``numbered`` counts them."""
-    every = lines_of(docs, id_col, text_col)
-    distinct = every.filter("key IS NOT NULL").groupBy("key").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "line_no")).alias("first"), F.first("line").alias("line")
-    ).withColumn("id", F.monotonically_increasing_id())
-    lines = materialize(signed(distinct), "line-signed")
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """key, component, first (of the line), best (first line of the component): a written table, one row a distinct line."""
+    every = lines_of(docs, id_col, text_col).filter("key IS NOT NULL")
+    distinct = every.groupBy("key").agg(F.min(_place()).alias("first"), F.first("line").alias("line"))
+    lines = materialize(signed(distinct.withColumn("id", F.monotonically_increasing_id())), "line-signed")
     roots = similar_components(lines, threshold)
-    rooted = lines.select("key", "id", "first").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", F.coalesce("root", "id").alias("root"), "first")
-    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    of = materialize(rooted.join(best, "root").select("key", F.col("root").alias("component"), F.col("best.rid").alias("k_rid"), F.col("best.line_no").alias("k_no")), "line-keepers")
-    kept = F.col("key").isNull() | ((F.col("rid") == F.col("k_rid")) & (F.col("line_no") == F.col("k_no")))
-    return every.select("rid", "doc_id", "line_no", "key").join(of, "key", "left").select("rid", "doc_id", "line_no", "component", kept.alias("kept"))
-
-
-def rebuild(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, n_lines, n_kept, text: the documents of their kept lines."""
-    gone = decided.filter("NOT kept").groupBy("rid").agg(F.collect_set("line_no").alias("gone"))
-    rows = numbered(docs, id_col, text_col).join(gone, "rid", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    ls = F.split("t", "\n", -1)
-    whole = F.array(F.struct(ls.alias("ls"), F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "gone").alias("at")))
+    rooted = lines.select("id", F.unhex(F.md5("line")).alias("key"), "first").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    rooted = rooted.select("key", F.coalesce("root", "id").alias("component"), "first")
+    best = rooted.groupBy("component").agg(F.min("first").alias("best"))
+    out = materialize(rooted.join(best, "component").select("key", "component", "first", "best"), "line-classes")
+    discard(lines, roots)
+    return out
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, line_no, component (null for blank lines), kept: one row a line."""
+    every = lines_of(docs, id_col, text_col).drop("line")
+    joined = every.join(classes(docs, id_col, text_col, threshold).select("key", "component", "best"), "key", "left")
+    kept = F.col("key").isNull() | (_place() == F.col("best"))
+    return joined.select("doc_id", "line_no", "component", kept.alias("kept"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_lines, n_kept, text: the documents of their blank lines and the first line of each component."""
+    found = classes(docs, id_col, text_col, threshold)
+    # One row a component; a document's list is no longer than the document.
+    kept = found.filter("first = best").groupBy(F.col("best.doc_id").alias("k_id"), F.col("best.th").alias("k_th")).agg(F.collect_list("best.line_no").alias("held"))
+    rows = rows_of(docs, id_col, text_col).join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left")
+    parts = F.array(F.struct(F.split("t", "\n", -1).alias("ls"), F.coalesce("held", F.array().cast("array<int>")).alias("held")))
+
+    def lines_left(s: Column) -> Column:
+        blank = F.filter(F.sequence(F.lit(0), F.size(s["ls"]) - 1), lambda i: ~F.get(s["ls"], i).rlike("\\S"))
+        return F.transform(F.array_sort(F.concat(s["held"], blank)), lambda i: F.get(s["ls"], i))
+
     # Inside the lambda each text is split once, not once a line.
-    left = F.transform(whole, lambda s: F.array_join(F.transform(s["at"], lambda i: F.get(s["ls"], i)), "\n"))
-    text = F.when(F.size("gone") == 0, F.col("t")).otherwise(F.get(left, 0))
-    n = F.size(ls)
-    return rows.select("rid", "doc_id", n.cast("long").alias("n_lines"), (n - F.size("gone")).cast("long").alias("n_kept"), text.alias("text"))
+    left = F.transform(parts, lines_left)
+    out = rows.select("doc_id", F.size(F.split("t", "\n", -1)).cast("long").alias("n_lines"), F.get(left, 0).alias("left"))
+    return out.select("doc_id", "n_lines", F.size("left").cast("long").alias("n_kept"), F.array_join("left", "\n").alias("text"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_kept, text_sha256 of what is left, for every document."""
-    docs = read_table(spark, sf_dir, "documents")
-    return rebuild(docs, decide(docs)).select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
+    return dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))

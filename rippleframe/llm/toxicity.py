@@ -5,17 +5,21 @@ character n-grams, so unseen words built from telling pieces still tell. Words a
 windows of ``WINDOW`` at a stride of half of it; every window of the whole text is scored
 and a document's logit is that of its worst window.
 
-Training (on the driver, by seed): at most ``train_docs`` labelled rows, taken by hash of
+Training (in one task, by seed): at most ``train_docs`` labelled rows, taken by hash of
 the id, two clean ones for each toxic one where there are as many; the gradient goes
-through each document's worst window.
+through each document's worst window. The driver gets the weights alone, a few MB.
 
 Defined results: a null text counts as empty; a text without words is scored as one empty
-window; labels that are null or of absent documents are not learnt from; without any label
-of both kinds every score is the share of toxic rows (or 0); an empty table gives an empty result.
+window; labels that are null or of absent documents are not learnt from, and of labels that
+repeat an id toxic ones count; without any label of both kinds every score is the share of
+toxic rows (or 0); a null id is scored like any other and is not held out; rows that repeat
+are each scored; an empty table gives an empty result; columns but the two named are not
+read, and may have any name.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import fresh, read_table
 
 WINDOW = 32
 STRIDE = 16
@@ -72,6 +76,16 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _mix(whole).astype(np.int64), g[order], o[order]
 
 
+def featured(words: list[str], block: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashed word of each word, hashed n-grams, number of n-grams of each word), made a block of words at a time."""
+    parts = []
+    for at in range(0, len(words), block):
+        some = words[at : at + block]
+        whole, grams, owner = features(some)
+        parts.append((whole.astype(np.int32), grams.astype(np.int32), np.bincount(owner, minlength=len(some))))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct rows, sum of the values of each)."""
     order = np.argsort(rows, kind="stable")
@@ -187,10 +201,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, epochs: int = EPOCH
         return net
     r = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _find((t or "").lower())], np.int64) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _find((t or "").lower())], np.int32) for t in texts]
     words = list(vocabulary) or ["x"]
-    whole, grams, owner = features(words)
-    n_grams = np.bincount(owner, minlength=len(words))
+    whole, grams, n_grams = featured(words)
     starts = np.cumsum(n_grams) - n_grams
     sums = {k: np.zeros_like(v) for k, v in net.p.items()}
     firsts = {k: np.zeros_like(v) for k, v in net.p.items() if k not in ("chars", "words")}
@@ -198,7 +211,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, epochs: int = EPOCH
     for epoch in range(epochs):
         lr = rate * (1 - epoch / (epochs + 1))
         for pick in np.array_split(r.permutation(len(docs)), max(1, len(docs) // batch)):
-            used, inverse = np.unique(np.concatenate([docs[k] for k in pick] + [np.zeros(1, np.int64)]), return_inverse=True)
+            used, inverse = np.unique(np.concatenate([docs[k] for k in pick] + [np.zeros(1, np.int32)]), return_inverse=True)
             idx, of, at = [], [], 0
             for j, k in enumerate(pick):
                 n = len(docs[k])
@@ -310,23 +323,42 @@ class Scorer:
         return _sigmoid(best)
 
 
+def _train(seed: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, tuple[str, int]] = {}
+        for batch in batches:
+            for i, t, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                # Of rows that repeat an id the least text is learnt from.
+                rows[i] = min(rows.get(i, (t, y)), (t, y))
+        found = [rows[i] for i in sorted(rows)]
+        rows.clear()
+        net = train([t for t, _ in found], [y for _, y in found], seed)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.p, net.constant))], pa.binary())], names=["net"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, seed: int = 7) -> Network:
     """Learn from at most ``train_docs`` labelled rows outside the held-out fifth."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__y"))
-    rows = rows.filter(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & ~held_out(F.col("__id"))).groupBy("__id").agg(F.max("__y").alias("__y"))
-    by_hash = [F.xxhash64("__id"), F.col("__id")]
-    bad = rows.filter("__y = 1").orderBy(*by_hash).limit(train_docs // 3).collect()
-    good = rows.filter("__y = 0").orderBy(*by_hash).limit(min(train_docs - len(bad), max(200, 2 * len(bad)))).collect()
+    rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y"))
+    rows = rows.filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+    by_hash = [F.xxhash64("id"), F.col("id")]
+    bad = rows.filter("y = 1").orderBy(*by_hash).limit(train_docs // 3).collect()
+    good = rows.filter("y = 0").orderBy(*by_hash).limit(min(train_docs - len(bad), max(200, 2 * len(bad)))).collect()
     if not bad and not good:
         return train([], [], seed)
-    ids = docs.sparkSession.createDataFrame([tuple(x) for x in bad + good], "__id long, __y int")
-    found = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(ids), "__id").collect()
-    found = sorted({x["__id"]: (x["__id"], x["__text"] or "", x["__y"]) for x in sorted(found, key=lambda x: (x["__id"], x["__text"] or ""))}.values())
-    return train([t for _, t, _ in found], [y for _, _, y in found], seed)
+    ids = docs.sparkSession.createDataFrame([tuple(x) for x in bad + good], "id long, y int")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), "id")
+    # One task, for a bounded number of rows.
+    made = found.select("id", "t", "y").repartition(1).mapInArrow(_train(seed), "net binary").first()
+    net = Network(seed)
+    net.p, net.constant = pickle.loads(made["net"])
+    return net
 
 
 def held_out(id_col):
-    return F.crc32(id_col.cast("string")) % 5 == 0
+    """Whether crc32 of the id, as text, is divisible by 5; a null id is not held out."""
+    return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,8 +385,8 @@ def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", at: float
             rows = texts.tolist()
             yield pd.Series(np.concatenate([scorer.scores(rows[k : k + 128]) for k in range(0, len(rows), 128)] or [np.zeros(0)]))
 
-    columns = docs.columns
-    return docs.withColumn("__toxic_score", judged(F.col(text_col))).filter(F.col("__toxic_score") < at).select(*columns)
+    (name,) = fresh(docs, "toxic_score")
+    return docs.withColumn(name, judged(F.col(text_col))).filter(F.col(name) < at).drop(name)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
