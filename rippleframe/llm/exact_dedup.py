@@ -6,11 +6,11 @@ A filter miss proves that a digest is new; a hit is verified against the stored
 (SHA-256 and byte length). When an insertion runs out of kicks the filter is rebuilt at
 twice the size from the stored keys. Before the shuffle every Arrow batch is folded to
 one row a digest, so a text that fills a third of the corpus reaches its shard as one
-row per batch.
+row per batch. A task holds one shard at a time.
 
 Defined results: a null text counts as the empty text; a null id ranks below every id;
 of rows that repeat both id and text exactly one stays; an empty table gives an empty
-result; other columns, whatever their names, are never read by the digest side.
+result; columns but the two named are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read_table, shuffle_partitions, text_or_empty
+from .common import fresh, materialize, read_table, shuffle_partitions, text_or_empty
 
 SLOTS = 4
 MAX_KICKS = 256
@@ -151,10 +151,10 @@ def shard_of(digest: bytes, shards: int) -> int:
     return int.from_bytes(digest[:4], "big") % shards
 
 
-def with_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds __digest (32 bytes), __bytes: of the text, null as empty."""
+def with_digest(docs: DataFrame, text_col: str, digest: str = "digest", n_bytes: str = "n_bytes") -> DataFrame:
+    """Adds the digest (32 bytes) and the length of the text, null as empty, under names that ``docs`` must not have."""
     t = text_or_empty(text_col)
-    return docs.withColumns({"__digest": F.unhex(F.sha2(t, 256)), "__bytes": F.octet_length(t).cast("long")})
+    return docs.withColumns({digest: F.unhex(F.sha2(t, 256)), n_bytes: F.octet_length(t).cast("long")})
 
 
 _FOLDED = "shard int, digest binary, n_bytes long, keep_id long, keep_rid long, n long"
@@ -194,18 +194,9 @@ def _fold(shards: int):
 
 
 def _index_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    indexes: dict[int, CuckooIndex] = {}
-    for b in batches:
-        for s, d, n_bytes, i, r, n in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-            index = indexes.get(s)
-            if index is None:
-                index = indexes[s] = CuckooIndex()
-            found = index.get(d, n_bytes)
-            if found is None:
-                index.insert(d, n_bytes, ((i, r), n))
-            else:
-                index.update(d, n_bytes, (_better(found[0], (i, r)), found[1] + n))
-    for index in indexes.values():
+    """Rows come shard by shard."""
+
+    def rows_of(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
         rows = list(index.items())
         for at in range(0, len(rows), 10_000):
             part = rows[at : at + 10_000]
@@ -220,59 +211,66 @@ def _index_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 names=["digest", "n_bytes", "keep_id", "keep_rid", "group_size"],
             )
 
+    shard, index = None, CuckooIndex()
+    for b in batches:
+        for s, d, n_bytes, i, r, n in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            if s != shard:
+                yield from rows_of(index)
+                shard, index = s, CuckooIndex()
+            found = index.get(d, n_bytes)
+            if found is None:
+                index.insert(d, n_bytes, ((i, r), n))
+            else:
+                index.update(d, n_bytes, (_better(found[0], (i, r)), found[1] + n))
+    yield from rows_of(index)
+
 
 def group_digests(keys: DataFrame, n_rows: int) -> DataFrame:
-    """keys(__digest, __bytes, doc_id, __rid) -> one row a digest, through the cuckoo shards."""
+    """keys(digest, n_bytes, doc_id, rid) -> one row a digest, through the cuckoo shards."""
     shards = max(shuffle_partitions(keys.sparkSession), -(-n_rows // SHARD_ROWS))
     return (
-        keys.select("__digest", "__bytes", "doc_id", "__rid")
+        keys.select("digest", "n_bytes", "doc_id", "rid")
         .mapInArrow(_fold(shards), _FOLDED)
         .repartition(shards, "shard")
+        .sortWithinPartitions("shard")
         .mapInArrow(_index_shards, _GROUPS)
     )
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, digest."""
-    keys = materialize(
-        with_digest(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text")
-        .drop("text")
-        .withColumn("__rid", F.monotonically_increasing_id()),
-        "exact-keys",
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keys = materialize(with_digest(texts, "text").drop("text").withColumn("rid", F.monotonically_increasing_id()), "exact-keys")
     groups = group_digests(keys, keys.count()).filter("group_size > 1")
-    g = groups.select(F.col("digest").alias("__digest"), F.col("n_bytes").alias("__bytes"), "keep_id", "keep_rid", "group_size")
-    joined = keys.join(g, ["__digest", "__bytes"], "left")
+    joined = keys.join(groups, ["digest", "n_bytes"], "left")
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (alone | (F.col("__rid") == F.col("keep_rid"))).alias("kept"),
-        F.col("__digest").alias("digest"),
+        (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept"),
+        "digest",
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``decide`` drops; columns as they came."""
-    columns = docs.columns
+    digest, n_bytes, gone_id, gone_digest = fresh(docs, "text_digest", "text_bytes", "gone_id", "gone_digest")
     decided = materialize(decide(docs, id_col, text_col).filter("group_size > 1"), "exact-decided")
-    dropped = decided.filter("not kept").join(
-        decided.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")),
-        F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")),
-        "left_anti",
-    )
-    gone = dropped.select(F.col("doc_id").alias("__gone_id"), F.col("digest").alias("__gone_digest")).distinct()
-    kept = with_digest(docs, text_col).join(
-        gone, (F.col("__digest") == F.col("__gone_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")), "left_anti"
+    keepers = decided.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"))
+    of_keeper = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest"))
+    dropped = decided.filter("not kept")
+    gone = dropped.join(keepers, of_keeper, "left_anti").select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest)).distinct()
+    kept = with_digest(docs, text_col, digest, n_bytes).drop(n_bytes).join(
+        gone, (F.col(digest) == F.col(gone_digest)) & F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)), "left_anti"
     )
     # What is left of a group is its keeper and rows that repeat the keeper's id and text.
-    repeats = decided.filter("not kept").join(gone, F.col("digest").eqNullSafe(F.col("__gone_digest")) & F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left_anti")
-    again = repeats.select(F.col("digest").alias("__again")).distinct()
+    again = dropped.join(keepers, of_keeper, "left_semi").select(F.col("digest").alias(gone_digest)).distinct()
     if not again.isEmpty():
-        once = kept.join(again, F.col("__digest") == F.col("__again"), "left_semi").dropDuplicates(["__digest"])
-        kept = kept.join(again, F.col("__digest") == F.col("__again"), "left_anti").unionByName(once)
-    return kept.select(*columns)
+        repeated = F.col(digest) == F.col(gone_digest)
+        once = kept.join(again, repeated, "left_semi").dropDuplicates([digest])
+        kept = kept.join(again, repeated, "left_anti").unionByName(once)
+    return kept.drop(digest)
 
 
 # --- the stored index -------------------------------------------------------------------
@@ -300,18 +298,34 @@ class StoredIndex:
     def empty(cls, spark: SparkSession, shards: int = 16) -> StoredIndex:
         return cls(spark.createDataFrame([], _ENTRY), shards)
 
+    def _shard(self) -> Column:
+        return (F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long") % self.shards).cast("int").alias("shard")
+
     def _keys(self, texts: DataFrame, text_col: str, sign: int) -> DataFrame:
         keyed = with_digest(texts.select(F.col(text_col).alias("text")), "text")
-        counted = keyed.groupBy("__digest", "__bytes").agg((F.count(F.lit(1)) * sign).alias("refs"))
-        shard = F.conv(F.substring(F.hex("__digest"), 1, 8), 16, 10).cast("long") % self.shards
-        return counted.select(shard.cast("int").alias("shard"), F.col("__digest").alias("digest"), F.col("__bytes").alias("n_bytes"), "refs", F.lit(1).alias("step"))
+        counted = keyed.groupBy("digest", "n_bytes").agg((F.count(F.lit(1)) * sign).alias("refs"))
+        return counted.select(self._shard(), "digest", "n_bytes", "refs", F.lit(1).alias("step"))
+
+    def _by_shard(self, changes: DataFrame) -> DataFrame:
+        """Entries, then changes, shard by shard."""
+        both = self.entries.withColumn("step", F.lit(0)).unionByName(changes)
+        return both.repartition(self.shards, "shard").sortWithinPartitions("shard", "step")
 
     def _apply(self, changes: DataFrame) -> StoredIndex:
+        def rows_of(shard: int | None, index: CuckooIndex) -> pa.RecordBatch:
+            rows = list(index.items())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([shard] * len(rows), pa.int32()), pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64())],
+                names=["shard", "digest", "n_bytes", "refs"],
+            )
+
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            indexes: dict[int, CuckooIndex] = {}
+            shard, index = None, CuckooIndex()
             for b in batches:
                 for s, d, n, refs, _ in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                    index = indexes.setdefault(s, CuckooIndex())
+                    if s != shard:
+                        yield rows_of(shard, index)
+                        shard, index = s, CuckooIndex()
                     held = index.get(d, n)
                     left = (held or 0) + refs
                     if held is None and left > 0:
@@ -320,16 +334,9 @@ class StoredIndex:
                         index.update(d, n, left)
                     elif held is not None:
                         index.delete(d, n)
-            for s, index in indexes.items():
-                rows = list(index.items())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s] * len(rows), pa.int32()), pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64())],
-                    names=["shard", "digest", "n_bytes", "refs"],
-                )
+            yield rows_of(shard, index)
 
-        both = self.entries.withColumn("step", F.lit(0)).unionByName(changes)
-        done = both.repartition(self.shards, "shard").sortWithinPartitions("shard", "step").mapInArrow(run, _ENTRY)
-        return StoredIndex(materialize(done, "cuckoo-index"), self.shards)
+        return StoredIndex(materialize(self._by_shard(changes).mapInArrow(run, _ENTRY), "cuckoo-index"), self.shards)
 
     def insert(self, texts: DataFrame, text_col: str = "text") -> StoredIndex:
         return self._apply(self._keys(texts, text_col, 1))
@@ -338,10 +345,26 @@ class StoredIndex:
         return self._apply(self._keys(texts, text_col, -1))
 
     def lookup(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
-        """``texts`` with a boolean column ``is_live``."""
-        live = self.entries.select(F.col("digest").alias("__l"), F.lit(True).alias("__live"))
-        out = with_digest(texts, text_col).join(live, F.col("__digest") == F.col("__l"), "left")
-        return out.select(*[F.col(c) for c in texts.columns], F.coalesce("__live", F.lit(False)).alias("is_live"))
+        """``texts`` with a boolean column ``is_live``: each distinct text is asked of its shard's filter, hits are verified."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, index = None, CuckooIndex()
+            for b in batches:
+                live = []
+                for s, d, n, refs, step in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                    if s != shard:
+                        shard, index = s, CuckooIndex()
+                    if step == 0:
+                        index.insert(d, n, refs)
+                    elif index.get(d, n) is not None:
+                        live.append((d, n))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in live], pa.binary()), pa.array([x[1] for x in live], pa.int64())], names=["digest", "n_bytes"])
+
+        digest, n_bytes, live_digest, live_bytes = fresh(texts, "text_digest", "text_bytes", "live_digest", "live_bytes")
+        live = self._by_shard(self._keys(texts, text_col, 1)).mapInArrow(run, "digest binary, n_bytes long")
+        live = live.select(F.col("digest").alias(live_digest), F.col("n_bytes").alias(live_bytes))
+        out = with_digest(texts, text_col, digest, n_bytes).join(live, (F.col(digest) == F.col(live_digest)) & (F.col(n_bytes) == F.col(live_bytes)), "left")
+        return out.select(*[F.col(f"`{c}`") for c in texts.columns], F.col(live_digest).isNotNull().alias("is_live"))
 
 
 def text_sha256(text: str | None) -> str:

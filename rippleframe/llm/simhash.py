@@ -4,14 +4,16 @@ A 64-bit fingerprint is embedded as 32 counts, the set bits of its two-bit segme
 Manhattan distance of two embeddings never exceeds the Hamming distance, so fingerprints
 within 3 bits are within 3 in Manhattan distance, and at least one half of 16 counts is
 within 1. The grid has a cell for each half's counts; a fingerprint goes to the cells of
-both halves and to those one count higher, so each such pair meets in a cell, where the
-Hamming distance is checked exactly. A cell gives links that span its groups, never all
-its pairs. Only distinct fingerprints enter the grid, so copies cost nothing there.
+both halves and to those one count higher, so each such pair meets in a cell. There the
+Manhattan distance comes first, as a lower bound, and what it leaves is checked exactly. A
+cell gives links that span its groups, never all its pairs; a cell of more than ``CELL``
+fingerprints is dealt by each of its four 16-bit blocks in turn, one of which any such pair
+shares. Only distinct fingerprints enter the grid, so copies cost nothing there.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; a
 null id ranks after every id; rows that repeat an id are each returned (or, when
-dropping, all but one dropped); an empty table gives an empty result; other columns are
-never read, and internal columns start with ``__nd``.
+dropping, all but one dropped); an empty table gives an empty result; columns but the two
+named are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, shuffle_partitions
+from .common import discard, fresh, materialize, read_table, shuffle_partitions
 from .components import components
 
 WORDS = 3
@@ -33,6 +35,8 @@ SEED = 42
 BITS = 3
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 15
+#: Fingerprints of a cell that are compared with one another as they are.
+CELL = 4096
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -84,19 +88,46 @@ def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def unary_counts(fp: np.ndarray) -> np.ndarray:
+    """The counts in unary, so that the Manhattan distance of two is the bits in which they differ."""
+    odd = np.uint64(0x5555555555555555)
+    high = fp >> np.uint64(1)
+    return ((fp | high) & odd) | (((fp & high) & odd) << np.uint64(1))
+
+
 def _spanning(fps: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
-    """Links of a cell that span its groups: each visited fingerprint takes its neighbours from what is unvisited."""
-    a, b = [], []
+    """Links of a cell that span its groups."""
     left = np.unique(fps)
+    if len(left) <= CELL:
+        return _compared(left, bits)
+    a, b = [], []
+    for block in range(4):
+        part = (left >> np.uint64(16 * block)) & np.uint64(0xFFFF)
+        order = np.argsort(part, kind="stable")
+        for group in np.split(left[order], np.flatnonzero(np.diff(part[order])) + 1):
+            if len(group) > 1:
+                x, y = _compared(group, bits)
+                a += x
+                b += y
+    return a, b
+
+
+def _compared(left: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+    """Each visited fingerprint takes its neighbours from what is unvisited."""
+    a, b = [], []
+    counts = unary_counts(left)
     while len(left):
-        queue, left = [left[0]], left[1:]
+        queue, left, counts = [(left[0], counts[0])], left[1:], counts[1:]
         while queue and len(left):
-            at = queue.pop()
-            near = np.bitwise_count(left ^ at) <= bits
-            if near.any():
+            at, own = queue.pop()
+            near = np.flatnonzero(np.bitwise_count(counts ^ own) <= bits)
+            near = near[np.bitwise_count(left[near] ^ at) <= bits]
+            if len(near):
                 found = left[near]
-                left = left[~near]
-                queue.extend(found)
+                queue.extend(zip(found, counts[near], strict=True))
+                stays = np.ones(len(left), dtype=bool)
+                stays[near] = False
+                left, counts = left[stays], counts[stays]
                 a.extend([int(at)] * len(found))
                 b.extend(found.tolist())
     return a, b
@@ -159,8 +190,11 @@ def classes(prints: DataFrame, bits: int = BITS) -> DataFrame:
     rooted = materialize(
         reps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "best"), "nd-rooted"
     )
+    discard(reps, roots)
     best = rooted.groupBy("root").agg(F.min("best").alias("keep"))
-    return materialize(rooted.join(best, "root").select("fp", "keep"), "nd-classes")
+    out = materialize(rooted.join(best, "root").select("fp", "keep"), "nd-classes")
+    discard(rooted)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -174,11 +208,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """``docs`` with the row of the smallest id of each group; columns as they came."""
-    columns = docs.columns
-    held = materialize(docs.withColumn("__nd_fp", _fingerprints(F.col(text_col))).withColumn("__nd_rid", F.monotonically_increasing_id()), "nd-docs")
-    prints = held.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__nd_rid").alias("rid"), F.col("__nd_fp").alias("fp"))
-    keep = classes(prints, bits).select(F.col("keep.rid").alias("__nd_keep")).distinct()
-    return held.join(keep, F.col("__nd_rid") == F.col("__nd_keep"), "left_semi").select(*columns)
+    fp, rid = fresh(docs, "nd_fp", "nd_rid")
+    held = materialize(docs.withColumn(fp, _fingerprints(F.col(text_col))).withColumn(rid, F.monotonically_increasing_id()), "nd-docs")
+    prints = held.select(F.col(id_col).cast("long").alias("doc_id"), F.col(rid).alias("rid"), F.col(fp).alias("fp"))
+    keep = classes(prints, bits).select(F.col("keep.rid").alias(rid)).distinct()
+    return held.join(keep, rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,17 @@
 """Exact top-k by tiled matrix products.
 
-Queries go out in blocks of at most ``BROADCAST_BYTES``; each task multiplies a block with
-tiles of its shard, selects the best of each tile, and keeps one running list a query.
-Lists of tasks are merged as a tree: first within groups of tasks, then across groups.
+Queries go out in blocks of at most ``BROADCAST_BYTES``, one after another: the driver holds
+one block, whatever their number, and a block's lists are written before the next is read.
+Each task multiplies a block with tiles of its shard, selects the best of each tile, and
+keeps one running list a query. Lists of tasks are merged as a tree: first within groups of
+tasks, then across groups.
 
 Defined results: vectors that are null or hold null or non-finite components take no part,
 nor do rows with a null id; vectors of unequal length are padded with zeros; a query whose
 id repeats is asked once and rows with its id are its own; ties go to the smaller id; an
-empty table gives an empty result. Products that could leave 2**53 are computed in whole numbers.
+empty table gives an empty result; columns but the two named are not read. Products that
+could leave 2**53 are computed in whole numbers; scores that do not fit a long are held at
+its ends.
 """
 
 from __future__ import annotations
@@ -55,7 +59,9 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
 def products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     if q.size and m.size and float(np.abs(q).max()) * float(np.abs(m).max()) * q.shape[1] < 2**53:
         return (q.astype(np.float64) @ m.T.astype(np.float64)).astype(np.int64)
-    return q @ m.T
+    most = -(NONE + 1)
+    exact = q.astype(object) @ m.T.astype(object) if q.shape[1] else np.zeros((len(q), len(m)), object)
+    return np.clip(exact, -most, most).astype(np.int64)
 
 
 def _search(q_ids: np.ndarray, q: np.ndarray, k: int):
@@ -100,6 +106,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         ids = rows.column(0).to_numpy()
         q = _matrix(rows.column(1).combine_chunks(), dim or 0) if n else np.zeros((0, 0), np.int64)
         lists = vectors.mapInArrow(_search(ids, q, k), "query_id long, vec_id long, score long") if len(ids) else spark.createDataFrame([], "query_id long, vec_id long, score long")
+        if blocks > 1:
+            lists = materialize(lists, "topk-lists")
         out = lists if out is None else out.unionByName(lists)
     lists = out.withColumn("g", F.spark_partition_id() % 16)
     order = [F.desc("score"), F.asc("vec_id")]

@@ -351,6 +351,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), "id")
     # One task, for a bounded number of rows.
     made = found.select("id", "t", "y").repartition(1).mapInArrow(_train(seed), "net binary").first()
+    if made is None:
+        return train([], [], seed)
     net = Network(seed)
     net.p, net.constant = pickle.loads(made["net"])
     return net

@@ -5,7 +5,10 @@ header line and each WARC header line, block digest included, in their order. A
 header is kept as one line.
 
 Defined results: a null page body counts as empty; a null url gives an empty target; rows
-that repeat give repeated records with equal ids; an empty table gives an empty result.
+that repeat give repeated records with equal ids; an empty table gives an empty result;
+columns but the three named are not read. A comment, script, style or head that never ends
+is read as if its opening tag stood alone; a "<" without ">" is text. Titles and links in
+comments, scripts and styles do not count. A page is scanned once, in time linear in its length.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 DATE = "2024-01-01T00:00:00Z"
-_skip = re.compile(r"<!--.*?-->|<(script|style|head|title)\b.*?</\1\s*>", re.S | re.I)
-_breaks = re.compile(r"<(?:br|/?p|/?div|/?h[1-6]|/?li|/?ul|/?ol|/?tr|/?article|/?nav|/?footer)\b[^>]*>", re.I)
-_tag = re.compile(r"<[^>]*>")
-_title = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_link = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", re.I)
+#: Tags at which a line of plain text ends, and elements whose content is not text.
+BREAKS = frozenset("br p div h1 h2 h3 h4 h5 h6 li ul ol tr article nav footer".split())
+OPAQUE = frozenset(("script", "style"))
+_name = re.compile(r"<(/?)([a-z][a-z0-9]*)(?![a-z0-9])", re.I)
+_href = re.compile(r"""[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -39,10 +42,57 @@ def record_id(kind: str, url: str, payload: bytes) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {url} {digest(payload)}')}>"
 
 
-def plain_text(body: str) -> str:
-    text = html.unescape(_tag.sub("", _breaks.sub("\n", _skip.sub("", body))))
-    lines = (" ".join(line.split()) for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+def scan(body: str) -> tuple[str, str, list[str]]:
+    """(plain text, title, link targets) of a page."""
+    low = body.lower() if len(body.lower()) == len(body) else "".join(c.lower() if len(c.lower()) == 1 else c for c in body)
+    absent: set[str] = set()
+
+    def after(what: str, at: int) -> int:
+        """The end of the next ``what``, -1 if there is none; what was once not found is not sought again."""
+        if what in absent:
+            return -1
+        found = low.find(what, at)
+        if found < 0:
+            absent.add(what)
+            return -1
+        return found + len(what)
+
+    out, title, links, at, in_head = [], None, [], 0, -1
+    while True:
+        tag = low.find("<", at)
+        if tag < 0:
+            break
+        if tag >= in_head:
+            out.append(body[at:tag])
+        close = after("-->", tag + 4) if low.startswith("<!--", tag) else -1
+        if close >= 0:
+            at = close
+            continue
+        close = after(">", tag)
+        if close < 0:
+            at = tag
+            break
+        named = _name.match(body, tag, close)
+        name = named[2].lower() if named else ""
+        at = close
+        if name in BREAKS:
+            if tag >= in_head:
+                out.append("\n")
+        elif named and not named[1]:
+            end = after(f"</{name}", close) if name in OPAQUE or name in ("title", "head") else -1
+            if end >= 0 and name == "head":
+                in_head = max(in_head, end)
+            elif end >= 0:
+                if name == "title" and title is None:
+                    title = body[close : end - len(name) - 2]
+                past = after(">", end)
+                at = past if past >= 0 else end
+            elif name == "a" and (link := _href.match(body, named.end(), close)):
+                links.append(link[1])
+    if at >= in_head:
+        out.append(body[at:])
+    lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
+    return "\n".join(line for line in lines if line), " ".join(html.unescape(title or "").split()), links
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -105,13 +155,12 @@ def _derive_one(found: list[tuple[str, str]], block: bytes) -> list[tuple[str, s
     http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
     status, *http_lines = http.decode(errors="replace").split("\r\n")
     body, of, url, date = payload.decode("utf-8", "replace"), headers["warc-record-id"], headers.get("warc-target-uri", ""), headers["warc-date"]
-    text = plain_text(body).encode()
-    title = _title.search(body)
-    links = [f"outlink: {' '.join(x.split())}" for x in _link.findall(body)]
+    text, title, found_links = scan(body)
+    links = [f"outlink: {' '.join(x.split())}" for x in found_links]
     kept = [f"source-{kind}-header: {k}: {v}" for kind, group in (("http", fields(http_lines)), ("warc", found)) for k, v in group]
-    about = "\r\n".join([f"title: {' '.join(html.unescape(title[1]).split()) if title else ''}", f"source-payload-digest: {headers.get('warc-payload-digest', '')}", f"source-http: {status}", *kept, *links, ""]).encode()
+    about = "\r\n".join([f"title: {title}", f"source-payload-digest: {headers.get('warc-payload-digest', '')}", f"source-http: {status}", *kept, *links, ""]).encode()
     out = []
-    for kind, kind_type, data in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", text)):
+    for kind, kind_type, data in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", text.encode())):
         # A source with an id of its own gives ids of its own, so equal pages of one input stay apart.
         own = record_id(kind, url, payload) if of == record_id("response", url, payload) else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {of}')}>"
         out.append((kind, own, of, record(
