@@ -1,34 +1,143 @@
-"""Files that change together."""
+"""Files that change together. commits(commit_id, file)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def confidence(commits: DataFrame) -> DataFrame:
-    """file_a, file_b, together, alone, confidence: of the commits with file_a, the share with file_b."""
-    other = commits.select("commit_id", F.col("file").alias("file_b"))
-    pairs = commits.withColumnRenamed("file", "file_a").join(other, "commit_id").filter("file_a <> file_b")
+def adaptive_threshold(files: Column) -> Column:
+    """1 without files, else 2 / sqrt(files), between 0.4 and 1."""
+    return F.when(files == 0, 1.0).otherwise(F.greatest(F.lit(0.4), F.least(F.lit(1.0), 2 / F.sqrt(files))))
+
+
+def confidence(commits: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """file_a, file_b, together, alone, confidence: of the commits with file_a (of ``planned``, if given), the share with file_b."""
+    own = commits if planned is None else commits.join(planned.select("file"), "file", "left_semi")
+    own = own.select("commit_id", F.col("file").alias("file_a"))
+    pairs = own.join(commits.select("commit_id", F.col("file").alias("file_b")), "commit_id").filter("file_a <> file_b")
     counts = pairs.groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("together"))
-    alone = commits.groupBy(F.col("file").alias("file_a")).agg(F.count(F.lit(1)).alias("alone"))
+    alone = own.groupBy("file_a").agg(F.count(F.lit(1)).alias("alone"))
     return counts.join(alone, "file_a").withColumn("confidence", F.col("together") / F.col("alone"))
 
 
-def gaps(commits: DataFrame, planned: DataFrame, threshold: float) -> DataFrame:
-    """Partners of planned files at ``threshold`` or more that the plan lacks: file, best, sources."""
-    found = confidence(commits).filter(F.col("confidence") >= threshold).join(planned.select(F.col("file").alias("file_a")), "file_a", "left_semi")
+def gaps(commits: DataFrame, planned: DataFrame, threshold: float | None = None, least_commits: int = 10) -> DataFrame:
+    """Partners of planned files at the threshold or more that the plan lacks: file, best, sources.
+
+    Without a threshold it follows the number of files. Nothing is said of fewer than ``least_commits`` commits.
+    """
+    scale = commits.agg(F.countDistinct("commit_id").alias("n_commits"), F.countDistinct("file").alias("n_files"))
+    least = F.lit(threshold) if threshold is not None else adaptive_threshold(F.col("n_files"))
+    found = confidence(commits, planned).join(F.broadcast(scale), (F.col("n_commits") >= least_commits) & (F.col("confidence") >= least))
     missing = found.join(planned.select(F.col("file").alias("file_b")), "file_b", "left_anti")
     return missing.groupBy(F.col("file_b").alias("file")).agg(F.max("confidence").alias("best"), F.count(F.lit(1)).alias("sources"))
 
 
-def hubs(found: DataFrame, planned: int, least: int = 3, share: float = 0.6) -> DataFrame:
-    """Of ``gaps`` rows those that ``least`` planned files, or ``share`` of them, point to."""
-    return found.filter((F.col("sources") >= least) | (F.col("sources") >= share * planned))
+def hubs(found: DataFrame, least: int = 3, share: float = 0.6, planned: int | None = None) -> DataFrame:
+    """Of ``gaps`` rows those that ``least`` planned files point to, or ``share`` of ``planned``."""
+    near = F.col("sources") >= least
+    return found.filter(near | (F.col("sources") >= share * planned) if planned else near)
+
+
+def newest_commits(commits: DataFrame, k: int = 200) -> DataFrame:
+    """The rows of the ``k`` commits with the largest ids."""
+    kept = commits.select("commit_id").distinct().orderBy(F.desc("commit_id")).limit(k)
+    return commits.join(kept, "commit_id", "left_semi")
+
+
+def dirname(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(path, "[^/]*$", ""), "(?<=.)/$", "")
+
+
+def ancestors(path: Column) -> Column:
+    """Every directory above a path, outermost first."""
+    parts = F.split(path, "/", -1)
+    return F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
+def dir_comod(commits: DataFrame, planned: DataFrame, threshold: float = 0.4, least: int = 3) -> DataFrame:
+    """plan_dir, file, together, touching, frequency: files outside a planned directory, or its parent, that change with it.
+
+    Ancestor directories are exploded, so a prefix match is an equi-join.
+    """
+    own = planned.select(dirname(F.col("file")).alias("d")).select(F.explode(F.array("d", dirname(F.col("d")))).alias("plan_dir")).filter("plan_dir <> ''").distinct()
+    touched = commits.select("commit_id", F.explode(ancestors(F.col("file"))).alias("plan_dir")).join(own, "plan_dir", "left_semi").distinct()
+    touching = touched.groupBy("plan_dir").agg(F.count(F.lit(1)).alias("touching")).filter(F.col("touching") >= least)
+    outside = touched.join(commits, "commit_id").filter(~F.startswith(F.col("file"), F.concat("plan_dir", F.lit("/")))).join(planned.select("file"), "file", "left_anti")
+    found = outside.groupBy("plan_dir", "file").agg(F.count(F.lit(1)).alias("together")).join(touching, "plan_dir")
+    return found.withColumn("frequency", F.col("together") / F.col("touching")).filter(F.col("frequency") >= threshold)
+
+
+def convention_pairs(places: DataFrame, least: int = 5) -> DataFrame:
+    """places(dir, base) -> base_a, base_b, dirs: unordered names that share ``least`` or more directories."""
+    own = places.select("dir", "base").distinct()
+    pairs = own.withColumnRenamed("base", "base_a").join(own.withColumnRenamed("base", "base_b"), "dir").filter("base_a < base_b")
+    return pairs.groupBy("base_a", "base_b").agg(F.count(F.lit(1)).alias("dirs")).filter(F.col("dirs") >= least)
+
+
+def companions(pairs: DataFrame, k: int = 2) -> DataFrame:
+    """base, companion, score: of each name the ``k`` others that share most directories."""
+    both = pairs.select(F.col("base_a").alias("base"), F.col("base_b").alias("companion"), "dirs").union(pairs.select("base_b", "base_a", "dirs"))
+    scored = both.groupBy("base", "companion").agg(F.sum("dirs").alias("score"))
+    w = Window.partitionBy("base").orderBy(F.desc("score"), "companion")
+    return scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+
+
+def acknowledged(found: DataFrame, acks: DataFrame) -> DataFrame:
+    """``found`` with reason and acknowledged: by path, else by base name; acks(file, reason)."""
+    base = lambda c: F.regexp_replace(c, "^.*/", "")
+    by_path = acks.select("file", F.col("reason").alias("path_reason"))
+    by_base = acks.groupBy(base(F.col("file")).alias("base")).agg(F.min("reason").alias("base_reason"))
+    joined = found.join(by_path, "file", "left").withColumn("base", base(F.col("file"))).join(by_base, "base", "left").drop("base")
+    reason = F.coalesce("path_reason", "base_reason")
+    return joined.withColumn("reason", reason).withColumn("acknowledged", reason.isNotNull()).drop("path_reason", "base_reason")
+
+
+def excluded(found: DataFrame, planned: DataFrame) -> DataFrame:
+    """``found`` without planned files, by path or by base name."""
+    base = F.regexp_replace("file", "^.*/", "")
+    names = planned.select(base.alias("base")).distinct()
+    return found.join(planned.select("file"), "file", "left_anti").withColumn("base", base).join(names, "base", "left_anti").drop("base")
+
+
+def sorted_gaps(found: DataFrame) -> DataFrame:
+    """High confidence first, then by frequency, then by name."""
+    return found.orderBy(F.when(F.col("best") > 0.75, 0).otherwise(1), F.desc("best"), "file")
+
+
+def resolve_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """wanted(path) -> path, resolved, how: the path itself, else a unique file that ends in it, else a unique base name."""
+    own = files.select("path", "base").distinct()
+    tails = own.select(F.col("path").alias("full"), F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), -n, n), "/"))).alias("path"))
+    hits = wanted.select("path").distinct().join(tails, "path").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("full") == F.col("path"), F.col("full"))).alias("exact"), F.min("full").alias("any"))
+    names = own.groupBy("base").agg(F.count(F.lit(1)).alias("bases"), F.min("path").alias("only"))
+    joined = wanted.select("path").distinct().join(hits, "path", "left").withColumn("base", F.regexp_replace("path", "^.*/", "")).join(names, "base", "left")
+    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("n") == 1, "suffix").when(F.col("bases") == 1, "base").otherwise("none")
+    resolved = F.when(how == "exact", F.col("exact")).when(how == "suffix", F.col("any")).when(how == "base", F.col("only"))
+    return joined.select("path", resolved.alias("resolved"), how.alias("how"))
+
+
+def leaf_dirs(places: DataFrame) -> DataFrame:
+    """Directories with files and no directory with files below."""
+    dirs = places.select("dir").distinct()
+    above = dirs.select(F.explode(ancestors(F.col("dir"))).alias("dir")).distinct()
+    return dirs.join(above, "dir", "left_anti")
+
+
+def siblings(planned: DataFrame, files: DataFrame, k: int = 3) -> DataFrame:
+    """plan_file, file, kind: other files of the same directory, and of peer directories those of the same base name, ``k`` of a kind."""
+    p = planned.select(F.col("path").alias("plan_file"), F.col("dir").alias("p_dir"), F.col("parent").alias("p_parent"), F.col("base").alias("p_base"))
+    same = p.join(files, F.col("dir") == F.col("p_dir")).filter("path <> plan_file").withColumn("kind", F.lit("dir-sibling"))
+    peer = p.join(files, (F.col("parent") == F.col("p_parent")) & (F.col("base") == F.col("p_base"))).filter("dir <> p_dir").withColumn("kind", F.lit("peer-dir"))
+    w = Window.partitionBy("plan_file", "kind").orderBy("path")
+    both = same.unionByName(peer).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+    return both.select("plan_file", F.col("path").alias("file"), "kind")
 
 
-def convention_pairs(commits: DataFrame, least: int = 5) -> DataFrame:
-    """file_a, file_b, together: unordered pairs in ``least`` or more commits."""
-    other = commits.select("commit_id", F.col("file").alias("file_b"))
-    pairs = commits.withColumnRenamed("file", "file_a").join(other, "commit_id").filter("file_a < file_b")
-    return pairs.groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= least)
+def test_pairs(files: DataFrame) -> DataFrame:
+    """path, test_path: of each source file its first test by the order _test, .test, .spec."""
+    stem, ext = F.regexp_replace("path", r"\.[^./]*$", ""), F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    variants = F.array(*[F.struct(F.lit(k).alias("prio"), F.concat(stem, F.lit(x), ext).alias("test_path")) for k, x in enumerate(("_test", ".test", ".spec"))])
+    each = files.select("path", F.explode(variants).alias("v")).select("path", "v.prio", "v.test_path")
+    hit = each.join(files.select(F.col("path").alias("test_path")), "test_path", "left_semi")
+    return hit.groupBy("path").agg(F.min_by("test_path", "prio").alias("test_path"))

@@ -1,27 +1,41 @@
-"""Callers, callees and bounded closure over a reference graph."""
+"""Callers, callees, resolution, closures and cascades over a reference graph.
+
+defs(id, name, receiver, source_file, module_id, is_test, exported), refs(from_def, to_def).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rippleframe.sources.scratch import written
+
+
+def _end(defs: DataFrame, end: str, *columns: str) -> DataFrame:
+    """Definitions as one end of references: from_def or to_def, and columns named after the end."""
+    return defs.select(F.col("id").alias(f"{end}_def"), *[F.col(c).alias(f"{end}_{c}") for c in columns])
+
 
 def in_degree(refs: DataFrame) -> DataFrame:
     return refs.groupBy(F.col("to_def").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
 
 
+def callers_each(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """Every definition with its number of callers, zero included."""
+    return defs.join(in_degree(refs), "id", "left").withColumn("callers", F.coalesce("callers", F.lit(0).cast("long")))
+
+
 def external_callers(refs: DataFrame, defs: DataFrame) -> DataFrame:
-    """source_file, external_callers: references that come in from other files."""
-    of = lambda c: defs.select(F.col("id").alias(f"{c}_def"), F.col("source_file").alias(f"{c}_file"))
-    joined = refs.join(of("from"), "from_def").join(of("to"), "to_def").filter("from_file <> to_file")
-    return joined.groupBy(F.col("to_file").alias("source_file")).agg(F.count(F.lit(1)).alias("external_callers"))
+    """id, external_callers: distinct non-test callers of exported definitions from other files."""
+    joined = refs.join(_end(defs.filter("NOT is_test"), "from", "source_file"), "from_def").join(_end(defs.filter("exported"), "to", "source_file"), "to_def")
+    return joined.filter("from_source_file <> to_source_file").groupBy(F.col("to_def").alias("id")).agg(F.countDistinct("from_def").alias("external_callers"))
 
 
 def test_coverage(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """id, tests: test definitions that refer to each definition, zero included."""
     tests = refs.join(defs.filter("is_test").select(F.col("id").alias("from_def")), "from_def", "left_semi")
-    counts = tests.groupBy(F.col("to_def").alias("id")).agg(F.count(F.lit(1)).alias("tests"))
-    return defs.select("id").join(counts, "id", "left").select("id", F.coalesce("tests", F.lit(0)).alias("tests"))
+    counts = tests.groupBy(F.col("to_def").alias("id")).agg(F.countDistinct("from_def").alias("tests"))
+    return defs.select("id").join(counts, "id", "left").select("id", F.coalesce("tests", F.lit(0).cast("long")).alias("tests"))
 
 
 def not_referenced(refs: DataFrame, defs: DataFrame) -> DataFrame:
@@ -30,9 +44,47 @@ def not_referenced(refs: DataFrame, defs: DataFrame) -> DataFrame:
 
 def callers(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """id, caller_file: files outside a definition's own whose non-test definitions refer to it."""
-    of = lambda c: defs.select(F.col("id").alias(f"{c}_def"), F.col("source_file").alias(f"{c}_file"), F.col("is_test").alias(f"{c}_test"))
-    joined = refs.join(of("from"), "from_def").join(of("to"), "to_def").filter("NOT from_test AND from_file <> to_file")
-    return joined.select(F.col("to_def").alias("id"), F.col("from_file").alias("caller_file")).distinct()
+    joined = refs.join(_end(defs.filter("NOT is_test"), "from", "source_file"), "from_def").join(_end(defs, "to", "source_file"), "to_def")
+    return joined.filter("from_source_file <> to_source_file").select(F.col("to_def").alias("id"), F.col("from_source_file").alias("caller_file")).distinct()
+
+
+def callees(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """id, callee_file: files outside a definition's own whose non-test definitions it refers to."""
+    joined = refs.join(_end(defs.filter("NOT is_test"), "to", "source_file"), "to_def").join(_end(defs, "from", "source_file"), "from_def")
+    return joined.filter("from_source_file <> to_source_file").select(F.col("from_def").alias("id"), F.col("to_source_file").alias("callee_file")).distinct()
+
+
+def structural_links(refs: DataFrame, defs: DataFrame, planned: DataFrame) -> DataFrame:
+    """source_file, links: references from each unplanned file to definitions of planned files."""
+    plan = defs.join(planned.select(F.col("file").alias("source_file")), "source_file", "left_semi")
+    rest = defs.join(planned.select(F.col("file").alias("source_file")), "source_file", "left_anti")
+    joined = refs.join(_end(plan, "to"), "to_def", "left_semi").join(_end(rest, "from", "source_file"), "from_def")
+    return joined.groupBy(F.col("from_source_file").alias("source_file")).agg(F.count(F.lit(1)).alias("links"))
+
+
+def module_siblings(defs: DataFrame, file: str) -> DataFrame:
+    """Other files of the modules that hold ``file``."""
+    own = defs.filter(F.col("source_file") == file).select("module_id")
+    return defs.join(own, "module_id", "left_semi").filter(F.col("source_file") != file).select("source_file").distinct()
+
+
+def cross_module_callers(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """to_module, from_module, refs: references between different modules."""
+    joined = refs.join(_end(defs, "from", "module_id"), "from_def").join(_end(defs, "to", "module_id"), "to_def").filter("from_module_id <> to_module_id")
+    return joined.groupBy(F.col("to_module_id").alias("to_module"), F.col("from_module_id").alias("from_module")).agg(F.count(F.lit(1)).alias("refs"))
+
+
+def callers_by_name(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """name, receiver, callers: of all definitions that share name and receiver, none dropped."""
+    joined = defs.join(refs, F.col("id") == F.col("to_def"), "left")
+    return joined.groupBy("name", "receiver").agg(F.count("from_def").alias("callers"))
+
+
+def top_siblings(refs: DataFrame, defs: DataFrame, k: int) -> DataFrame:
+    """receiver, id, callers, rank: of each receiver the ``k`` exported, non-test definitions most referred to."""
+    w = Window.partitionBy("receiver").orderBy(F.desc("callers"), "id")
+    found = callers_each(refs, defs.filter("exported AND NOT is_test")).withColumn("rank", F.row_number().over(w))
+    return found.filter(F.col("rank") <= k).select("receiver", "id", "callers", "rank")
 
 
 def two_hop(refs: DataFrame) -> DataFrame:
@@ -44,14 +96,153 @@ def two_hop(refs: DataFrame) -> DataFrame:
 
 
 def reachable_callers(refs: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """id: what reaches a seed in at most ``hops`` references; each round joins the new ones only."""
+    """id, hop: what reaches a seed in at most ``hops`` references, at its least hop.
+
+    Each round joins the new ones only; a frontier is written, so no hop is planned again,
+    and the loop ends when one is empty. Seeds on a cycle are reached like any other.
+    """
     step = refs.select(F.col("to_def").alias("id"), "from_def")
-    frontier = seeds.select("id").join(step, "id").select(F.col("from_def").alias("id")).distinct()
-    seen = frontier
-    for _ in range(hops - 1):
-        frontier = frontier.join(step, "id").select(F.col("from_def").alias("id")).distinct().join(seen, "id", "left_anti")
-        seen = seen.unionByName(frontier)
-    return seen
+    frontier, seen = seeds.select("id").distinct(), None
+    for hop in range(hops):
+        reached = frontier.join(step, "id").select(F.col("from_def").alias("id")).distinct()
+        reached = reached if seen is None else reached.join(seen, "id", "left_anti")
+        frontier = written(reached.withColumn("hop", F.lit(hop)), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = frontier if seen is None else seen.unionByName(frontier)
+        frontier = frontier.select("id")
+    return seen if seen is not None else seeds.select("id", F.lit(0).alias("hop")).limit(0)
+
+
+def impact(refs: DataFrame, defs: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """One row: tests and production definitions that reach the seeds, and the direct callers."""
+    found = reachable_callers(refs, seeds, hops).join(defs.select("id", "is_test"), "id")
+    return found.agg(F.count_if("is_test").alias("tests"), F.count_if(~F.col("is_test")).alias("production"), F.count_if(F.col("hop") == 0).alias("direct"))
+
+
+def forward_simulation(refs: DataFrame, defs: DataFrame, mutations: DataFrame, hops: int) -> DataFrame:
+    """mutations(id): direct production and test callers of each, and distinct tests within ``hops``; one row a mutation."""
+    step = refs.select(F.col("to_def").alias("at"), "from_def")
+    frontier = mutations.select(F.col("id").alias("seed"), F.col("id").alias("at")).distinct()
+    seen = None
+    for hop in range(hops):
+        reached = frontier.join(step, "at").select("seed", F.col("from_def").alias("at")).distinct()
+        reached = reached if seen is None else reached.join(seen, ["seed", "at"], "left_anti")
+        frontier = written(reached.withColumn("hop", F.lit(hop)), "simulated")
+        if frontier.isEmpty():
+            break
+        seen = frontier if seen is None else seen.unionByName(frontier)
+        frontier = frontier.select("seed", "at")
+    if seen is None:
+        return mutations.select("id", *[F.lit(0).cast("long").alias(c) for c in ("direct_callers", "direct_tests", "all_callers", "tests")])
+    kinds = seen.join(defs.select(F.col("id").alias("at"), "is_test"), "at")
+    first = F.col("hop") == 0
+    counts = kinds.groupBy(F.col("seed").alias("id")).agg(
+        F.count_if(first & ~F.col("is_test")).alias("direct_callers"), F.count_if(first & F.col("is_test")).alias("direct_tests"),
+        F.count_if(~F.col("is_test")).alias("all_callers"), F.count_if("is_test").alias("tests"),
+    )
+    return mutations.select("id").join(counts, "id", "left").na.fill(0)
+
+
+def blast_gaps(refs: DataFrame, defs: DataFrame, planned: DataFrame, least: float = 0.1) -> DataFrame:
+    """file, plan_file, callers, frequency, confidence: files outside the plan that hold enough callers of its exported definitions.
+
+    The frequency is a file's share of all callers of one definition; of a file the highest counts.
+    """
+    plan = planned.select(F.col("file").alias("source_file"))
+    targets = defs.filter("exported AND NOT is_test").join(plan, "source_file", "left_semi")
+    edges = refs.join(_end(targets, "to", "source_file"), "to_def").join(_end(defs, "from", "source_file", "is_test"), "from_def")
+    total = edges.groupBy("to_def").agg(F.count(F.lit(1)).alias("total"))
+    share = edges.filter("NOT from_is_test").groupBy("to_def", F.col("to_source_file").alias("plan_file"), F.col("from_source_file").alias("file")).agg(F.count(F.lit(1)).alias("callers"))
+    found = share.join(total, "to_def").withColumn("frequency", F.col("callers") / F.col("total")).filter(F.col("frequency") >= least)
+    found = found.join(plan.select(F.col("source_file").alias("file")), "file", "left_anti")
+    best = found.groupBy("file").agg(F.max(F.struct("frequency", "callers", "plan_file", -F.col("to_def"))).alias("b"))
+    confidence = F.when((F.col("frequency") > 0.5) | (F.col("callers") >= 5), "high").otherwise("moderate")
+    return best.select("file", "b.plan_file", "b.callers", "b.frequency").withColumn("confidence", confidence)
+
+
+def resolve(wanted: DataFrame, refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """wanted(key, name, receiver) -> key, id, how: exact match, else a unique name, else the most referred to of that name."""
+    named = wanted.join(callers_each(refs, defs).select("id", "name", F.col("receiver").alias("d_receiver"), "callers"), "name")
+    alone = F.count(F.lit(1)).over(Window.partitionBy("key")) == 1
+    how = F.when(F.col("receiver") == F.col("d_receiver"), 0).when(alone, 1).otherwise(2)
+    w = Window.partitionBy("key").orderBy("how", F.desc("callers"), "id")
+    best = named.withColumn("how", how).withColumn("r", F.row_number().over(w)).filter("r = 1")
+    return best.select("key", "id", F.element_at(F.array(*map(F.lit, ("exact", "unique", "callers"))), F.col("how") + 1).alias("how"))
+
+
+def cascade(refs: DataFrame, defs: DataFrame, mutations: DataFrame, depth: int = 5) -> DataFrame:
+    """mutations(id, kind) -> depth, new_breaks, cumulative, files: callers that break, level by level.
+
+    A caller is known by name and receiver and breaks once; tests do not break. Only signature
+    changes and removals go on, as signature changes.
+    """
+    edges = refs.join(_end(defs.filter("NOT is_test"), "from", "name", "receiver", "source_file"), "from_def")
+    frontier, seen, levels = mutations.select("id", F.col("kind").isin("signature-change", "removal").alias("goes_on")), None, None
+    for level in range(depth):
+        hit = frontier.join(edges, F.col("id") == F.col("to_def")).groupBy("from_name", "from_receiver").agg(
+            F.min("from_def").alias("id"), F.max("goes_on").alias("goes_on"), F.collect_set("from_source_file").alias("files")
+        )
+        if seen is not None:
+            hit = hit.join(seen.select("from_name", "from_receiver"), ["from_name", "from_receiver"], "left_anti")
+        hit = written(hit.withColumn("depth", F.lit(level)), "cascade")
+        if hit.isEmpty():
+            break
+        seen = hit if seen is None else seen.unionByName(hit)
+        frontier = hit.filter("goes_on").select("id", "goes_on")
+    if seen is None:
+        return mutations.sparkSession.createDataFrame([], "depth int, new_breaks long, cumulative long, files string")
+    levels = seen.groupBy("depth").agg(F.count(F.lit(1)).alias("new_breaks"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("files")))).alias("f"))
+    # One row a level, of which there are at most ``depth``.
+    run = F.sum("new_breaks").over(Window.orderBy("depth"))
+    return levels.select("depth", "new_breaks", run.alias("cumulative"), F.array_join("f", ",").alias("files"))
+
+
+def backward_prerequisites(refs: DataFrame, defs: DataFrame, receiver: str) -> DataFrame:
+    """kind, name: what the most referred-to sibling of ``receiver`` refers to, and its tests."""
+    best = top_siblings(refs, defs.filter(F.col("receiver") == receiver), 1).join(defs.select("id", "name"), "id").select(F.col("name").alias("pattern"))
+    own = defs.filter(F.col("receiver") == receiver).join(F.broadcast(best), F.col("name") == F.col("pattern")).select("id")
+    uses = refs.join(own.select(F.col("id").alias("from_def")), "from_def", "left_semi").join(_end(defs.filter("NOT is_test"), "to", "name"), "to_def")
+    tests = refs.join(own.select(F.col("id").alias("to_def")), "to_def", "left_semi").join(_end(defs.filter("is_test"), "from", "name"), "from_def")
+    return uses.select(F.lit("reference").alias("kind"), F.col("to_name").alias("name")).union(tests.select(F.lit("test"), "from_name")).distinct()
+
+
+def select_mutations(refs: DataFrame, defs: DataFrame, planned: DataFrame, least: int = 2, k: int = 5) -> DataFrame:
+    """name, receiver, callers: exported definitions of planned files with enough callers, one a name and receiver."""
+    own = defs.filter("exported AND NOT is_test").join(planned.select(F.col("file").alias("source_file")), "source_file", "left_semi")
+    found = callers_each(refs, own).groupBy("name", "receiver").agg(F.max("callers").alias("callers")).filter(F.col("callers") >= least)
+    return found.orderBy(F.desc("callers"), "name", "receiver").limit(k)
+
+
+def coupling_kind(body: Column, name: Column) -> Column:
+    """How a body uses a name: pass-through, indirect, field, type-ref or unknown; the first that fits."""
+    quoted = F.concat(F.lit("\\Q"), name, F.lit("\\E"))
+    says = lambda before, after: F.rlike(body, F.concat(F.lit(before), quoted, F.lit(after)))
+    return (
+        F.when(says("\\b", "\\s*\\("), "pass-through").when(says("\\.\\(\\s*\\*?", "\\s*\\)"), "indirect")
+        .when(says("\\.", "\\b[^(]"), "field").when(says("\\b", "\\b"), "type-ref").otherwise("unknown")
+    )
+
+
+def coupling_weight(kind: Column) -> Column:
+    return F.when(kind == "pass-through", 1.0).when(kind == "field", 0.8).when(kind == "indirect", 0.2).otherwise(0.5)
+
+
+def pattern_counts(bodies: DataFrame, patterns: list[str], k: int = 10) -> DataFrame:
+    """key, hits: for each key of bodies(key, body) the bodies like a pattern, summed over patterns, the ``k`` highest."""
+    hits = F.lit(0).cast("long")
+    for p in patterns:
+        hits = hits + F.count_if(F.col("body").like(p))
+    return bodies.groupBy("key").agg(hits.alias("hits")).filter("hits > 0").orderBy(F.desc("hits"), "key").limit(k)
+
+
+def importer_density(refs: DataFrame, defs: DataFrame, planned: DataFrame) -> DataFrame:
+    """module_id, references, coupling: how often modules refer to planned files, and .15 + .45 * min(n / 5, 1)."""
+    plan = defs.join(planned.select(F.col("file").alias("source_file")), "source_file", "left_semi")
+    rest = defs.join(planned.select(F.col("file").alias("source_file")), "source_file", "left_anti")
+    joined = refs.join(_end(plan, "to"), "to_def", "left_semi").join(_end(rest, "from", "module_id"), "from_def")
+    found = joined.groupBy(F.col("from_module_id").alias("module_id")).agg(F.countDistinct("from_def", "to_def").alias("references"))
+    return found.withColumn("coupling", F.round((0.15 + 0.45 * F.least(F.col("references") / 5, F.lit(1.0))) * 1000) / 1000)
 
 
 def test_density(defs: DataFrame) -> DataFrame:
@@ -60,8 +251,29 @@ def test_density(defs: DataFrame) -> DataFrame:
     return counts.withColumn("density", F.col("tests") / F.col("definitions"))
 
 
-def blast_buckets(refs: DataFrame, defs: DataFrame) -> DataFrame:
-    """bucket, definitions, tests: definitions by number of callers (none, 1-2, 3-9, 10 and more)."""
-    n = F.coalesce("callers", F.lit(0))
-    bucket = F.when(n == 0, "none").when(n < 3, "few").when(n < 10, "some").otherwise("many")
-    return defs.join(in_degree(refs), "id", "left").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("definitions"), F.count_if("is_test").alias("tests"))
+def blast_bucket(n: Column) -> Column:
+    return F.when(n <= 2, "0-2").when(n <= 5, "3-5").when(n <= 10, "6-10").when(n <= 20, "11-20").otherwise(">20")
+
+
+def density_bucket(x: Column) -> Column:
+    return F.when(x < 0.20, "<20%").when(x < 0.35, "20-35%").otherwise(">35%")
+
+
+def subdivide(refs: DataFrame, defs: DataFrame, mutations: DataFrame, segments: int) -> DataFrame:
+    """segment, mutations, callers, tests, risk: mutations dealt to segments by id modulo their number, each with its totals."""
+    each = forward_simulation(refs, defs, mutations, 5)
+    seg = F.pmod("id", F.lit(segments)).cast("int")
+    found = each.groupBy(seg.alias("segment")).agg(F.count(F.lit(1)).alias("mutations"), F.sum("direct_callers").alias("callers"), F.sum("tests").alias("tests"))
+    risk = F.when((F.col("callers") >= 10) | (F.col("tests") >= 30), "high").when((F.col("callers") >= 3) | (F.col("tests") >= 10), "moderate").otherwise("low")
+    return found.withColumn("risk", risk)
+
+
+def invariant_claims(refs: DataFrame, defs: DataFrame, claims: DataFrame) -> DataFrame:
+    """claims(file, kind) -> file, kind, verified, evidence: tests claims need test callers, api-compat ones no external callers."""
+    tests = test_coverage(refs, defs).join(defs.select("id", "source_file"), "id").groupBy("source_file").agg(F.sum("tests").alias("tests"))
+    outside = external_callers(refs, defs).join(defs.select("id", "source_file"), "id").groupBy("source_file").agg(F.sum("external_callers").alias("outside"))
+    joined = claims.join(tests.withColumnRenamed("source_file", "file"), "file", "left").join(outside.withColumnRenamed("source_file", "file"), "file", "left")
+    n = F.when(F.col("kind") == "tests", F.col("tests")).when(F.col("kind") == "api-compat", F.col("outside"))
+    n = F.when(F.col("kind").isin("tests", "api-compat"), F.coalesce(n, F.lit(0).cast("long")))
+    verified = F.when(F.col("kind") == "tests", n > 0).when(F.col("kind") == "api-compat", n == 0).otherwise(F.lit(False))
+    return joined.select("file", "kind", verified.alias("verified"), n.alias("evidence"))

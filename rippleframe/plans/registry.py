@@ -1,120 +1,8 @@
-"""Queries over the driver's tables, each with its SQL."""
+"""All queries over the driver's tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from rippleframe.plans import comod_queries, eval_queries, graph_queries, history_queries, rank_queries  # noqa: F401
+from rippleframe.plans.base import ORACLES, QUERIES
 
-from rippleframe.operators import comod, graph, history
-from rippleframe.sources import views
-
-PLANNED = ("Brand#11", "Brand#12", "Brand#13")
-THRESHOLD = 0.15
-SEED = 1
-
-
-def comod_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comod.confidence(views.commit_files(spark, sf_dir))
-
-
-def comod_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = spark.createDataFrame([(p,) for p in PLANNED], "file string")
-    return comod.gaps(views.commit_files(spark, sf_dir), planned, THRESHOLD)
-
-
-def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.in_degree(views.references(spark, sf_dir))
-
-
-def external_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.external_callers(views.references(spark, sf_dir), views.definitions(spark, sf_dir))
-
-
-def test_coverage_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.test_coverage(views.references(spark, sf_dir), views.definitions(spark, sf_dir))
-
-
-def not_in_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.not_referenced(views.references(spark, sf_dir), views.definitions(spark, sf_dir))
-
-
-def outcome_base_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
-
-
-def comod_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comod.hubs(comod_gaps(spark, sf_dir), len(PLANNED))
-
-
-def pair_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comod.convention_pairs(views.commit_files(spark, sf_dir))
-
-
-def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.callers(views.references(spark, sf_dir), views.definitions(spark, sf_dir))
-
-
-def two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.two_hop(views.references(spark, sf_dir))
-
-
-def closure_depth4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = views.definitions(spark, sf_dir).filter(F.col("id") == SEED)
-    return graph.reachable_callers(views.references(spark, sf_dir), seeds, 5)
-
-
-def test_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.test_density(views.definitions(spark, sf_dir))
-
-
-def base_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.blast_buckets(views.references(spark, sf_dir), views.definitions(spark, sf_dir))
-
-
-def in_degree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_degree(spark, sf_dir).orderBy(F.desc("callers"), "id").limit(15)
-
-
-def tail_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.tail_n(views.table(spark, sf_dir, "events"), "user_id", 10).select("user_id", "event_id", "rn")
-
-
-def recency_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.recency_mean(views.table(spark, sf_dir, "events"), "user_id")
-
-
-def churn_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.churn(views.table(spark, sf_dir, "events"), "user_id", 7, 2)
-
-
-def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.carry_forward(views.table(spark, sf_dir, "conversations"))
-
-
-QUERIES = {f.__name__: f for f in (comod_confidence, comod_gaps, in_degree, external_callers, test_coverage_count, not_in_anti, outcome_base_rates, comod_hubs, pair_conventions, callers, two_hop, closure_depth4, test_density, base_rates, in_degree_topk, tail_n, recency_calibration, churn_hotspots, carry_forward)}
-
-_COMMITS = "WITH c AS (SELECT DISTINCT l_orderkey AS commit_id, p_brand AS file FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT file, count(*) AS alone FROM c GROUP BY file), f AS (SELECT a.file AS file_a, b.file AS file_b, count(*) AS together, any_value(n.alone) AS alone, count(*) / any_value(n.alone) AS confidence FROM c a JOIN c b ON a.commit_id = b.commit_id AND a.file <> b.file JOIN n ON n.file = a.file GROUP BY 1, 2) "
-_PLAN = ", ".join(f"'{p}'" for p in PLANNED)
-_REFS = "WITH r AS (SELECT DISTINCT a.l_partkey AS from_def, b.l_partkey AS to_def FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey), d AS (SELECT p_partkey AS id, p_brand AS source_file, p_size % 5 = 0 AS is_test FROM part) "
-
-ORACLES = {
-    "comod_confidence": _COMMITS + "SELECT * FROM f",
-    "comod_gaps": _COMMITS + f"SELECT file_b AS file, max(confidence) AS best, count(*) AS sources FROM f WHERE confidence >= {THRESHOLD} AND file_a IN ({_PLAN}) AND file_b NOT IN ({_PLAN}) GROUP BY file_b",
-    "in_degree": _REFS + "SELECT to_def AS id, count(*) AS callers FROM r GROUP BY 1",
-    "external_callers": _REFS + "SELECT t.source_file, count(*) AS external_callers FROM r JOIN d s ON s.id = from_def JOIN d t ON t.id = to_def WHERE s.source_file <> t.source_file GROUP BY 1",
-    "test_coverage_count": _REFS + "SELECT d.id, count(t.id) AS tests FROM d LEFT JOIN r ON r.to_def = d.id LEFT JOIN d t ON t.id = r.from_def AND t.is_test GROUP BY 1",
-    "not_in_anti": _REFS + "SELECT id FROM d WHERE id NOT IN (SELECT to_def FROM r)",
-    "outcome_base_rates": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2",
-    "comod_hubs": _COMMITS + f"SELECT file_b AS file, max(confidence) AS best, count(*) AS sources FROM f WHERE confidence >= {THRESHOLD} AND file_a IN ({_PLAN}) AND file_b NOT IN ({_PLAN}) GROUP BY file_b HAVING count(*) >= 3 OR count(*) >= 0.6 * {len(PLANNED)}",
-    "pair_conventions": _COMMITS + "SELECT file_a, file_b, together FROM f WHERE file_a < file_b AND together >= 5",
-    "callers": _REFS + "SELECT DISTINCT to_def AS id, s.source_file AS caller_file FROM r JOIN d s ON s.id = from_def JOIN d t ON t.id = to_def WHERE NOT s.is_test AND s.source_file <> t.source_file",
-    "two_hop": _REFS + "SELECT a.from_def AS id, b.to_def AS second FROM r a JOIN r b ON a.to_def = b.from_def WHERE a.from_def <> b.to_def EXCEPT SELECT from_def, to_def FROM r",
-    "closure_depth4": _REFS.replace("WITH r", "WITH RECURSIVE r", 1).rstrip() + f", t(id, depth) AS (SELECT from_def, 0 FROM r WHERE to_def = {SEED} UNION SELECT r.from_def, depth + 1 FROM t JOIN r ON r.to_def = t.id WHERE depth < 4) SELECT DISTINCT id FROM t",
-    "test_density": _REFS + "SELECT source_file, count(*) FILTER (is_test) AS tests, count(*) AS definitions, count(*) FILTER (is_test) / count(*) AS density FROM d GROUP BY 1",
-    "base_rates": _REFS.rstrip() + ", g AS (SELECT d.id, any_value(d.is_test) AS is_test, count(r.from_def) AS n FROM d LEFT JOIN r ON r.to_def = d.id GROUP BY d.id) SELECT CASE WHEN n = 0 THEN 'none' WHEN n < 3 THEN 'few' WHEN n < 10 THEN 'some' ELSE 'many' END AS bucket, count(*) AS definitions, count(*) FILTER (is_test) AS tests FROM g GROUP BY 1",
-    "in_degree_topk": _REFS + "SELECT to_def AS id, count(*) AS callers FROM r GROUP BY 1 ORDER BY callers DESC, id LIMIT 15",
-    "tail_n": "SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rn FROM events) WHERE rn <= 10",
-    "recency_calibration": "SELECT user_id, round(sum(value * w) / sum(w) * 1000) / 1000 AS weighted FROM (SELECT user_id, value, 1 + (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / count(*) OVER (PARTITION BY user_id) AS w FROM events WHERE value IS NOT NULL) GROUP BY 1",
-    "churn_hotspots": "SELECT user_id, count(*) AS changes FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1 HAVING count(*) >= 2",
-    "carry_forward": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS opened FROM conversations",
-}
+__all__ = ["ORACLES", "QUERIES"]
