@@ -72,7 +72,7 @@ def excluded_by_name(spark, sf):
     return comod.excluded(found, spark.createDataFrame([("Brand#1",), ("dir/Brand#2",)], "file string"))
 
 
-@query("AND_VIEWS w AS (SELECT path FROM {manifest} WHERE dir = 'ECONOMY/Brand#2' UNION SELECT 'Brand#4/' || base FROM {manifest} WHERE dir LIKE '%/Brand#4' UNION SELECT 'else/where/' || base FROM {manifest} WHERE parent = 'SMALL'), h AS (SELECT w.path, count(*) AS n, max(CASE WHEN m.path = w.path THEN m.path END) AS exact, min(m.path) AS any_path FROM w JOIN {manifest} m ON m.path = w.path OR ends_with(m.path, '/' || w.path) GROUP BY 1), b AS (SELECT base, count(*) AS bases, min(path) AS only FROM {manifest} GROUP BY 1), k AS (SELECT w.path, exact, any_path, only, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'suffix' WHEN bases = 1 THEN 'base' ELSE 'none' END AS how FROM w LEFT JOIN h ON h.path = w.path LEFT JOIN b ON b.base = regexp_replace(w.path, '^.*/', '')) SELECT path, CASE how WHEN 'exact' THEN exact WHEN 'suffix' THEN any_path WHEN 'base' THEN only END AS resolved, how FROM k")
+@query("AND_VIEWS w AS (SELECT path FROM {manifest} WHERE dir = 'ECONOMY/Brand#2' UNION SELECT 'Brand#4/' || base FROM {manifest} WHERE dir LIKE '%/Brand#4' UNION SELECT 'else/where/' || base FROM {manifest} WHERE parent = 'SMALL'), h AS (SELECT w.path, count(*) AS n, max(CASE WHEN m.path = w.path THEN m.path END) AS exact, min(m.path) AS any_path FROM w JOIN {manifest} m ON m.path = w.path OR ends_with(m.path, '/' || w.path) GROUP BY 1), b AS (SELECT base, count(*) AS bases, min(path) AS one_path FROM {manifest} GROUP BY 1), k AS (SELECT w.path, exact, any_path, one_path, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'suffix' WHEN bases = 1 THEN 'base' ELSE 'none' END AS how FROM w LEFT JOIN h ON h.path = w.path LEFT JOIN b ON b.base = regexp_replace(w.path, '^.*/', '')) SELECT path, CASE how WHEN 'exact' THEN exact WHEN 'suffix' THEN any_path WHEN 'base' THEN one_path END AS resolved, how FROM k")
 def resolve_paths(spark, sf):
     m = view(spark, sf, "manifest")
     wanted = m.filter("dir = 'ECONOMY/Brand#2'").select("path").union(m.filter("dir LIKE '%/Brand#4'").select(F.concat(F.lit("Brand#4/"), "base"))).union(m.filter("parent = 'SMALL'").select(F.concat(F.lit("else/where/"), "base")))

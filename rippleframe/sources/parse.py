@@ -110,7 +110,7 @@ def call_sites(texts: DataFrame) -> DataFrame:
     each = lines(texts).withColumn("caller", _running(F.nullif(F.regexp_extract("line", _FUNC, 2), F.lit(""))))
     body = F.regexp_replace(F.when(F.col("line").rlike(_FUNC), F.regexp_replace("line", r"^func[^{]*", "")).otherwise(F.col("line")), r"//.*$", "")
     found = each.select("id", (F.col("pos") + 1).alias("line"), "caller", F.explode(F.regexp_extract_all(body, F.lit(r"([A-Za-z_][\w.]*)\s*\("), F.lit(1))).alias("full"))
-    keywords = ("if", "for", "switch", "func", "return", "select", "go", "defer")
+    keywords = ("if", "for", "switch", "func", "return", "select", "go", "defer", "import", "var", "const", "type")
     return found.filter(~F.col("full").isin(*keywords)).withColumn("callee", F.regexp_replace("full", r"^.*\.", ""))
 
 
