@@ -141,45 +141,48 @@ def shares_of(domains: list[str], targets: dict[str, float]) -> np.ndarray:
     return share / share.sum() if share.sum() > 0 else np.full(len(domains), 1 / len(domains))
 
 
-def mass_of(tokens: pa.Array, p: pa.Array, share: np.ndarray, cover: bool) -> np.ndarray:
-    """Expected domain tokens of each document; with ``cover``, what they exceed its tokens at the target shares by."""
-    n = tokens.to_numpy()[:, None]
-    return n * (p.flatten().to_numpy().reshape(-1, len(share)) - (share if cover else 0.0))
+def way_of(tokens: pa.Array, p: pa.Array, share: np.ndarray, cover: bool) -> np.ndarray:
+    """What a token of each document adds to the domains; with ``cover``, what that exceeds the target shares by. 0 without tokens."""
+    some = (tokens.to_numpy() > 0)[:, None]
+    return some * (p.flatten().to_numpy().reshape(-1, len(share)) - (share if cover else 0.0))
 
 
-def rates_of(mass: np.ndarray, gaps: list[np.ndarray], floor: float = 0.0) -> np.ndarray:
-    """Rates, ``floor`` at least, of documents with ``mass_of`` after the steps so far."""
-    r = np.ones(len(mass))
+def rates_of(way: np.ndarray, gaps: list[np.ndarray], floor: float = 0.0) -> np.ndarray:
+    """Rates, ``floor`` at least, of documents with ``way_of`` after the steps so far."""
+    r = np.ones(len(way))
     for g in gaps:
-        r = np.maximum(floor, r - mass @ g)
+        r = np.maximum(floor, r - way @ g)
     return r
 
 
 def fit_rates(post: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS, cover: bool = False) -> list[np.ndarray]:
     """The steps' gaps, from which ``rates_of`` gives every rate. ``post`` has to be a written table.
 
-    The gradient is taken in the metric of the domains' second moments, in which a unit
-    step is safe; once rates lie at the floor, also in the metric of the others' moments, in
-    which steps are longer. A pass tries several steps and the best is kept. Targets are
+    A document's part of the gradient is divided by its tokens, a diagonal scaling that the
+    projection allows, so a very long document does not set the pace and rates follow the
+    posterior alone. The gradient is taken in the metric of the domains' moments, in which a
+    unit step is safe; once rates lie at the floor, also in the metric of the others' moments,
+    in which steps are longer. A pass tries several steps and the best is kept. Targets are
     shares of today's total; with ``cover`` no rate goes below 1 and the total is free to grow.
     """
     k = len(domains)
     share, floor = shares_of(domains, targets), float(cover)
 
     def sums(gaps: list[np.ndarray], tries: list[np.ndarray]) -> np.ndarray:
-        """For each try: the mass, the domain tokens and the second moments of documents above the floor; last, the moments of all."""
+        """For each try: the mass, the domain tokens and the moments of documents above the floor; last, the moments of all."""
         wide = 2 * k + k * k
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(tries) * wide + k * k)
             for b in batches:
-                mass, tokens = mass_of(b.column(0), b.column(1), share, cover), mass_of(b.column(0), b.column(1), share, False)
-                r = rates_of(mass, gaps, floor)
+                n, way = b.column(0).to_numpy()[:, None], way_of(b.column(0), b.column(1), share, cover)
+                mass, tokens = n * way, n * way_of(b.column(0), b.column(1), share, False)
+                r = rates_of(way, gaps, floor)
                 for t, g in enumerate(tries):
-                    new = np.maximum(floor, r - mass @ g)
-                    free = mass[new > floor]
-                    total[t * wide : (t + 1) * wide] += np.concatenate([new @ mass, new @ tokens, (free.T @ free).reshape(-1)])
-                total[len(tries) * wide :] += (mass.T @ mass).reshape(-1)
+                    new = np.maximum(floor, r - way @ g)
+                    free = new > floor
+                    total[t * wide : (t + 1) * wide] += np.concatenate([new @ mass, new @ tokens, (mass[free].T @ way[free]).reshape(-1)])
+                total[len(tries) * wide :] += (mass.T @ way).reshape(-1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
 
         rows = post.select("n_tokens", "p").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
@@ -224,8 +227,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mass = mass_of(b.column(1), b.column(2), share, cover)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates_of(mass, gaps, float(cover)))], names=["doc_id", "n_tokens", "p", "rate"])
+            way = way_of(b.column(1), b.column(2), share, cover)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates_of(way, gaps, float(cover)))], names=["doc_id", "n_tokens", "p", "rate"])
 
     return post.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double")
 

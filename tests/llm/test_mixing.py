@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
 
-from rippleframe.llm.mixing import fit_rates, mass_of, rates_of, shares_of
+from rippleframe.llm.mixing import fit_rates, rates_of, shares_of, way_of
 
 
 @pytest.fixture(scope="module")
@@ -32,8 +32,8 @@ def test_fit_reaches_the_shares(post, target, cover):
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
         gaps = fit_rates(frame, ["0", "1"], targets, cover=cover)
-    mass = mass_of(pa.array(n), pa.array(list(p)), shares_of(["0", "1"], targets), cover)
-    rates = rates_of(mass, gaps, float(cover))
+    way = way_of(pa.array(n), pa.array(list(p)), shares_of(["0", "1"], targets), cover)
+    rates = rates_of(way, gaps, float(cover))
     tokens = rates @ (p * n[:, None])
     assert rates.min() >= float(cover)
     assert tokens / tokens.sum() == pytest.approx([target, 1 - target], abs=1e-5)
