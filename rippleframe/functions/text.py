@@ -140,7 +140,8 @@ def caller_confidence(callers: Column, total: Column) -> Column:
 
 
 def suggest_confidence(callers: Column) -> Column:
-    return F.least(0.4 + 0.1 * callers, F.lit(0.8))
+    """.4 and .1 for each caller, .8 at most."""
+    return F.least((4 + callers) / 10, F.lit(0.8))
 
 
 def cascade_score(depth: Column) -> Column:
