@@ -46,7 +46,7 @@ def metrics_summary(spark, sf):
 
 @query("AND_VIEWS " + _UNION + "SELECT count(*) AS tasks, count(*) FILTER (ru.recall > rp.recall) AS improved, count(*) FILTER (ru.recall < rp.recall) AS worsened, round(avg(ru.recall - rp.recall) * 10000) / 10000 AS lift FROM ru JOIN rp ON rp.task_id = ru.task_id")
 def union_lift(spark, sf):
-    return evaluate.lift(_metrics(spark, sf), _wider(spark, sf))
+    return evaluate.lift(_metrics(spark, sf).filter("hits + misses > 0"), _wider(spark, sf))
 
 
 @query("AND_VIEWS " + _MET + "SELECT CASE WHEN hits + misses <= 1 THEN '1' WHEN hits + misses <= 3 THEN '2-3' WHEN hits + misses <= 10 THEN '4-10' WHEN hits + misses <= 50 THEN '11-50' ELSE '>50' END AS bucket, count(*) AS tasks, round(avg(recall) * 10000) / 10000 AS recall FROM m GROUP BY 1 HAVING count(*) >= 5")
