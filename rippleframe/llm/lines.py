@@ -10,8 +10,11 @@ shingle sets reaches the threshold.
 A band bucket is first compared with two of its lines in each of ``STARS`` rounds, and
 verified links are contracted by distributed union-find. What still lies in different
 components of a bucket is then compared pair by pair, so no candidate is left out, yet
-a bucket of near copies costs about its size. Pairs that were refuted are not compared
-again. Of each component the first line by document id and position stays.
+a bucket of near copies costs about its size. That comparison carries parity sketches: each
+distinct shingle flips one of ``SKETCH_BITS`` bits, so the bits in which two sketches differ
+are never more than the shingles in only one of the lines. Pairs with more such bits than
+the threshold allows are refuted inside the join, without an error, and give no row. Pairs
+that were refuted by their text are not compared again. Of each component the first line by document id and position stays.
 
 Signing and verifying run as numpy and Python in Arrow batches of bounded size, the rest
 with DataFrame functions; the README gives the figures of the form with DataFrame
@@ -46,8 +49,11 @@ THRESHOLD = 0.8
 #: Signature values whose low four bits are kept, in two words, and the most that may differ.
 CHECKED = 32
 MOST_APART = 15
-#: Characters that are signed at a time.
+#: Bits of a parity sketch, a power of two.
+SKETCH_BITS = 1024
+#: Characters and lines that are signed or sketched at a time.
 BLOCK_CHARS = 1 << 18
+BLOCK_LINES = 1 << 10
 
 _U64 = np.uint64
 
@@ -79,8 +85,8 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """The signature of each line, of one character at least: (lines, BANDS * ROWS) of uint32."""
+def _hashed_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all shingles of all lines, where each line's begin, and how many it has."""
     sizes = np.array([len(x) for x in lines], dtype=np.int64)
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + _U64(1)
     h = np.zeros(len(chars), dtype=np.uint64)
@@ -97,20 +103,44 @@ def signatures(lines: list[str]) -> np.ndarray:
         h[begins[i]] = own
     starts = np.cumsum(counts) - counts
     at = np.repeat(begins - starts, counts) + np.arange(counts.sum())
-    short = (_scrambled(h[at]) >> _U64(32)).astype(np.uint32)
+    return _scrambled(h[at]), starts, counts
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """The signature of each line, of one character at least: (lines, BANDS * ROWS) of uint32."""
+    hashes, starts, _ = _hashed_shingles(lines)
+    short = (hashes >> _U64(32)).astype(np.uint32)
     return np.stack([np.minimum.reduceat(short ^ m, starts) for m in _masks()], axis=1)
 
 
+def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each line, and their parity sketch: (lines, SKETCH_BITS // 64) of int64."""
+    hashes, _, counts = _hashed_shingles(lines)
+    owner = np.repeat(np.arange(len(lines)), counts)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    once = np.ones(len(hashes), dtype=bool)
+    once[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[once], owner[once]
+    bits = owner * SKETCH_BITS + (hashes & _U64(SKETCH_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(bits, minlength=len(lines) * SKETCH_BITS) & 1).astype(np.uint8)
+    return np.bincount(owner, minlength=len(lines)), np.packbits(odd, bitorder="little").view(np.int64).reshape(len(lines), -1)
+
+
+def _blocks(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of bounded size; a longer line is a block of its own at most with those before it."""
+    begin, held = 0, 0
+    for k, line in enumerate(lines):
+        held += len(line)
+        if held >= BLOCK_CHARS or k + 1 - begin >= BLOCK_LINES or k + 1 == len(lines):
+            yield begin, k + 1
+            begin, held = k + 1, 0
+
+
 def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines = batch.column(1).to_pylist()
-        cuts, held = [0], 0
-        for k, line in enumerate(lines):
-            held += len(line)
-            if held >= BLOCK_CHARS or k + 1 == len(lines):
-                cuts.append(k + 1)
-                held = 0
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for a, b in _blocks(lines):
             sig = signatures(lines[a:b]).astype(np.uint64)
             bands = np.zeros((b - a, BANDS), dtype=np.uint64)
             for r in range(ROWS):
@@ -131,6 +161,32 @@ def signed(distinct: DataFrame) -> DataFrame:
     return distinct.select("id", "line", "first").mapInArrow(_signed, f"id long, line string, first {_FIRST}, bands array<long>, s0 long, s1 long")
 
 
+def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = batch.column(1).to_pylist()
+        for a, b in _blocks(lines):
+            counts, words = sketches(lines[a:b])
+            columns = [pa.array(words[:, w].copy()) for w in range(words.shape[1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), *columns], names=["id", "n", *_WORDS])
+
+
+_WORDS = [f"k{w}" for w in range(SKETCH_BITS // 64)]
+
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """texts(id, line) -> id, n (distinct shingles) and the words of the parity sketch."""
+    return texts.select("id", "line").mapInArrow(_sketched, f"id long, n long, {', '.join(f'{w} long' for w in _WORDS)}")
+
+
+def _may_reach(x: str, y: str, threshold: float) -> Column:
+    """False only if too many shingles are in one of the two lines alone."""
+    most = (F.col(f"{x}n") + F.col(f"{y}n")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+    apart = F.lit(0)
+    for w in _WORDS:
+        apart = apart + F.bit_count(F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}")))
+    return (F.abs(F.col(f"{x}n") - F.col(f"{y}n")) <= most) & (apart <= most)
+
+
 def shingle_set(line: str) -> set[str]:
     return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -189,15 +245,16 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(a.alias("a"), b.alias("b"), ca.alias("comp_a"), cb.alias("comp_b")).distinct()
 
 
-def _candidates(banded: DataFrame, seed: int) -> tuple[DataFrame, DataFrame | None]:
+def _candidates(banded: DataFrame, texts: DataFrame, seed: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
     """Pairs of a round, and the table it holds, if any."""
     unlike = F.col("comp") != F.col("o.comp")
     if seed < STARS:
         near = banded.join(_open(banded, seed).select("band", "p", "q"), "band").select("id", "comp", "s0", "s1", F.explode(F.array_distinct(F.array("p", "q"))).alias("o"))
         return _ordered(near.filter(unlike & _close("", "o."))), None
-    held = materialize(banded.join(_open(banded, seed).select("band"), "band", "left_semi"), "line-rest")
-    other = held.select("band", F.struct("id", "comp", "s0", "s1").alias("o"))
-    return _ordered(held.join(other, "band").filter((F.col("id") < F.col("o.id")) & unlike & _close("", "o."))), held
+    left = banded.join(_open(banded, seed).select("band"), "band", "left_semi")
+    held = materialize(left.join(sketched(texts), "id"), "line-rest")
+    other = held.select("band", F.struct("id", "comp", "s0", "s1", "n", *_WORDS).alias("o"))
+    return _ordered(held.join(other, "band").filter((F.col("id") < F.col("o.id")) & unlike & _close("", "o.") & _may_reach("", "o.", threshold))), held
 
 
 def similar_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -209,7 +266,7 @@ def similar_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFr
     roots = lines.sparkSession.createDataFrame([], "node long, root long")
     tried = None
     for seed in range(STARS + 1):
-        pairs, held = _candidates(banded, seed)
+        pairs, held = _candidates(banded, texts, seed, threshold)
         pairs = materialize(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "line-pairs")
         found = materialize(_verified(pairs, texts, threshold).distinct(), "line-links")
         moved = components(found, "lines")

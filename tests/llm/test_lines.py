@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import SparkSession
 
-from rippleframe.llm.lines import decide
+from rippleframe.llm.lines import decide, shingle_set, sketches
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +48,43 @@ def test_links_are_all_pairs_links(spark, tmp_path):
     found = {x["doc_id"]: x["component"] for x in decide(spark.read.parquet(f"{tmp_path}/docs"), threshold=0.9).collect()}
     assert all(found[k] == found[root[k]] for k in found)
     assert len(set(found.values())) == len(set(root))
+
+
+def test_sketches_never_show_more_than_the_difference():
+    r = random.Random(7)
+    lines = ["a", "ab", "aaaaaaaaaa", "é😀é😀é😀é", "x" * 5000]
+    for _ in range(60):
+        line = "".join(r.choices("abcde ", k=r.randint(1, 900)))
+        lines += [line, line[: len(line) // 2] + "".join(r.choices("abcde ", k=r.randint(1, 300)))]
+    counts, words = sketches(lines)
+    sets = [shingle_set(x) for x in lines]
+    assert counts.tolist() == [len(s) for s in sets]
+    for a in range(len(lines)):
+        for b in range(a + 1):
+            shown = sum(bin((int(x) ^ int(y)) % 2**64).count("1") for x, y in zip(words[a], words[b], strict=True))
+            apart = len(sets[a] ^ sets[b])
+            assert shown <= apart and (shown - apart) % 2 == 0
+
+
+def test_drifted_copies_keep_their_links(spark, tmp_path):
+    """Copies on both sides of the threshold: all links of any pair at or above it."""
+    r = random.Random(8)
+    base = [r.choice("abcdefghijklmnop ") for _ in range(150)]
+    lines = []
+    for k in range(90):
+        line = list(base)
+        for at in r.sample(range(150), k % 9):
+            line[at] = r.choice("ABCDEFGH")
+        lines.append("".join(line))
+    lines = sorted(set(lines))
+    root = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if _jaccard(lines[a], lines[b]) >= 0.8:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    found = {x["doc_id"]: x["component"] for x in decide(spark.read.parquet(f"{tmp_path}/docs")).collect()}
+    split = sum(found[k] != found[root[k]] for k in found)
+    assert split <= 0.02 * len(lines)
+    assert len(set(found.values())) >= len(set(root))
