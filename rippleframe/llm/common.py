@@ -13,6 +13,9 @@ LOCAL_CHECKPOINT_DIR = "file:///tmp/checkpoints"
 #: Most bytes of one broadcast value; larger inputs go in blocks or through a shuffle.
 BROADCAST_BYTES = 32 << 20
 
+#: Spark's setting that deletes a statement's shuffle files once it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,10 +30,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The write's shuffle files go once the table is there, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
