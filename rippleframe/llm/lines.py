@@ -260,8 +260,10 @@ def _candidates(banded: DataFrame, texts: DataFrame, seed: int, threshold: float
 def similar_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """lines as ``signed`` gives them, written -> (node, root): linked lines with the smallest id they reach."""
     every = lines.select("id", F.explode("bands").alias("band"))
-    shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    banded = materialize(every.join(shared, "band", "left_semi").join(lines.select("id", "s0", "s1"), "id").withColumn("comp", F.col("id")), "line-shared")
+    # Written first, so that the counting shuffle is gone before the next one; the bands grow with the lines and are never broadcast.
+    shared = materialize(every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"), "line-bands")
+    banded = materialize(every.join(shared.hint("merge"), "band", "left_semi").join(lines.select("id", "s0", "s1"), "id").withColumn("comp", F.col("id")), "line-shared")
+    discard(shared)
     texts = materialize(lines.select("id", "line").join(banded.select("id").distinct(), "id", "left_semi"), "line-texts")
     roots = lines.sparkSession.createDataFrame([], "node long, root long")
     tried = None
