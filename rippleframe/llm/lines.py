@@ -51,9 +51,11 @@ CHECKED = 32
 MOST_APART = 15
 #: Bits of a parity sketch, a power of two.
 SKETCH_BITS = 1024
-#: Characters and lines that are signed or sketched at a time.
-BLOCK_CHARS = 1 << 18
+#: Characters and lines that are signed or sketched at a time: so few that the arrays stay in a core's cache.
+BLOCK_CHARS = 1 << 15
 BLOCK_LINES = 1 << 10
+#: Bits of a hash that stay where a line's number in its block takes the others.
+HASH_BITS = 54
 
 _U64 = np.uint64
 
@@ -80,9 +82,12 @@ def _masks() -> np.ndarray:
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U64(27))) * _U64(0x94D049BB133111EB)
-    return x ^ (x >> _U64(31))
+    x = x ^ (x >> _U64(30))
+    x *= _U64(0xBF58476D1CE4E5B9)
+    x ^= x >> _U64(27)
+    x *= _U64(0x94D049BB133111EB)
+    x ^= x >> _U64(31)
+    return x
 
 
 def _hashed_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +97,9 @@ def _hashed_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     h = np.zeros(len(chars), dtype=np.uint64)
     for k in range(SHINGLE):
         # Lines that are shorter than a shingle have their only one at their start.
-        h[: len(chars) - k] = h[: len(chars) - k] * _U64(0x100000001B3) + chars[k:]
+        rest = h[: max(0, len(chars) - k)]
+        np.multiply(rest, _U64(0x100000001B3), out=rest)
+        np.add(rest, chars[k:], out=rest)
     counts = np.maximum(sizes - SHINGLE + 1, 1)
     ends = np.cumsum(sizes)
     begins = ends - sizes
@@ -101,9 +108,11 @@ def _hashed_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         for c in chars[begins[i] : ends[i]].tolist():
             own = (own * 0x100000001B3 + c) % 2**64
         h[begins[i]] = own
-    starts = np.cumsum(counts) - counts
-    at = np.repeat(begins - starts, counts) + np.arange(counts.sum())
-    return _scrambled(h[at]), starts, counts
+    # The positions at the end of a line at which no shingle begins.
+    begin = np.ones(len(chars), dtype=bool)
+    for k in range(SHINGLE - 1):
+        begin[(ends - 1 - k)[sizes > k + 1]] = False
+    return _scrambled(h[begin]), np.cumsum(counts) - counts, counts
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -116,12 +125,13 @@ def signatures(lines: list[str]) -> np.ndarray:
 def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each line, and their parity sketch: (lines, SKETCH_BITS // 64) of int64."""
     hashes, _, counts = _hashed_shingles(lines)
-    owner = np.repeat(np.arange(len(lines)), counts)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    once = np.ones(len(hashes), dtype=bool)
-    once[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner = hashes[once], owner[once]
+    # One sort of line and hash together; a block has at most BLOCK_LINES lines.
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
+    keys = np.sort((owner << _U64(HASH_BITS)) | (hashes >> _U64(64 - HASH_BITS)))
+    once = np.ones(len(keys), dtype=bool)
+    once[1:] = keys[1:] != keys[:-1]
+    keys = keys[once]
+    owner, hashes = (keys >> _U64(HASH_BITS)).astype(np.int64), keys & _U64((1 << HASH_BITS) - 1)
     bits = owner * SKETCH_BITS + (hashes & _U64(SKETCH_BITS - 1)).astype(np.int64)
     odd = (np.bincount(bits, minlength=len(lines) * SKETCH_BITS) & 1).astype(np.uint8)
     return np.bincount(owner, minlength=len(lines)), np.packbits(odd, bitorder="little").view(np.int64).reshape(len(lines), -1)
@@ -252,7 +262,8 @@ def _candidates(banded: DataFrame, texts: DataFrame, seed: int, threshold: float
         near = banded.join(_open(banded, seed).select("band", "p", "q"), "band").select("id", "comp", "s0", "s1", F.explode(F.array_distinct(F.array("p", "q"))).alias("o"))
         return _ordered(near.filter(unlike & _close("", "o."))), None
     left = banded.join(_open(banded, seed).select("band"), "band", "left_semi")
-    held = materialize(left.join(sketched(texts), "id"), "line-rest")
+    open_texts = texts.join(left.select("id").distinct(), "id", "left_semi")
+    held = materialize(left.join(sketched(open_texts), "id"), "line-rest")
     other = held.select("band", F.struct("id", "comp", "s0", "s1", "n", *_WORDS).alias("o"))
     return _ordered(held.join(other, "band").filter((F.col("id") < F.col("o.id")) & unlike & _close("", "o.") & _may_reach("", "o.", threshold))), held
 
