@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import SparkSession
 
-from rippleframe.llm.lines import decide, shingle_set, sketches
+from rippleframe.llm.lines import decide, shingle_set, signatures, sketches
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,12 @@ def test_drifted_copies_keep_their_links(spark, tmp_path):
     split = sum(found[k] != found[root[k]] for k in found)
     assert split <= 0.02 * len(lines)
     assert len(set(found.values())) >= len(set(root))
+
+
+def test_signatures_do_not_depend_on_the_block():
+    """Alone, even shorter than a shingle, or among others: a line has one signature."""
+    lines = ["a", "ab", "abcd", "abcde", "abcdef", "é😀é😀é😀é", "x" * 400]
+    together = signatures(lines)
+    for k, line in enumerate(lines):
+        assert (signatures([line])[0] == together[k]).all()
+        assert sketches([line])[0].tolist() == [len(shingle_set(line))]
