@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lexical, lines, mixing, secrets, simhash, token_counts, topk, toxicity, trie, warc
+from . import bpe, exact_dedup, lexical, lines, mixing, ngram_join, secrets, simhash, token_counts, topk, toxicity, trie, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_warc": warc.op10_warc,
     "op11_bpa": lexical.op11_bpa,
+    "op12_ngram_join": ngram_join.op12_ngram_join,
     "op13_trie": trie.op13_trie,
 }
 
-ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op8_topk": topk.OP8_SQL, "op11_bpa": lexical.OP11_SQL, "op13_trie": trie.OP13_SQL}
+ORACLES = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op8_topk": topk.OP8_SQL, "op11_bpa": lexical.OP11_SQL, "op12_ngram_join": ngram_join.OP12_SQL, "op13_trie": trie.OP13_SQL}

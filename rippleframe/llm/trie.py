@@ -226,28 +226,31 @@ class Shard:
         )
 
 
-def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 33
-    shard = Shard(number)
-    # The run of conversations with the same path: ids ascend, so their digest needs no list.
-    path, sizes, count, least, digest = None, [], 0, 0, None
-    for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in range(3))
-        for conv, own, own_sizes in zip(*columns, strict=True):
-            if own == path:
-                count += 1
-                digest.update(f",{conv}".encode())
-                continue
-            if path is not None:
-                shard.add(path, sizes, count, least, digest.hexdigest())
-                if len(shard.at) >= NODES:
-                    yield shard.rows()
-                    number += 1
-                    shard = Shard(number)
-            path, sizes, count, least, digest = own, own_sizes, 1, conv, hashlib.sha256(str(conv).encode())
-    if path is not None:
-        shard.add(path, sizes, count, least, digest.hexdigest())
-        yield shard.rows()
+def _shards(nodes: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        shard = Shard(number)
+        # The run of conversations with the same path: ids ascend, so their digest needs no list.
+        path, sizes, count, least, digest = None, [], 0, 0, None
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in range(3))
+            for conv, own, own_sizes in zip(*columns, strict=True):
+                if own == path:
+                    count += 1
+                    digest.update(f",{conv}".encode())
+                    continue
+                if path is not None:
+                    shard.add(path, sizes, count, least, digest.hexdigest())
+                    if len(shard.at) >= nodes:
+                        yield shard.rows()
+                        number += 1
+                        shard = Shard(number)
+                path, sizes, count, least, digest = own, own_sizes, 1, conv, hashlib.sha256(str(conv).encode())
+        if path is not None:
+            shard.add(path, sizes, count, least, digest.hexdigest())
+            yield shard.rows()
+
+    return run
 
 
 def _merged(spines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -276,14 +279,14 @@ def _merged(spines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole, placed.select("shard", F.col("side").alias("parent_side"), (F.col("depth") + 1).alias("depth"), F.col("least").alias("above"))
 
 
-def trie(convs: DataFrame) -> DataFrame:
+def trie(convs: DataFrame, nodes: int = NODES) -> DataFrame:
     """convs(conv_id, turns) -> conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256: one row a node."""
     n = shuffle_partitions(convs.sparkSession)
     # Digests are joined as text of their hexadecimal digits, so the path is one expression.
     path = F.unhex(F.array_join(F.transform("turns", lambda t: F.hex(t["digest"])), ""))
     flat = convs.select("conv_id", path.alias("path"), F.transform("turns", lambda t: t["bytes"]).alias("sizes"))
     ordered = flat.withColumn("dealt", F.substring("path", 1, RANGE_BYTES)).repartitionByRange(n, "dealt").sortWithinPartitions("path", "conv_id")
-    built = materialize(ordered.select("conv_id", "path", "sizes").mapInArrow(_shards, _NODE), "trie-shards")
+    built = materialize(ordered.select("conv_id", "path", "sizes").mapInArrow(_shards(nodes), _NODE), "trie-shards")
     spines = built.filter("spine")
     whole, above = _merged(spines)
     values = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("ends", F.lit(NO_ENDS)).alias("ends_sha256")]
