@@ -5,17 +5,18 @@ Shingles are put in one order for all: rare ones first, by a count of ``BUCKETS`
 over all documents, then by hash. Two sets at the threshold share a shingle among the first
 few of that order, their prefixes. Classes with the same prefix and size are one group;
 only groups enter the join on prefix shingles, filtered by size and by the position of the
-shingle. Group pairs that are left are expanded to pairs of members. A parity sketch of at
-least as many bits as a set has shingles then refutes pairs without an error: sketches
-differ in no more bits than there are shingles in one set alone. What remains is verified
-by the shingles of both texts.
+shingle. Group pairs that are left are expanded to pairs of members where they meet, and a
+parity sketch of at least as many bits as a set has shingles refutes pairs there without an
+error: sketches differ in no more bits than there are shingles in one set alone. What
+remains becomes rows and is verified by the shingles of both texts.
 
 Links come in two rounds. In the first each group is compared with the predecessor it
 shares most prefix shingles with, and the members of a group with their neighbours; the
 links found are contracted by union-find. The second compares, without exception, all that
 share a prefix shingle and still lie in different components, so a family of near copies
-costs about its size and no link is lost. A bucket of more than ``SALT`` groups is dealt to
-several tasks, each of which has a part of it against the whole.
+costs few rows and no link is lost. Classes of a bucket that are neither linked nor told
+apart by sizes are compared by sketches, which is quadratic in time, in no rows. A bucket of
+more than ``SALT`` classes is dealt to several tasks, each of which has a part against the rest.
 
 Sets and digests rest on 64-bit and 128-bit hashes. Defined results: a null, empty or blank
 text has no shingles, is linked with nothing and is its own component; a null doc_id ranks
@@ -43,8 +44,9 @@ PERCENT = 85
 #: Counters of shingles, a power of two, and how many of them go in one row.
 BUCKETS = 1 << 21
 PART = 1 << 15
-#: Groups of a bucket that one task compares with the whole bucket.
+#: Classes of a bucket that a task holds at a time, and members of a group in one row.
 SALT = 2000
+CHUNK_MEMBERS = 64
 #: Words whose hashes a task keeps at a time, and shingles that it counts at a time.
 MEMO = 1 << 20
 CHUNK = 1 << 20
@@ -90,16 +92,6 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def index_size(n: Column, percent: int) -> Column:
-    """The same against larger sets alone."""
-    return n - F.ceil(n * (2 * percent) / F.lit(100 + percent)) + 1
-
-
-def least_common(a: Column, b: Column, percent: int) -> Column:
-    """Shingles that sets of ``a`` and ``b`` have in common at least if they are linked."""
-    return F.ceil((a + b) * percent / F.lit(100 + percent))
-
-
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> _U64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
 
@@ -184,6 +176,14 @@ def _printed(levels: np.ndarray, words: int, percent: int):
     return run
 
 
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches on fewer bits: as bits are remainders by a power of two, halves fold onto each other."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
 def _not_refuted(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,17 +193,106 @@ def _not_refuted(percent: int):
                 common = -(-(n_a[k] + n_b[k]) * percent // (100 + percent))
                 if common > min(n_a[k], n_b[k]):
                     continue
-                x, y = (np.frombuffer(s, dtype=np.uint64) for s in sorted((s_a[k], s_b[k]), key=len))
-                # A sketch folds onto one of half its bits, as its bits are remainders.
-                while len(y) > len(x):
-                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                stays[k] = int(np.bitwise_count(x ^ y).sum()) <= n_a[k] + n_b[k] - 2 * common
+                x, y = (np.frombuffer(s, dtype=np.uint64) for s in (s_a[k], s_b[k]))
+                words = min(len(x), len(y))
+                stays[k] = int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()) <= n_a[k] + n_b[k] - 2 * common
             hit = batch.filter(pa.array(stays))
             yield pa.RecordBatch.from_arrays([hit.column(0), hit.column(1)], names=["a", "b"])
 
     return run
 
 
+class Bucket:
+    """Classes of the groups that a bucket holds, as arrays; ``met`` gives those that a further class may be linked with."""
+
+    def __init__(self, percent: int, prefixes: bool):
+        self.percent, self.prefixes = percent, prefixes
+        self.rows: list[tuple[int, int, int, list[dict]]] = []
+
+    def close(self) -> None:
+        of = [(n, gid, pos, m) for n, gid, pos, members in self.rows for m in members]
+        self.n, self.gid, self.pos = (np.array([r[k] for r in of], dtype=np.int64) for k in range(3))
+        self.comp = np.array([r[3]["comp"] for r in of], dtype="S16")
+        self.names = [r[3]["class"] for r in of]
+        words = np.array([len(r[3]["sketch"]) // 8 for r in of])
+        self.slot, self.words, self.sketches = np.zeros(len(of), dtype=np.int64), words, {}
+        for w in np.unique(words).tolist():
+            at = np.flatnonzero(words == w)
+            self.slot[at] = np.arange(len(at))
+            self.sketches[w] = np.frombuffer(b"".join(of[i][3]["sketch"] for i in at), dtype=np.uint64).reshape(len(at), w)
+
+    def met(self, n: int, gid: int, pos: int, member: dict, upto: int | None = None) -> list[bytes]:
+        """Names of classes (the first ``upto``) in other components that no filter rules out."""
+        part = slice(0, upto)
+        m, p = self.percent, 100 + self.percent
+        own = self.n[part]
+        least = -(-(own + n) * m // p)
+        ok = (100 * np.minimum(own, n) >= m * np.maximum(own, n)) & (self.comp[part] != np.array(member["comp"], dtype="S16"))
+        if self.prefixes:
+            # The smaller set has the shingle among those that any larger one meets it in.
+            index = own - -(-own * (2 * m) // p) + 1
+            mine = n - -(-n * (2 * m) // p) + 1
+            first = (own < n) | ((own == n) & (self.gid[part] < gid))
+            ok &= (self.gid[part] != gid) & (np.minimum(own - self.pos[part], n - pos) >= least) & np.where(first, self.pos[part] < index, pos < mine)
+        at = np.flatnonzero(ok)
+        if not len(at):
+            return []
+        sketch = np.frombuffer(member["sketch"], dtype=np.uint64)
+        found = []
+        for w in np.unique(self.words[at]).tolist():
+            of = at[self.words[at] == w]
+            words = min(w, len(sketch))
+            apart = np.bitwise_count(_folded(self.sketches[w][self.slot[of]], words) ^ _folded(sketch, words)).sum(axis=1)
+            found += [self.names[i] for i in of[apart <= own[of] + n - 2 * least[of]].tolist()]
+        return found
+
+
+def _compared(percent: int):
+    """Rows (prefixes, key, salt, streamed, n, gid, pos, members), sorted by the first four: pairs of classes that no filter rules out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, bucket, closed, a, b = None, None, False, [], []
+
+        def told(names, other):
+            for x in names:
+                a.append(min(x, other))
+                b.append(max(x, other))
+
+        def close():
+            nonlocal closed
+            bucket.close()
+            closed, at = True, 0
+            for n, gid, pos, members in bucket.rows:
+                for m in members:
+                    if at:
+                        told(bucket.met(n, gid, pos, m, at), m["class"])
+                    at += 1
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for prefixes, key, salt, streamed, n, gid, pos, members in zip(*columns, strict=True):
+                if (prefixes, key, salt) != name:
+                    if bucket and not closed:
+                        close()
+                    name, bucket, closed = (prefixes, key, salt), Bucket(percent, prefixes), False
+                if not streamed:
+                    bucket.rows.append((n, gid, pos, members))
+                    continue
+                if not closed:
+                    close()
+                if bucket.rows:
+                    for m in members:
+                        told(bucket.met(n, gid, pos, m), m["class"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            a.clear()
+            b.clear()
+        if bucket and not closed:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
 def _sets(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -217,12 +306,20 @@ def _sets(words: int):
     return run
 
 
+def _side(classes: DataFrame, end: str, *columns: str) -> DataFrame:
+    return classes.select(F.col("class").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+
+
+def _refuted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) of classes without those that sketches refute."""
+    both = pairs.join(_side(classes, "a", "n", "sketch"), "a").join(_side(classes, "b", "n", "sketch"), "b")
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_not_refuted(percent), "a binary, b binary")
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, label: str) -> DataFrame:
-    """pairs(a, b) of classes -> those that are linked, written; sketches refute most others before texts are fetched."""
-    side = lambda end, *columns: classes.select(F.col("class").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-    sketched = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-    left = materialize(sketched.mapInArrow(_not_refuted(percent), "a binary, b binary"), f"{label}-left")
-    at = materialize(left.join(side("a", "th"), "a").join(side("b", "th"), "b"), f"{label}-at")
+    """pairs(a, b) of classes -> those that are linked by their texts, written."""
+    left = materialize(pairs, f"{label}-left")
+    at = materialize(left.join(_side(classes, "a", "th"), "a").join(_side(classes, "b", "th"), "b"), f"{label}-at")
     wanted = materialize(at.select(F.explode(F.array("th_a", "th_b")).alias("th")).distinct(), f"{label}-wanted")
     found = texts.join(F.broadcast(wanted) if wanted.count() * 32 <= BROADCAST_BYTES else wanted, "th", "left_semi")
     sets = materialize(found.dropDuplicates(["th"]).select("th", "t").mapInArrow(_sets(words), "th long, set array<long>"), f"{label}-sets")
@@ -251,26 +348,31 @@ def _first_pairs(shared: DataFrame, groups: DataFrame, classes: DataFrame) -> Da
 
 
 def _rest_pairs(shared: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members(gid, class, comp) in different components whose groups pass the filters, and those within groups."""
-    spans = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    """Pairs of members(gid, class, comp, n, sketch) in different components that no filter rules out, compared bucket by bucket.
+
+    A bucket is a prefix shingle with the groups that have it, or a group of several
+    components. Tasks hold at most about ``SALT`` classes of a bucket; what a bucket has beyond
+    goes to further parts of it, and is shown to each part before. Pairs that are ruled out
+    never become rows.
+    """
+    spark = members.sparkSession
+    spans = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
+    spans = materialize(spans, "ngram-spans")
     placed = shared.select("token", "gid", "n", "pos").join(spans, "gid")
-    salts = F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts")
+    salts = F.ceil(F.sum("size") / SALT).cast("int").alias("salts")
     opened = placed.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), salts).filter("least <> most").select("token", "salts")
-    held = materialize(placed.join(opened, "token"), "ngram-open")
-    small = held.withColumn("salt", F.pmod(F.xxhash64("gid"), F.col("salts")).cast("int")).drop("salts")
-    large = held.select("token", *[F.col(c).alias(f"{c}_2") for c in ("gid", "n", "pos", "lo", "hi")], F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    n, m = F.col("n"), F.col("n_2")
-    apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("lo_2")) & (F.col("lo_2") == F.col("hi_2")))
-    fits = (
-        (F.struct("n", "gid") < F.struct("n_2", "gid_2")) & (100 * n >= percent * m) & (F.col("pos") < index_size(n, percent)) & apart
-        & (F.least(n - F.col("pos"), m - F.col("pos_2")) >= least_common(n, m, percent))
-    )
-    pairs = small.join(large, ["token", "salt"]).filter(fits).select("gid", "gid_2").distinct()
-    other = members.select(*[F.col(c).alias(f"{c}_2") for c in ("gid", "class", "comp")])
-    across = pairs.join(members, "gid").join(other, "gid_2").filter("comp <> comp_2")
-    mixed = members.join(spans.filter("lo <> hi").select("gid"), "gid", "left_semi")
-    within = mixed.join(other, F.col("gid") == F.col("gid_2")).filter("comp <> comp_2 AND class < class_2")
-    return across.select(*_in_order(F.col("class"), F.col("class_2"))).unionByName(within.select(*_in_order(F.col("class"), F.col("class_2")))).distinct()
+    held = materialize(placed.join(opened, "token").select(F.lit(True).alias("prefixes"), F.col("token").alias("key"), "gid", "pos", "salts"), "ngram-open")
+    mixed = spans.filter("lo <> hi").select(F.lit(False).alias("prefixes"), F.col("gid").alias("key"), "gid", F.lit(0).alias("pos"), F.ceil(F.col("size") / SALT).cast("int").alias("salts"))
+    rows = held.unionByName(mixed)
+    # Members of a group come in chunks, so no row grows with its group.
+    part = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / CHUNK_MEMBERS)).alias("part")
+    asked = members.join(spans.select("gid", "size"), "gid").join(rows.select("gid").distinct(), "gid", "left_semi")
+    chunks = asked.groupBy("gid", part).agg(F.first("n").alias("n"), F.collect_list(F.struct("class", "comp", "sketch")).alias("members"))
+    own = F.pmod(F.xxhash64("gid", "part"), F.col("salts")).cast("int")
+    dealt = rows.join(chunks, "gid").withColumn("own", own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("streamed", F.col("salt") != F.col("own"))
+    columns = ["prefixes", "key", "salt", "streamed"]
+    ordered = dealt.select(*columns, "n", "gid", "pos", "members").repartition(shuffle_partitions(spark), *columns[:3]).sortWithinPartitions(*columns)
+    return ordered.mapInArrow(_compared(percent), "a binary, b binary").distinct()
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -291,10 +393,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     plain = materialize(classes.select("class", "gid", "group", "n", "th", "sketch", "best"), "ngram-plain")
     discard(classes)
-    first = _linked(_first_pairs(shared, groups, plain), plain, texts, words, percent, "ngram-first")
+    first = _linked(_refuted(_first_pairs(shared, groups, plain), plain, percent), plain, texts, words, percent, "ngram-first")
     roots = components(first, "ngram")
     of = lambda r: plain.join(r.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class"))
-    members = materialize(of(roots).select("gid", "class", "comp"), "ngram-members")
+    members = materialize(of(roots).select("gid", "class", "comp", "n", "sketch"), "ngram-members")
     rest = _linked(_rest_pairs(shared, members, percent), plain, texts, words, percent, "ngram-rest")
     discard(shared, groups, members)
     if not rest.isEmpty():
