@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rippleframe.operators.quantile import numbered
 from rippleframe.operators.rank import rounded
 
 
@@ -54,28 +56,35 @@ def stratified(metrics: DataFrame, bucket: Column, least: int = 5) -> DataFrame:
 
 
 def alternating(metrics: DataFrame) -> DataFrame:
-    """half, tasks, recall: tasks in order of id dealt in turn. Tasks are the small, labelled side."""
-    at = F.row_number().over(Window.orderBy("task_id"))
-    return metrics.withColumn("half", F.when(at % 2 == 1, "first").otherwise("second")).groupBy("half").agg(F.count(F.lit(1)).alias("tasks"), rounded(F.avg("recall"), 4).alias("recall"))
+    """half, tasks, recall: tasks in order of id dealt in turn, without one sort of all."""
+    placed = numbered(metrics.select("task_id", "recall"), ["task_id"])
+    return placed.withColumn("half", F.when(F.col("row_no") % 2 == 1, "first").otherwise("second")).groupBy("half").agg(F.count(F.lit(1)).alias("tasks"), rounded(F.avg("recall"), 4).alias("recall"))
 
 
-def bootstrap(values: DataFrame, column: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """mean, lo, hi: the 95 % interval of the mean of a column over resamples of the rows.
+#: Chances that a Poisson variable of mean 1 is at most 0, 1, 2, ..; beyond them it is taken as the next.
+_AT_MOST = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
 
-    Each resample draws by a hash of seed, resample and draw, so reruns agree; the draws are
-    joined with the numbered rows, and no resample is gathered in one place.
+
+def bootstrap(values: DataFrame, column: str, resamples: int = 1000, seed: int = 42, key: str = "task_id") -> DataFrame:
+    """mean, lo, hi: the mean of a column and the 95 % interval of it over resamples of the rows.
+
+    A Poisson bootstrap: in each resample a row counts as often as a Poisson variable of mean 1
+    says, which a digest of seed, resample and the row's key decides; so one pass with sums a
+    resample does, rows need no numbers, and reruns agree. A digest serves four resamples. Values
+    are added in billionths, so the order of rows does not matter. Nulls are left out.
     """
-    v = values.filter(F.col(column).isNotNull())
-    n = v.count()
-    if n == 0:
-        return v.agg(F.avg(column).alias("mean"), F.avg(column).alias("lo"), F.avg(column).alias("hi"))
-    numbered = v.select(F.col(column).alias("x"), (F.row_number().over(Window.orderBy(*v.columns)) - 1).cast("long").alias("i"))
-    spark = values.sparkSession
-    draws = spark.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("d")).select("b", F.pmod(F.xxhash64("b", "d", F.lit(seed)), F.lit(n)).alias("i"))
-    means = draws.join(numbered, "i").groupBy("b").agg(F.avg("x").alias("m"))
-    ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m")) - 1)
-    at = lambda p: F.max(F.when(F.col("r") == int(p * resamples), F.col("m")))
-    return ranked.agg(F.avg("m").alias("mean"), at(0.025).alias("lo"), at(0.975).alias("hi"))
+    v = values.filter(F.col(column).isNotNull()).select(F.col(key).alias("k"), F.round(F.col(column) * 1e9).cast("long").alias("x"))
+    blocks = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1)))).withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "block", "k")))
+    each = blocks.select("x", "h", F.posexplode(F.array(*[F.substring("h", 8 * j + 1, 8) for j in range(4)])).alias("j", "part"), "block").withColumn("b", 4 * F.col("block") + F.col("j")).filter(F.col("b") < resamples)
+    u = F.conv("part", 16, 10).cast("long") / (1 << 32)
+    times = F.lit(0)
+    for p in _AT_MOST:
+        times = times + (u >= p).cast("int")
+    means = each.withColumn("times", times).groupBy("b").agg((F.sum(F.col("x") * F.col("times")) / F.nullif(F.sum("times"), F.lit(0)) / 1e9).alias("m"))
+    # One value a resample.
+    sorted_means = means.agg(F.array_sort(F.array_compact(F.collect_list("m"))).alias("ms"))
+    at = lambda p: F.get("ms", F.floor(F.lit(p) * F.size("ms")).cast("int"))
+    return v.agg((F.avg("x") / 1e9).alias("mean")).join(sorted_means.select(at(0.025).alias("lo"), at(0.975).alias("hi")), F.lit(True))
 
 
 def paired_difference(base: DataFrame, model: DataFrame, resamples: int = 1000) -> DataFrame:
@@ -125,3 +134,37 @@ def diff_magnitude(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def union_of(*sets: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, (s.select("task_id", "file") for s in sets)).distinct()
+
+
+def gold_matches(gold: DataFrame, plans: DataFrame) -> DataFrame:
+    """gold(task_id, path), plans(task_id, path) -> task_id, path, matched, how: for each gold file the planned file it is met by, null without one.
+
+    The whole path comes first, then one path that ends in the other, then a base name that one
+    planned file alone has; among several the least path. Ends of paths are keys of equal
+    joins, so a task's files are not compared pair by pair. Slashes at either end do not count;
+    a planned file may meet several gold files.
+    """
+    clean = lambda df: df.select("task_id", F.trim(F.col("path"), F.lit("/")).alias("path")).distinct()
+    g, p = clean(gold), clean(plans)
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))
+    cut = lambda df, c: df.withColumn("end", F.explode(ends)).select("task_id", F.col("path").alias(c), "end")
+    how = F.when(F.col("path") == F.col("matched"), 0).otherwise(1).alias("how")
+    longer = g.withColumn("end", F.col("path")).join(cut(p, "matched"), ["task_id", "end"]).select("task_id", "path", "matched", how)
+    shorter = cut(g, "path").join(p.select("task_id", F.col("path").alias("matched"), F.col("path").alias("end")), ["task_id", "end"]).select("task_id", "path", "matched", how)
+    base = F.regexp_replace("path", "^.*/", "").alias("base")
+    alone = p.select("task_id", "path", base).groupBy("task_id", "base").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("matched")).filter("n = 1")
+    named = g.select("task_id", "path", base).join(alone, ["task_id", "base"]).select("task_id", "path", "matched", F.lit(2).alias("how"))
+    best = longer.unionByName(shorter).unionByName(named).groupBy("task_id", "path").agg(F.min(F.struct("how", "matched")).alias("b"))
+    said = F.when(F.col("b.how") == 0, "exact").when(F.col("b.how") == 1, "suffix").when(F.col("b.how") == 2, "basename")
+    return g.join(best, ["task_id", "path"], "left").select("task_id", "path", F.col("b.matched").alias("matched"), said.alias("how"))
+
+
+def gold_scores(gold: DataFrame, plans: DataFrame) -> DataFrame:
+    """task_id, gold, hits, recall, precision, f1 of ``gold_matches``, for tasks with gold files."""
+    found = gold_matches(gold, plans).groupBy("task_id").agg(F.count(F.lit(1)).alias("gold"), F.count("matched").alias("hits"))
+    sizes = plans.select("task_id", F.trim(F.col("path"), F.lit("/")).alias("path")).distinct().groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
+    both = found.join(sizes, "task_id", "left")
+    share = lambda x: F.coalesce(F.col("hits") / F.nullif(x, F.lit(0)), F.lit(0.0))
+    r, p = share(F.col("gold")), share(F.col("n"))
+    return both.select("task_id", "gold", "hits", r.alias("recall"), p.alias("precision"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"))

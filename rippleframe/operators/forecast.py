@@ -9,25 +9,77 @@ from rippleframe.operators.graph import blast_bucket, density_bucket
 from rippleframe.operators.rank import rounded
 
 
+#: Cells of the grid: complexity and blast radius by logarithm, so that a ratio spans few of them, density by its reach.
+COMPLEXITY_BASE = 2.0
+BLAST_BASE = 3.0
+DENSITY_REACH = 0.2
+#: Cascades of this depth and more share a cell.
+DEEPEST = 4
+
+
+def _log_cell(x: Column, base: float, shift: float) -> Column:
+    return F.floor(F.log(base, F.greatest(x, F.lit(0.0)) + shift)).cast("int")
+
+
+def _complexity_cell(x: Column) -> Column:
+    return _log_cell(x, COMPLEXITY_BASE, 4.0)
+
+
+def _blast_cell(x: Column) -> Column:
+    return _log_cell(x, BLAST_BASE, 1.0)
+
+
+def _density_cell(x: Column) -> Column:
+    return F.floor(x / DENSITY_REACH).cast("int")
+
+
+def _depth_cell(x: Column) -> Column:
+    return F.least(F.greatest(F.coalesce(x, F.lit(0)), F.lit(0)), F.lit(DEEPEST)).cast("int")
+
+
+def _meetings(plans: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Plans (columns p_..) with outcomes of equal cells: in the grid of densities and in that of blast radii."""
+    p = plans.select(*[F.col(c).alias(f"p_{c}") for c in ("plan_id", "complexity", "density", "blast", "depth")])
+    reach = F.greatest(F.lit(3.0), F.col("p_complexity") / 2)
+    from_to = lambda cell, low, high: F.explode(F.sequence(cell(low), cell(high)))
+    depths = F.when(F.coalesce(F.col("p_depth"), F.lit(0)) <= 0, F.sequence(F.lit(0), F.lit(DEEPEST))).otherwise(
+        F.array_distinct(F.array(F.lit(0), *[_depth_cell(F.col("p_depth") + d) for d in (-1, 0, 1)]))
+    )
+    spread = p.withColumn("c_cell", from_to(_complexity_cell, F.col("p_complexity") - reach, F.col("p_complexity") + reach)).withColumn("k_cell", F.explode(depths))
+    placed = outcomes.withColumn("c_cell", _complexity_cell(F.col("complexity"))).withColumn("k_cell", _depth_cell(F.col("depth")))
+    by_density = spread.filter("p_density IS NOT NULL").withColumn("x_cell", from_to(_density_cell, F.col("p_density") - DENSITY_REACH, F.col("p_density") + DENSITY_REACH))
+    small = F.col("p_blast") <= 5
+    low, high = F.when(small, 0.0).otherwise(0.3 * F.col("p_blast")), F.when(small, F.greatest(F.lit(10.0), 3.0 * F.col("p_blast"))).otherwise(3.0 * F.col("p_blast"))
+    by_blast = spread.filter("p_blast IS NOT NULL").withColumn("x_cell", from_to(_blast_cell, low, high))
+    cells = ["c_cell", "k_cell", "x_cell"]
+    return placed.withColumn("x_cell", _density_cell(F.col("density"))).join(by_density, cells), placed.withColumn("x_cell", _blast_cell(F.col("blast"))).join(by_blast, cells)
+
+
 def similar(plans: DataFrame, outcomes: DataFrame) -> DataFrame:
     """plans(plan_id, complexity, density, blast, depth) with each outcome that resembles it.
 
     Complexity within 3 or half, and density within .2 or blast radius within a factor of 3
-    (or both small), and cascades of much the same depth. Plans are the small side.
+    (or both small), and cascades of much the same depth.
+
+    Both sides lie on a grid of complexity, depth and density, and on one of complexity, depth
+    and blast radius. An outcome has one cell in each, a plan all that its ranges touch; the
+    joins are on equal cells, and the second leaves out what the first has, so a pair comes once
+    and outcomes out of range are not compared. Null densities and blast radii are like none.
     """
-    p, h = plans.select(*[F.col(c).alias(f"p_{c}") for c in ("plan_id", "complexity", "density", "blast", "depth")]), outcomes
     gap = F.abs(F.col("complexity") - F.col("p_complexity"))
     like = (gap <= 3) | ((F.col("p_complexity") > 0) & (gap / F.nullif("p_complexity", F.lit(0)) < 0.5))
-    dense = F.abs(F.col("density") - F.col("p_density")) < 0.2
+    dense = F.abs(F.col("density") - F.col("p_density")) < DENSITY_REACH
     ratio = F.col("blast") / F.nullif("p_blast", F.lit(0))
-    blast = ((F.col("p_blast") <= 5) & (F.col("blast") <= 10)) | F.coalesce((ratio > 0.3) & (ratio < 3.0), F.lit(False))
-    deep = ~((F.col("p_depth") > 0) & (F.col("depth") > 0)) | (F.abs(F.col("depth") - F.col("p_depth")) <= 1)
-    return h.join(p, like & deep & (dense | blast)).withColumnRenamed("p_plan_id", "plan_id")
+    blast = ((F.col("p_blast") <= 5) & (F.col("blast") <= 10)) | F.coalesce((F.col("p_blast") > 0) & (ratio > 0.3) & (ratio < 3.0), F.lit(False))
+    deep = F.coalesce(~((F.col("p_depth") > 0) & (F.col("depth") > 0)) | (F.abs(F.col("depth") - F.col("p_depth")) <= 1), F.lit(True))
+    by_density, by_blast = _meetings(plans, outcomes)
+    both = by_density.filter(like & deep & dense).unionByName(by_blast.filter(like & deep & blast & ~F.coalesce(dense, F.lit(False))))
+    return both.drop("c_cell", "k_cell", "x_cell").withColumnRenamed("p_plan_id", "plan_id")
 
 
-def penalty(depth: Column) -> Column:
-    """What deep cascades cost in recall."""
-    return F.when(depth >= 3, 0.15).when(depth == 2, 0.08).when(depth == 1, 0.03).otherwise(0.0)
+def penalty(depth: Column, files: Column) -> Column:
+    """What deep cascades over many files cost in recall."""
+    return F.when((depth >= 3) & (files >= 20), 0.15).when((depth >= 2) & (files >= 10), 0.08).when((depth >= 1) & (files >= 5), 0.03).otherwise(0.0)
 
 
 def percentile_at(values: Column, p: float) -> Column:
@@ -35,41 +87,107 @@ def percentile_at(values: Column, p: float) -> Column:
     return F.get(F.array_sort(values), F.floor(p * (F.size(values) - 1)).cast("int"))
 
 
-def _shares(drawn: DataFrame) -> DataFrame:
-    r = F.col("drawn")
-    found = drawn.groupBy("plan_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg((r >= 0.8).cast("int")).alias("p_clean"), F.avg(((r < 0.8) & (r >= 0.4)).cast("int")).alias("p_rework"),
-        F.avg((r < 0.4).cast("int")).alias("p_failed"), F.avg(r).alias("mean"),
-    )
-    # Ranks by window, so no group of draws is gathered in one value.
-    w = Window.partitionBy("plan_id")
-    ranked = drawn.withColumn("i", F.row_number().over(w.orderBy("drawn")) - 1).withColumn("m", F.count(F.lit(1)).over(w))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(p * (F.col("m") - 1)), F.col("drawn")))
-    return found.join(ranked.groupBy("plan_id").agg(*[at(p).alias(f"p{int(p * 100)}") for p in (0.5, 0.85, 0.95)]), "plan_id")
+_PERCENTILES = {"p50": 0.5, "p85": 0.85, "p95": 0.95}
+
+
+def _class(recall: Column) -> Column:
+    return F.when(recall >= 0.8, "clean").when(recall >= 0.4, "rework").otherwise("failed")
+
+
+def _recalls(pool: DataFrame, key: str) -> DataFrame:
+    """key, mean and percentiles of pool(key, drawn, weight): places are counted by weight, one row a distinct value."""
+    values = pool.groupBy(key, "drawn").agg(F.sum("weight").alias("weight"))
+    w = Window.partitionBy(key)
+    ranked = values.withColumn("upto", F.sum("weight").over(w.orderBy("drawn"))).withColumn("m", F.sum("weight").over(w))
+    held = lambda p: (F.floor(p * (F.col("m") - 1)) >= F.col("upto") - F.col("weight")) & (F.floor(p * (F.col("m") - 1)) < F.col("upto"))
+    # Recalls are added in billionths, so the mean does not depend on their order.
+    mean = F.sum(F.round(F.col("drawn") * 1e9).cast("long") * F.col("weight")) / F.sum("weight") / 1e9
+    return ranked.groupBy(key).agg(rounded(mean, 2).alias("mean"), *[rounded(F.max(F.when(held(p), F.col("drawn"))), 2).alias(c) for c, p in _PERCENTILES.items()])
+
+
+def _chances(pool: DataFrame, key: str) -> DataFrame:
+    """key and the shares of clean, rework and failed of pool(key, outcome, recall, drawn, weight).
+
+    Where a key has any labelled outcome, labels count and unlabelled ones go by their recall;
+    otherwise all go by the recall drawn.
+    """
+    labelled = F.coalesce(F.col("outcome") != "", F.lit(False))
+    told = pool.withColumn("told", F.max(labelled).over(Window.partitionBy(key)))
+    by_label = F.when(F.col("outcome").isin("clean", "rework", "failed"), F.col("outcome")).otherwise(_class(F.col("recall")))
+    classed = told.withColumn("class", F.when(F.col("told"), by_label).otherwise(_class(F.col("drawn"))))
+    share = lambda c: rounded(F.sum(F.when(F.col("class") == c, F.col("weight")).otherwise(0)) / F.sum("weight"), 2).alias(f"p_{c}")
+    return classed.groupBy(key).agg(*map(share, ("clean", "rework", "failed")))
 
 
 def _report(found: DataFrame) -> DataFrame:
-    rate = lambda c: rounded(F.col(c), 4).alias(c)
-    out = found.select("plan_id", "n", *map(rate, ("p_clean", "p_rework", "p_failed", "mean", "p50", "p85", "p95")))
+    out = found.select("plan_id", "n", "p_clean", "p_rework", "p_failed", "mean", *_PERCENTILES)
     confidence = F.when(F.col("n") >= 20, "high").when(F.col("n") >= 5, "moderate").otherwise("low")
     risk = F.when(F.col("p_failed") > 0.3, "high").when(F.col("p_rework") > 0.5, "moderate").otherwise("low")
     return out.withColumn("confidence", confidence).withColumn("risk", risk)
 
 
+#: Similar outcomes without which all of history stands in.
+LEAST_SIMILAR = 3
+
+
+def _alike(outcomes: DataFrame) -> DataFrame:
+    """Outcomes that no forecast tells apart, with their number as ``weight``."""
+    return _labelled(outcomes).groupBy("complexity", "density", "blast", "depth", "recall", "outcome").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _costs(plans: DataFrame) -> DataFrame:
+    """plan_id, cost: the penalty of each plan; plans without cascade_files have none."""
+    files = F.col("cascade_files") if "cascade_files" in plans.columns else F.lit(0)
+    return plans.select("plan_id", penalty(F.col("depth"), files).alias("cost"))
+
+
+def _labelled(outcomes: DataFrame) -> DataFrame:
+    """Outcomes with a label, empty where there is none."""
+    return outcomes.withColumn("outcome", F.coalesce("outcome", F.lit("")) if "outcome" in outcomes.columns else F.lit(""))
+
+
+def _drawn(pool: DataFrame, cost: str) -> DataFrame:
+    return pool.withColumn("drawn", F.greatest(F.lit(0.0), F.col("recall") - F.col(cost)))
+
+
 def forecast_exact(plans: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """What endless draws from a plan's similar outcomes tend to: shares, mean and percentiles of recall, with the plan's cascade penalty."""
-    drawn = similar(plans, outcomes).withColumn("drawn", F.greatest(F.lit(0.0), F.col("recall") - penalty(F.col("p_depth"))))
-    return _report(_shares(drawn))
+    """What endless draws from a plan's similar outcomes tend to: shares of clean, rework and failed, mean and percentiles of recall.
+
+    plans(plan_id, complexity, density, blast, depth, cascade_files). ``n`` is the number of
+    similar outcomes; with fewer than three, all of history stands in, once for each penalty;
+    plans get no row if that has fewer than three too.
+    """
+    costs = _costs(plans)
+    bag = _alike(outcomes)
+    pool = similar(plans, bag).select("plan_id", "recall", "outcome", "weight").groupBy("plan_id", "recall", "outcome").agg(F.sum("weight").alias("weight"))
+    sizes = costs.join(pool.groupBy("plan_id").agg(F.sum("weight").alias("n")), "plan_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    own = _drawn(pool.join(sizes.filter(F.col("n") >= LEAST_SIMILAR), "plan_id"), "cost")
+    mine = sizes.join(_chances(own, "plan_id"), "plan_id").join(_recalls(own, "plan_id"), "plan_id")
+    every = bag.groupBy("recall", "outcome").agg(F.sum("weight").alias("weight"))
+    every = _drawn(every.withColumn("cost", F.explode(F.array(*map(F.lit, (0.15, 0.08, 0.03, 0.0))))), "cost")
+    enough = every.groupBy("cost").agg(F.sum("weight").alias("all")).filter(F.col("all") >= LEAST_SIMILAR).select("cost")
+    whole = enough.join(_chances(every, "cost"), "cost").join(_recalls(every, "cost"), "cost")
+    rest = sizes.filter(F.col("n") < LEAST_SIMILAR).join(whole, "cost")
+    return _report(mine.unionByName(rest))
 
 
 def forecast_draws(plans: DataFrame, outcomes: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """The same from ``draws`` draws a plan; each is a hash of plan, draw and seed, so reruns agree."""
+    """The same from ``draws`` draws of recalls and as many of labels a plan; each is a digest of plan, draw and seed, so reruns agree.
+
+    Outcomes of a plan are numbered by id. Plans with fewer than three similar outcomes get no row.
+    """
+    costs = _costs(plans)
     w = Window.partitionBy("plan_id")
-    pool = similar(plans, outcomes).select("plan_id", "p_depth", "recall", (F.row_number().over(w.orderBy("id")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("m"))
-    sizes = pool.groupBy("plan_id").agg(F.max("m").alias("m"))
-    picks = sizes.select("plan_id", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("d"), "m").select("plan_id", F.pmod(F.xxhash64("plan_id", "d", F.lit(seed)), "m").cast("int").alias("i"))
-    drawn = picks.join(pool, ["plan_id", "i"]).select("plan_id", F.greatest(F.lit(0.0), F.col("recall") - penalty(F.col("p_depth"))).alias("drawn"))
-    return _report(_shares(drawn))
+    pool = similar(plans, _labelled(outcomes)).select("plan_id", "recall", "outcome", (F.row_number().over(w.orderBy("id")) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(w).alias("m"))
+    pool = pool.filter(F.col("m") >= LEAST_SIMILAR)
+    sizes = pool.groupBy("plan_id").agg(F.max("m").alias("n"))
+    each = sizes.select("plan_id", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("d"), "n", F.explode(F.array(F.lit("recall"), F.lit("label"))).alias("of"))
+    digest = F.md5(F.concat_ws(":", "of", "plan_id", "d", F.lit(seed)))
+    picks = each.select("plan_id", "of", F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.col("n")).alias("i"))
+    # Draws of the same outcome are one row with a weight.
+    drawn = picks.groupBy("plan_id", "of", "i").agg(F.count(F.lit(1)).alias("weight")).join(pool.drop("m"), ["plan_id", "i"]).join(costs, "plan_id")
+    drawn = _drawn(drawn, "cost")
+    return _report(sizes.join(_chances(drawn.filter("of = 'label'"), "plan_id"), "plan_id").join(_recalls(drawn.filter("of = 'recall'"), "plan_id"), "plan_id"))
 
 
 def replicated(own: DataFrame, traces: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -162,40 +162,45 @@ def blast_gaps(refs: DataFrame, defs: DataFrame, planned: DataFrame, least: floa
 
 
 def resolve(wanted: DataFrame, refs: DataFrame, defs: DataFrame) -> DataFrame:
-    """wanted(key, name, receiver) -> key, id, how: exact match, else a unique name, else the most referred to of that name."""
+    """wanted(key, name, receiver) -> key, id, how: exact match, else a unique name, else a receiver that ends in the wanted one, pointers aside, else the most referred to of that name."""
     named = wanted.join(callers_each(refs, defs).select("id", "name", F.col("receiver").alias("d_receiver"), "callers"), "name")
     alone = F.count(F.lit(1)).over(Window.partitionBy("key")) == 1
-    how = F.when(F.col("receiver") == F.col("d_receiver"), 0).when(alone, 1).otherwise(2)
-    w = Window.partitionBy("key").orderBy("how", F.desc("callers"), "id")
+    bare = F.regexp_replace("receiver", r"^\*", "")
+    suffix = (F.col("receiver") != "") & F.endswith("d_receiver", bare)
+    how = F.when(F.col("receiver") == F.col("d_receiver"), 0).when(alone, 1).when(suffix, 2).otherwise(3)
+    # The most referred to counts only where nothing better tells them apart.
+    w = Window.partitionBy("key").orderBy("how", F.desc(F.when(F.col("how") == 3, F.col("callers")).otherwise(F.lit(0))), "id")
     best = named.withColumn("how", how).withColumn("r", F.row_number().over(w)).filter("r = 1")
-    return best.select("key", "id", F.element_at(F.array(*map(F.lit, ("exact", "unique", "callers"))), F.col("how") + 1).alias("how"))
+    return best.select("key", "id", F.element_at(F.array(*map(F.lit, ("exact", "unique", "suffix", "callers"))), F.col("how") + 1).alias("how"))
 
 
 def cascade(refs: DataFrame, defs: DataFrame, mutations: DataFrame, depth: int = 5) -> DataFrame:
-    """mutations(id, kind) -> depth, new_breaks, cumulative, files: callers that break, level by level.
+    """mutations(id, kind) -> depth, file, breaks, new_breaks, cumulative, converged: files with callers that break, level by level.
 
     A caller is known by name and receiver and breaks once; tests do not break. Only signature
-    changes and removals go on, as signature changes.
+    changes and removals go on, as signature changes. ``breaks`` counts in the file, new_breaks in
+    the level, cumulative up to it; converged tells whether nothing was left to go on.
     """
+    key = ["from_name", "from_receiver"]
     edges = refs.join(_end(defs.filter("NOT is_test"), "from", "name", "receiver", "source_file"), "from_def")
-    frontier, seen, levels = mutations.select("id", F.col("kind").isin("signature-change", "removal").alias("goes_on")), None, None
+    frontier, seen, done = mutations.select("id", F.col("kind").isin("signature-change", "removal").alias("goes_on")), None, False
     for level in range(depth):
-        hit = frontier.join(edges, F.col("id") == F.col("to_def")).groupBy("from_name", "from_receiver").agg(
-            F.min("from_def").alias("id"), F.max("goes_on").alias("goes_on"), F.collect_set("from_source_file").alias("files")
-        )
+        hit = frontier.join(edges, F.col("id") == F.col("to_def")).groupBy(*key, "from_def", F.col("from_source_file").alias("file")).agg(F.max("goes_on").alias("goes_on"))
         if seen is not None:
-            hit = hit.join(seen.select("from_name", "from_receiver"), ["from_name", "from_receiver"], "left_anti")
+            hit = hit.join(seen.select(*key).distinct(), key, "left_anti")
         hit = written(hit.withColumn("depth", F.lit(level)), "cascade")
-        if hit.isEmpty():
-            break
         seen = hit if seen is None else seen.unionByName(hit)
-        frontier = hit.filter("goes_on").select("id", "goes_on")
+        frontier = hit.groupBy(*key).agg(F.min("from_def").alias("id"), F.max("goes_on").alias("goes_on")).filter("goes_on").select("id", "goes_on")
+        done = frontier.isEmpty()
+        if done:
+            break
     if seen is None:
-        return mutations.sparkSession.createDataFrame([], "depth int, new_breaks long, cumulative long, files string")
-    levels = seen.groupBy("depth").agg(F.count(F.lit(1)).alias("new_breaks"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("files")))).alias("f"))
+        return mutations.sparkSession.createDataFrame([], "depth int, file string, breaks long, new_breaks long, cumulative long, converged boolean")
+    files = seen.select("depth", "file", *key).distinct().groupBy("depth", "file").agg(F.count(F.lit(1)).alias("breaks"))
+    levels = seen.select("depth", *key).distinct().groupBy("depth").agg(F.count(F.lit(1)).alias("new_breaks"))
     # One row a level, of which there are at most ``depth``.
-    run = F.sum("new_breaks").over(Window.orderBy("depth"))
-    return levels.select("depth", "new_breaks", run.alias("cumulative"), F.array_join("f", ",").alias("files"))
+    levels = levels.withColumn("cumulative", F.sum("new_breaks").over(Window.orderBy("depth")))
+    return files.join(F.broadcast(levels), "depth").select("depth", "file", "breaks", "new_breaks", "cumulative", F.lit(done).alias("converged"))
 
 
 def backward_prerequisites(refs: DataFrame, defs: DataFrame, receiver: str) -> DataFrame:

@@ -22,6 +22,7 @@ def novelty_weights(n: Column) -> dict[str, Column]:
 
 def contribution(source: Column, score: Column, n: Column, hub: Column, refs: Column | None = None) -> Column:
     """What one signal adds to its file; null where hubs are skipped."""
+    # The weight of each source, and how much less a hub's file gets.
     w = novelty_weights(n)
     s, skip = w["structural"], lambda x: F.when(~hub, x)
     coupling = 0.15 + 0.45 * F.least((refs if refs is not None else F.lit(0)) / 5, F.lit(1.0))
@@ -46,15 +47,21 @@ def contribution(source: Column, score: Column, n: Column, hub: Column, refs: Co
     )
 
 
+def not_planned(rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """Rows (plan_id, file, ..) whose file is no planned path and no planned path's base name."""
+    names = planned.select("plan_id", F.explode(F.array_distinct(F.array(F.col("file"), F.regexp_replace("file", "^.*/", "")))).alias("file")).distinct()
+    return rows.join(names, ["plan_id", "file"], "left_anti")
+
+
 def rank(signals: DataFrame, planned: DataFrame, novelty: float = 0.0, hubs: DataFrame | None = None) -> DataFrame:
-    """plan_id, file, score (two decimals), sources: contributions summed over sources, planned files left out.
+    """plan_id, file, score (two decimals), sources: contributions summed over sources, planned files left out by path and by base name.
 
     Contributions are added in millionths, so the sum does not depend on their order.
     """
     marked = signals.withColumn("hub", F.lit(False)) if hubs is None else signals.join(hubs.select("file", F.lit(True).alias("h")), "file", "left").withColumn("hub", F.coalesce("h", F.lit(False)))
     added = marked.withColumn("added", contribution(F.col("source"), F.col("score"), F.lit(novelty), F.col("hub"))).filter("added IS NOT NULL")
     summed = added.groupBy("plan_id", "file").agg((F.sum(F.round(F.col("added") * 1_000_000).cast("long")) / 1_000_000).alias("total"), F.array_sort(F.collect_set("source")).alias("sources"))
-    return summed.join(planned.select("plan_id", "file"), ["plan_id", "file"], "left_anti").select("plan_id", "file", rounded(F.col("total"), 2).alias("score"), "sources")
+    return not_planned(summed, planned).select("plan_id", "file", rounded(F.col("total"), 2).alias("score"), "sources")
 
 
 def merge_by_base(ranked: DataFrame, files: DataFrame) -> DataFrame:
@@ -72,17 +79,18 @@ def top_k(ranked: DataFrame, k: int = 5) -> DataFrame:
 def confidence_gate(ranked: DataFrame, verified: int = 3, alone: int = 2, discount: float = 0.6) -> DataFrame:
     """plan_id, file, score, tier: build-check without limit, then spike with strong evidence, then spike alone at a discount.
 
-    Spike alone counts only where the plan has a file of one of the better tiers.
+    Spike alone counts only where the plan has a file of one of the better tiers. A plan without
+    any spike file is not gated: all its files stay, without a tier.
     """
     spike = F.array_contains("sources", "verified-spike")
     strong = F.arrays_overlap("sources", F.array(*map(F.lit, STRONG)))
     tier = F.when(F.array_contains("sources", "build-check"), 0).when(spike & strong, 1).when(spike, 2)
-    tiers = ranked.withColumn("tier", tier).filter("tier IS NOT NULL")
-    tiers = tiers.withColumn("found", F.max(F.col("tier") < 2).over(Window.partitionBy("plan_id"))).filter("tier < 2 OR found")
+    plan = Window.partitionBy("plan_id")
+    tiers = ranked.withColumn("tier", tier).withColumn("spiked", F.max(spike).over(plan)).withColumn("found", F.max(F.coalesce(F.col("tier") < 2, F.lit(False))).over(plan))
     order = Window.partitionBy("plan_id", "tier").orderBy(F.desc("score"), "file")
-    kept = tiers.withColumn("r", F.row_number().over(order)).filter(f"tier = 0 OR tier = 1 AND r <= {verified} OR tier = 2 AND r <= {alone}")
-    score = F.when(F.col("tier") == 2, rounded(F.col("score") * discount, 3)).otherwise(F.col("score"))
-    return kept.select("plan_id", "file", score.alias("score"), "tier")
+    kept = tiers.withColumn("r", F.row_number().over(order)).filter(f"NOT spiked OR tier = 0 OR tier = 1 AND r <= {verified} OR tier = 2 AND found AND r <= {alone}")
+    score = F.when(F.col("spiked") & (F.col("tier") == 2), F.col("score") * discount).otherwise(F.col("score"))
+    return kept.select("plan_id", "file", score.alias("score"), F.when(F.col("spiked"), F.col("tier")).alias("tier"))
 
 
 def source_count_gate(signals: DataFrame, least: int = 2, k: int = 10) -> DataFrame:
@@ -104,8 +112,7 @@ def extremize(p: Column, factor: float) -> Column:
 def combine(signals: DataFrame, planned: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """plan_id, file, combined, structural, comod, semantic, confidence: the weighted mean of three sources, extremized where two agree."""
     w = weights or DEFAULT_WEIGHTS
-    own = signals.join(planned.select("plan_id", "file"), ["plan_id", "file"], "left_anti")
-    wide = own.groupBy("plan_id", "file").pivot("source", list(w)).agg(F.max("score")).na.fill(0.0, list(w))
+    wide = not_planned(signals, planned).groupBy("plan_id", "file").pivot("source", list(w)).agg(F.max("score")).na.fill(0.0, list(w))
     mean = sum((w[s] * F.col(s) for s in list(w)[1:]), w[list(w)[0]] * F.col(list(w)[0])) / sum(w.values())
     agree = sum(((F.col(s) > at).cast("int") for s, at in (("comod", 0.3), ("semantic", 0.3))), (F.col("structural") > 0.5).cast("int")) >= 2
     wide = wide.withColumn("mean", mean).withColumn("value", F.when(agree, extremize(F.col("mean"), 1.3)).otherwise(F.col("mean")))
@@ -127,8 +134,9 @@ def calibrate(predictions: DataFrame, actual: DataFrame, weights: dict[str, floa
 
 
 def verified_scores(ranked: DataFrame, sites: DataFrame) -> DataFrame:
-    """ranked with a boost of min(.25, half the score) where sites(file) has a call site, else, with no structural source, 0.7 of the score."""
-    joined = ranked.join(sites.select("file", F.lit(True).alias("seen")).distinct(), "file", "left")
+    """ranked with a boost of min(.25, half the score) where sites(file, and plan_id if it has one) has a call site, else, with no structural source, 0.7 of the score."""
+    key = [c for c in ("plan_id", "file") if c in sites.columns]
+    joined = ranked.join(sites.select(*key, F.lit(True).alias("seen")).distinct(), key, "left")
     weak = F.exists("sources", lambda s: s.isin("sibling", "structural", "callee"))
     score = F.when(F.col("seen"), F.least(F.lit(1.0), F.col("score") + F.least(F.lit(0.25), 0.5 * F.col("score")))).when(weak, F.col("score") * 0.7).otherwise(F.col("score"))
     return joined.withColumn("score", rounded(score, 3)).drop("seen")

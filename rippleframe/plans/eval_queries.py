@@ -11,7 +11,7 @@ from rippleframe.sources.views import table, view
 _CMP = "k AS (SELECT coalesce(p.task_id, a.task_id) AS task_id, coalesce(p.file, a.file) AS file, CASE WHEN p.file IS NOT NULL AND a.file IS NOT NULL THEN 'hit' WHEN p.file IS NOT NULL THEN 'extra' ELSE 'miss' END AS verdict FROM {predicted} p FULL JOIN {actual} a ON a.task_id = p.task_id AND a.file = p.file)"
 _MET = _CMP + ", c AS (SELECT task_id, count(*) FILTER (verdict = 'hit') AS hits, count(*) FILTER (verdict = 'extra') AS extras, count(*) FILTER (verdict = 'miss') AS misses FROM k GROUP BY 1), m AS (SELECT *, coalesce(hits / nullif(hits + extras, 0), 0) AS precision, coalesce(hits / nullif(hits + misses, 0), 0) AS recall, coalesce((extras + misses) / nullif(hits + extras + misses, 0), 0) AS brier, coalesce(2 * hits / nullif(2 * hits + extras + misses, 0), 0) AS f1 FROM c) "
 _UNION = "u AS (SELECT * FROM {predicted} UNION SELECT task_id, 'Brand#7' FROM {predicted} UNION SELECT task_id, 'Brand#8' FROM {predicted}), ru AS (SELECT a.task_id, count(u.file) / count(*) AS recall FROM {actual} a LEFT JOIN u ON u.task_id = a.task_id AND u.file = a.file GROUP BY 1), rp AS (SELECT a.task_id, count(p.file) / count(*) AS recall FROM {actual} a LEFT JOIN {predicted} p ON p.task_id = a.task_id AND p.file = a.file GROUP BY 1) "
-_GRID = [0.0, 0.25, 0.5, 0.75, 1.0]
+_GRID = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 _STEPS = "SELECT conv_id AS session, turn AS pos, CASE WHEN role = 'assistant' AND turn % 3 = 1 THEN 'edit' WHEN role = 'user' THEN 'open' ELSE 'run' END AS action, 'f' || (length(text) % 4) AS file FROM {conversations}"
 
 
@@ -64,17 +64,21 @@ def holdout_split(spark, sf):
     return evaluate.alternating(_metrics(spark, sf))
 
 
-@query()
+_TIMES = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in evaluate._AT_MOST)
+_BOOT = "q AS (SELECT unnest(range(250)) AS block), hs AS (SELECT x, block, md5(concat_ws(':', 42, block, task_id)) AS h FROM v, q), us AS (SELECT x, 4 * block + j AS b, CAST('0x' || substr(h, 8 * j + 1, 8) AS BIGINT) / 4294967296 AS u FROM hs, (SELECT unnest(range(4)) AS j)), ms AS (SELECT b, sum(x * (" + _TIMES + ")) / sum(" + _TIMES + ") / 1e9 AS m FROM us GROUP BY 1), ls AS (SELECT list_sort(list(m)) AS l FROM ms) SELECT (SELECT avg(x) / 1e9 FROM v) AS mean, l[26] AS lo, l[976] AS hi"
+
+
+@query("AND_VIEWS " + _MET + ", v AS (SELECT task_id, CAST(round(recall * 1e9) AS BIGINT) AS x FROM m), " + _BOOT + " FROM ls")
 def bootstrap_ci(spark, sf):
-    return evaluate.bootstrap(_metrics(spark, sf).select("task_id", "recall"), "recall", 300)
+    return evaluate.bootstrap(_metrics(spark, sf).select("task_id", "recall"), "recall")
 
 
-@query()
+@query("AND_VIEWS " + _MET + ", " + _UNION.strip() + ", nu AS (SELECT coalesce(u.task_id, a.task_id) AS task_id, count(a.file) AS n, count(CASE WHEN u.file IS NOT NULL AND a.file IS NOT NULL THEN 1 END) AS h FROM u FULL JOIN {actual} a ON a.task_id = u.task_id AND a.file = u.file GROUP BY 1), v AS (SELECT m.task_id, CAST(round((coalesce(h / nullif(n, 0), 0) - m.recall) * 1e9) AS BIGINT) AS x FROM m JOIN nu ON nu.task_id = m.task_id), " + _BOOT + ", l[26] > 0 OR l[976] < 0 AS significant FROM ls")
 def paired_difference(spark, sf):
-    return evaluate.paired_difference(_metrics(spark, sf), _wider(spark, sf), 300)
+    return evaluate.paired_difference(_metrics(spark, sf), _wider(spark, sf))
 
 
-@query("AND_VIEWS s AS (SELECT plan_id AS task_id, file, coalesce(max(score) FILTER (source = 'structural'), 0) AS a, coalesce(max(score) FILTER (source = 'comod'), 0) AS b FROM {signals} GROUP BY 1, 2), g AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS w), n AS (SELECT w, a.task_id, count(s.file) / count(*) AS recall FROM g CROSS JOIN {actual} a LEFT JOIN s ON s.task_id = a.task_id AND s.file = a.file AND w * s.a + (1 - w) * s.b >= 0.5 GROUP BY 1, 2), r AS (SELECT w, round(avg(recall) * 10000) / 10000 AS recall FROM n GROUP BY 1) SELECT *, row_number() OVER (ORDER BY recall DESC, w) = 1 AS best FROM r")
+@query("AND_VIEWS s AS (SELECT plan_id AS task_id, file, coalesce(max(score) FILTER (source = 'structural'), 0) AS a, coalesce(max(score) FILTER (source = 'comod'), 0) AS b FROM {signals} GROUP BY 1, 2), g AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS w), n AS (SELECT w, a.task_id, count(s.file) / count(*) AS recall FROM g CROSS JOIN {actual} a LEFT JOIN s ON s.task_id = a.task_id AND s.file = a.file AND w * s.a + (1 - w) * s.b >= 0.5 GROUP BY 1, 2), r AS (SELECT w, round(avg(recall) * 10000) / 10000 AS recall FROM n GROUP BY 1) SELECT *, row_number() OVER (ORDER BY recall DESC, w) = 1 AS best FROM r")
 def grid_search(spark, sf):
     wide = view(spark, sf, "signals").groupBy(F.col("plan_id").alias("task_id"), "file").pivot("source", ["structural", "comod"]).agg(F.max("score")).na.fill(0.0)
     return evaluate.grid_search(wide.select("task_id", "file", F.col("structural").alias("a"), F.col("comod").alias("b")), view(spark, sf, "actual"), _GRID)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rippleframe.operators import forecast, history
+from rippleframe.operators import forecast, history, quantile
 from rippleframe.plans.base import query
 from rippleframe.sources.views import table, view
 
 _MISSES = "m AS (SELECT project, event_id, ts, unnest([ 'f' || (k % 7), 'f' || (event_id % 5), CASE WHEN event_id % 3 = 0 THEN '<ack>' ELSE 'g' || (k % 2) END ]) AS file FROM {log} WHERE event_type IN ('view', 'click')), c AS (SELECT project, event_id, ts, row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_id DESC) AS r FROM (SELECT *, max(ts) OVER (PARTITION BY project) AS newest FROM {log} WHERE event_type IN ('view', 'click')) WHERE ts >= newest - INTERVAL 7 DAY) "
 _OUT = "CASE k % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'rework' ELSE 'failed' END"
-_SIM = "s AS (SELECT p.plan_id, p.depth AS p_depth, o.id, o.recall FROM {plans} p JOIN {outcomes} o ON (abs(o.complexity - p.complexity) <= 3 OR p.complexity > 0 AND abs(o.complexity - p.complexity) / p.complexity < 0.5) AND NOT (p.depth > 0 AND o.depth > 0 AND abs(o.depth - p.depth) > 1) AND (abs(o.density - p.density) < 0.2 OR p.blast <= 5 AND o.blast <= 10 OR p.blast > 0 AND o.blast / p.blast > 0.3 AND o.blast / p.blast < 3.0)) "
+_SIM = "s AS (SELECT p.plan_id, CASE WHEN p.depth >= 3 AND p.cascade_files >= 20 THEN 0.15 WHEN p.depth >= 2 AND p.cascade_files >= 10 THEN 0.08 WHEN p.depth >= 1 AND p.cascade_files >= 5 THEN 0.03 ELSE 0 END::DOUBLE AS cost, o.id, o.recall, o.outcome FROM {plans} p JOIN {outcomes} o ON (abs(o.complexity - p.complexity) <= 3 OR p.complexity > 0 AND abs(o.complexity - p.complexity) / p.complexity < 0.5) AND NOT (p.depth > 0 AND o.depth > 0 AND abs(o.depth - p.depth) > 1) AND (abs(o.density - p.density) < 0.2 OR p.blast <= 5 AND o.blast <= 10 OR p.blast > 0 AND o.blast / p.blast > 0.3 AND o.blast / p.blast < 3.0)) "
+_SHARES = "round(avg((class = 'clean')::INT) * 100) / 100 AS p_clean, round(avg((class = 'rework')::INT) * 100) / 100 AS p_rework, round(avg((class = 'failed')::INT) * 100) / 100 AS p_failed"
+_PLACES = "round(sum(CAST(round(drawn * 1e9) AS BIGINT)) / count(*) / 1e9 * 100) / 100 AS mean, " + ", ".join(f"round(max(CASE WHEN i = floor({p} * (m - 1)) THEN drawn END) * 100) / 100 AS p{round(p * 100)}" for p in (0.5, 0.85, 0.95))
+_SAID = "CASE WHEN n >= 20 THEN 'high' WHEN n >= 5 THEN 'moderate' ELSE 'low' END AS confidence, CASE WHEN p_failed > 0.3 THEN 'high' WHEN p_rework > 0.5 THEN 'moderate' ELSE 'low' END AS risk"
+# Outcomes of the view are all labelled, so shares go by the labels.
+_EXACT = _SIM + ", c AS (SELECT plan_id, count(*) AS n FROM s GROUP BY 1), f AS (SELECT plan_id, cost, recall, outcome FROM s UNION ALL SELECT p.plan_id, CASE WHEN p.depth >= 3 AND p.cascade_files >= 20 THEN 0.15 WHEN p.depth >= 2 AND p.cascade_files >= 10 THEN 0.08 WHEN p.depth >= 1 AND p.cascade_files >= 5 THEN 0.03 ELSE 0 END::DOUBLE, o.recall, o.outcome FROM {plans} p LEFT JOIN c ON c.plan_id = p.plan_id CROSS JOIN {outcomes} o WHERE coalesce(c.n, 0) < 3), e AS (SELECT f.* FROM f LEFT JOIN c ON c.plan_id = f.plan_id), d AS (SELECT plan_id, outcome AS class, greatest(0.0, recall - cost) AS drawn FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY drawn) - 1 AS i, count(*) OVER (PARTITION BY plan_id) AS m FROM d), g AS (SELECT k.plan_id, coalesce(any_value(c.n), 0) AS n, " + _SHARES + ", " + _PLACES + " FROM k LEFT JOIN c ON c.plan_id = k.plan_id GROUP BY 1) "
 _BLAST = "CASE WHEN blast <= 2 THEN '0-2' WHEN blast <= 5 THEN '3-5' WHEN blast <= 10 THEN '6-10' WHEN blast <= 20 THEN '11-20' ELSE '>20' END"
 _DENS = "CASE WHEN density < 0.20 THEN '<20%' WHEN density < 0.35 THEN '20-35%' ELSE '>35%' END"
 _RATES = "b AS (SELECT recall, CASE WHEN project % 2 = 0 THEN 'method' ELSE 'function' END AS kind, " + _BLAST + " AS bb, " + _DENS + " AS db FROM {outcomes}), x AS (SELECT 'kind' AS dimension, kind AS bucket, recall FROM b UNION ALL SELECT 'blast', bb, recall FROM b UNION ALL SELECT 'density', db, recall FROM b), r AS (SELECT dimension, bucket, count(*) AS n, round(avg(recall) * 10000) / 10000 AS recall, round(avg((recall > 0)::INT) * 10000) / 10000 AS hit_rate FROM x GROUP BY 1, 2) "
@@ -97,14 +102,18 @@ def similar_history(spark, sf):
     return forecast.similar(view(spark, sf, "plans"), view(spark, sf, "outcomes")).select("plan_id", "id")
 
 
-@query("AND_VIEWS " + _SIM + ", d AS (SELECT plan_id, greatest(0.0, recall - CASE WHEN p_depth >= 3 THEN 0.15 WHEN p_depth = 2 THEN 0.08 WHEN p_depth = 1 THEN 0.03 ELSE 0 END) AS drawn FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY drawn) - 1 AS i, count(*) OVER (PARTITION BY plan_id) AS m FROM d), g AS (SELECT plan_id, count(*) AS n, round(avg((drawn >= 0.8)::INT) * 10000) / 10000 AS p_clean, round(avg((drawn < 0.8 AND drawn >= 0.4)::INT) * 10000) / 10000 AS p_rework, round(avg((drawn < 0.4)::INT) * 10000) / 10000 AS p_failed, round(avg(drawn) * 10000) / 10000 AS mean, round(max(CASE WHEN i = floor(0.5 * (m - 1)) THEN drawn END) * 10000) / 10000 AS p50, round(max(CASE WHEN i = floor(0.85 * (m - 1)) THEN drawn END) * 10000) / 10000 AS p85, round(max(CASE WHEN i = floor(0.95 * (m - 1)) THEN drawn END) * 10000) / 10000 AS p95 FROM k GROUP BY 1) SELECT *, CASE WHEN n >= 20 THEN 'high' WHEN n >= 5 THEN 'moderate' ELSE 'low' END AS confidence, CASE WHEN p_failed > 0.3 THEN 'high' WHEN p_rework > 0.5 THEN 'moderate' ELSE 'low' END AS risk FROM g")
+@query("AND_VIEWS " + _EXACT + "SELECT *, " + _SAID + " FROM g")
 def forecast_exact(spark, sf):
     return forecast.forecast_exact(view(spark, sf, "plans"), view(spark, sf, "outcomes"))
 
 
-@query()
+def _draws(of):
+    return f"SELECT s.plan_id, s.n, CAST('0x' || substr(md5(concat_ws(':', '{of}', s.plan_id, d, 42)), 1, 15) AS BIGINT) % s.n AS i FROM z s, t"
+
+
+@query("AND_VIEWS " + _SIM + ", q AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY plan_id) AS n FROM s), z AS (SELECT DISTINCT plan_id, n FROM q WHERE n >= 3), t AS (SELECT unnest(range(1, 10001)) AS d), r AS (" + _draws("recall") + "), l AS (" + _draws("label") + "), d AS (SELECT r.plan_id, greatest(0.0, recall - cost) AS drawn FROM r JOIN q ON q.plan_id = r.plan_id AND q.i = r.i), k AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY drawn) - 1 AS i, count(*) OVER (PARTITION BY plan_id) AS m FROM d), g AS (SELECT plan_id, " + _PLACES + " FROM k GROUP BY 1), h AS (SELECT l.plan_id, any_value(l.n) AS n, " + _SHARES.replace("class", "outcome") + " FROM l JOIN q ON q.plan_id = l.plan_id AND q.i = l.i GROUP BY 1) SELECT h.*, g.* EXCLUDE (plan_id), " + _SAID + " FROM h JOIN g ON g.plan_id = h.plan_id")
 def forecast_mc(spark, sf):
-    return forecast.forecast_draws(view(spark, sf, "plans").filter("plan_id < 500"), view(spark, sf, "outcomes"), 2000)
+    return forecast.forecast_draws(view(spark, sf, "plans"), view(spark, sf, "outcomes"))
 
 
 @query("AND_VIEWS " + _RATES + "SELECT * FROM r")
@@ -145,5 +154,4 @@ def outcome_replication(spark, sf):
 
 @query("AND_VIEWS k AS (SELECT project, recall, row_number() OVER (PARTITION BY project ORDER BY recall) - 1 AS i, count(*) OVER (PARTITION BY project) AS m FROM {outcomes}) SELECT project, max(CASE WHEN i = floor(0.5 * (m - 1)) THEN recall END) AS p50, max(CASE WHEN i = floor(0.85 * (m - 1)) THEN recall END) AS p85 FROM k GROUP BY 1")
 def percentile_index(spark, sf):
-    v = view(spark, sf, "outcomes").groupBy("project").agg(F.collect_list("recall").alias("v"))
-    return v.select("project", forecast.percentile_at(F.col("v"), 0.5).alias("p50"), forecast.percentile_at(F.col("v"), 0.85).alias("p85"))
+    return quantile.exact_percentiles(view(spark, sf, "outcomes"), "project", "recall", {"p50": 0.5, "p85": 0.85})

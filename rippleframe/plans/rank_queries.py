@@ -28,7 +28,7 @@ def rank_top5(spark, sf):
     return rank.top_k(_ranked(spark, sf)).select("plan_id", "file", "score", "rank")
 
 
-@query("AND_VIEWS " + _ADDED + ", t AS (SELECT *, CASE WHEN sources LIKE '%verified-spike%' AND (sources LIKE '%structural%' OR sources LIKE '%comod%') THEN 1 WHEN sources LIKE '%verified-spike%' THEN 2 END AS tier FROM k), u AS (SELECT *, row_number() OVER (PARTITION BY plan_id, tier ORDER BY score DESC, file) AS r, max(tier < 2) OVER (PARTITION BY plan_id) AS found FROM t WHERE tier IS NOT NULL) SELECT plan_id, file, CASE WHEN tier = 2 THEN round(score * 0.6 * 1000) / 1000 ELSE score END AS score, tier FROM u WHERE tier = 1 AND r <= 3 OR tier = 2 AND r <= 2 AND found")
+@query("AND_VIEWS " + _ADDED + ", t AS (SELECT *, max(sources LIKE '%verified-spike%') OVER (PARTITION BY plan_id) AS spiked, CASE WHEN sources LIKE '%verified-spike%' AND (sources LIKE '%structural%' OR sources LIKE '%comod%') THEN 1 WHEN sources LIKE '%verified-spike%' THEN 2 END AS tier FROM k), u AS (SELECT *, row_number() OVER (PARTITION BY plan_id, tier ORDER BY score DESC, file) AS r, max(coalesce(tier < 2, false)) OVER (PARTITION BY plan_id) AS found FROM t) SELECT plan_id, file, CASE WHEN spiked AND tier = 2 THEN score * 0.6::DOUBLE ELSE score END AS score, CASE WHEN spiked THEN tier END AS tier FROM u WHERE NOT spiked OR tier = 1 AND r <= 3 OR tier = 2 AND r <= 2 AND found")
 def confidence_gate(spark, sf):
     return rank.confidence_gate(_ranked(spark, sf))
 
@@ -43,9 +43,9 @@ def combine_pivot(spark, sf):
     return rank.combine(view(spark, sf, "signals"), view(spark, sf, "planned"))
 
 
-@query("AND_VIEWS " + _WIDE + ", q AS (SELECT DISTINCT task_id % 50 AS plan_id, file FROM {actual}), x AS (SELECT c.plan_id" + _MOVED + " FROM c LEFT JOIN q p ON p.plan_id = c.plan_id AND p.file = c.file GROUP BY 1) SELECT plan_id, round(structural / (structural + comod + semantic) * 1000000) / 1000000 AS structural, round(comod / (structural + comod + semantic) * 1000000) / 1000000 AS comod, round(semantic / (structural + comod + semantic) * 1000000) / 1000000 AS semantic FROM x")
+@query("AND_VIEWS " + _WIDE + ", q AS (SELECT DISTINCT task_id AS plan_id, file FROM {actual}), x AS (SELECT c.plan_id" + _MOVED + " FROM c LEFT JOIN q p ON p.plan_id = c.plan_id AND p.file = c.file GROUP BY 1) SELECT plan_id, round(structural / (structural + comod + semantic) * 1000000) / 1000000 AS structural, round(comod / (structural + comod + semantic) * 1000000) / 1000000 AS comod, round(semantic / (structural + comod + semantic) * 1000000) / 1000000 AS semantic FROM x")
 def calibrate_weights(spark, sf):
-    actual = view(spark, sf, "actual").select((F.col("task_id") % 50).alias("plan_id"), "file").distinct()
+    actual = view(spark, sf, "actual").select(F.col("task_id").alias("plan_id"), "file").distinct()
     return rank.calibrate(combine_pivot(spark, sf), actual)
 
 
@@ -55,7 +55,7 @@ def extremize(spark, sf):
     return best.select("plan_id", "file", rank.rounded(rank.extremize(F.col("p"), 1.3), 3).alias("p"))
 
 
-@query("AND_VIEWS " + _ADDED + ", s AS (SELECT DISTINCT file FROM {predicted} WHERE task_id = 3) SELECT plan_id, k.file, sources, round(CASE WHEN s.file IS NOT NULL THEN least(1.0, score + least(0.25, 0.5 * score)) WHEN sources LIKE '%structural%' THEN score * 0.7 ELSE score END * 1000) / 1000 AS score FROM k LEFT JOIN s ON s.file = k.file")
+@query("AND_VIEWS " + _ADDED + ", s AS (SELECT task_id, file FROM {predicted}) SELECT plan_id, k.file, sources, round(CASE WHEN s.file IS NOT NULL THEN least(1.0, score + least(0.25, 0.5 * score)) WHEN sources LIKE '%structural%' THEN score * 0.7 ELSE score END * 1000) / 1000 AS score FROM k LEFT JOIN s ON s.file = k.file AND s.task_id = k.plan_id")
 def verification_boost(spark, sf):
-    sites = view(spark, sf, "predicted").filter("task_id = 3")
+    sites = view(spark, sf, "predicted").withColumnRenamed("task_id", "plan_id")
     return rank.verified_scores(_ranked(spark, sf), sites).select("plan_id", "file", "score", F.array_join("sources", ",").alias("sources"))

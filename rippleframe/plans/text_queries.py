@@ -36,9 +36,25 @@ def path_parts(spark, sf):
     return _paths(spark, sf).select("page_id", T.basename(p).alias("base"), T.dirname(p).alias("dir"), T.extension(p).alias("ext"))
 
 
-@query("SELECT plan_id, left(sha256(string_agg(file, chr(0) ORDER BY file)), 16) AS hash FROM {planned} GROUP BY 1")
+@query("SELECT plan_id, left(sha256('plan ' || plan_id || chr(0) || string_agg(file, chr(0) ORDER BY file)), 16) AS hash FROM {planned} GROUP BY 1")
 def plan_hash(spark, sf):
-    return view(spark, sf, "planned").groupBy("plan_id").agg(F.collect_list("file").alias("f")).select("plan_id", T.plan_hash(F.col("f")).alias("hash"))
+    plans = view(spark, sf, "planned").groupBy("plan_id").agg(F.collect_list("file").alias("f"))
+    return plans.select("plan_id", T.plan_hash(F.concat(F.lit("plan "), F.col("plan_id")), F.col("f")).alias("hash"))
+
+
+_POLY = "CAST(list_reduce(list_transform(range(1, strlen(url) + 1), lambda i: CAST(ascii(url[i]) AS HUGEINT)), lambda h, c: (h * 31 + c) % 18446744073709551616, 0::HUGEINT) AS UBIGINT)"
+
+
+@query("SELECT page_id, lpad(lower(to_hex(" + _POLY + ")), 16, '0') AS hash FROM {pages}")
+def project_hash(spark, sf):
+    return view(spark, sf, "pages").select("page_id", T.poly31(F.col("url")).alias("hash"))
+
+
+@query("AND_VIEWS h AS (SELECT split_part(url, '/', 3) AS root, left(sha256(url), 2) AS hash FROM {pages}) SELECT hash, count(DISTINCT root) AS roots FROM h GROUP BY 1 HAVING count(DISTINCT root) > 1")
+def hash_collisions(spark, sf):
+    """Short hashes that several roots share."""
+    roots = view(spark, sf, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("root"), F.substring(F.sha2("url", 256), 1, 2).alias("hash"))
+    return roots.groupBy("hash").agg(F.countDistinct("root").alias("roots")).filter("roots > 1")
 
 
 @query("AND_VIEWS w AS (SELECT item_id, unnest(regexp_split_to_array(text, '[^a-z0-9]+')) AS w FROM {benchmark}) SELECT item_id, string_agg(DISTINCT w, ' ' ORDER BY w) AS tokens FROM w WHERE length(w) >= 3 GROUP BY 1")

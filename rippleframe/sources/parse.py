@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleframe.functions.text import dirname
+from rippleframe.sources import golang
 
+# Heads of functions in diff hunks, which show one line alone.
 _FUNC = r"^func\s+(?:\(\s*\w*\s*\*?(\w+)[^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\("
 
 
@@ -92,12 +94,8 @@ def imports(texts: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """id, line, name, receiver, params, results: functions of Go sources, read line by line."""
-    each = lines(texts).filter(F.col("line").rlike(_FUNC))
-    args = F.regexp_extract("line", r"^func\s+(?:\([^)]*\)\s*)?\w+\s*(?:\[[^\]]*\])?\(([^)]*)\)", 1)
-    out = F.trim(F.regexp_extract("line", r"^func\s+(?:\([^)]*\)\s*)?\w+\s*(?:\[[^\]]*\])?\([^)]*\)\s*([^{]*)", 1))
-    count = lambda c: F.when(F.trim(c) == "", 0).otherwise(F.size(F.split(c, ",")))
-    return each.select("id", (F.col("pos") + 1).alias("line"), F.regexp_extract("line", _FUNC, 2).alias("name"), F.regexp_extract("line", _FUNC, 1).alias("receiver"), count(args).alias("params"), count(F.regexp_replace(out, r"[()]", "")).alias("results"))
+    """id, line, name, receiver, params, results: functions of Go sources."""
+    return golang.functions(texts)
 
 
 def exported_signatures(texts: DataFrame) -> DataFrame:
@@ -106,12 +104,8 @@ def exported_signatures(texts: DataFrame) -> DataFrame:
 
 
 def call_sites(texts: DataFrame) -> DataFrame:
-    """id, line, caller, callee, full: calls in Go sources; ``full`` keeps the selector, callee is its last part."""
-    each = lines(texts).withColumn("caller", _running(F.nullif(F.regexp_extract("line", _FUNC, 2), F.lit(""))))
-    body = F.regexp_replace(F.when(F.col("line").rlike(_FUNC), F.regexp_replace("line", r"^func[^{]*", "")).otherwise(F.col("line")), r"//.*$", "")
-    found = each.select("id", (F.col("pos") + 1).alias("line"), "caller", F.explode(F.regexp_extract_all(body, F.lit(r"([A-Za-z_][\w.]*)\s*\("), F.lit(1))).alias("full"))
-    keywords = ("if", "for", "switch", "func", "return", "select", "go", "defer", "import", "var", "const", "type")
-    return found.filter(~F.col("full").isin(*keywords)).withColumn("callee", F.regexp_replace("full", r"^.*\.", ""))
+    """id, line, caller, callee, full, args: calls in Go sources; ``full`` keeps the selector, callee is its last part."""
+    return golang.calls(texts)
 
 
 def struct_fields(texts: DataFrame) -> DataFrame:
@@ -134,9 +128,9 @@ def struct_literals(texts: DataFrame) -> DataFrame:
 
 
 def signature_breaks(before: DataFrame, after: DataFrame) -> DataFrame:
-    """name, receiver and both arities of exported functions whose parameters or results changed in number."""
-    side = lambda t, c: exported_signatures(t).select("name", "receiver", F.col("params").alias(f"params_{c}"), F.col("results").alias(f"results_{c}"))
-    return side(before, "before").join(side(after, "after"), ["name", "receiver"]).filter("params_before <> params_after OR results_before <> results_after")
+    """id, name, receiver and both arities of a file's exported functions whose parameters or results changed in number."""
+    side = lambda t, c: exported_signatures(t).select("id", "name", "receiver", F.col("params").alias(f"params_{c}"), F.col("results").alias(f"results_{c}"))
+    return side(before, "before").join(side(after, "after"), ["id", "name", "receiver"]).filter("params_before <> params_after OR results_before <> results_after")
 
 
 def obligations(before: DataFrame, after: DataFrame, others: DataFrame) -> DataFrame:

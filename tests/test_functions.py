@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -43,6 +44,10 @@ def test_paths(spark):
     paths = ["a/tests/x.py", "a/__test__/b.js", "x.spec.ts", "test_a.py", "b_test.py", "a/testing.py", "x_test.go"]
     assert many(spark, T.is_test_file, paths) == [True, True, True, True, True, False, False]
     assert many(spark, T.layer, ["x.go", "a/api/z.js", "v.css", "ui/b.ts", "src/app.js", "lib/x.js", "api.ts"]) == ["backend", "backend", "frontend", "frontend", "frontend", "unknown", "backend"]
+    assert many(spark, T.is_source_file, ["a.cjs", "a.mjs", "a.go", "a.txt"]) == [True, True, True, False]
+    assert many(spark, T.is_skipped, ["vendor", ".cache", "src"]) == [True, True, False]
+    stale = lambda files, steps: one(spark, T.lock_is_stale(F.array(*map(F.lit, files)), F.array(*map(F.lit, steps))))
+    assert stale(["a/go.mod"], ["edit"]) and not stale(["a/go.mod"], ["run go mod tidy"]) and not stale(["a/x.go"], ["edit"])
     assert one(spark, T.is_cross_stack(F.lit("a.go"), F.lit("b.css"))) and not one(spark, T.is_cross_stack(F.lit("a.go"), F.lit("b.txt")))
     assert many(spark, T.basename, ["a/b.go", "b.go"]) == ["b.go", "b.go"] and many(spark, T.dirname, ["a/b/c.go", "c.go"]) == ["a/b", "."]
     assert many(spark, T.clean_path, ["./a//b/", "a\\b", "a/./b"]) == ["a/b"] * 3
@@ -54,8 +59,15 @@ def test_names(spark):
     assert [name("Foo", ""), name("Render", "*Context"), name("Bar", "MyType")] == ["Foo", "(*Context).Render", "(MyType).Bar"]
     assert [tuple(x) for x in many(spark, T.parse_mutation, ["removal:Context.Render", "removal:(*T).M", "addition:Foo"])] == [("removal", "Context", "Render"), ("removal", "*T", "M"), ("addition", "", "Foo")]
     assert one(spark, T.escape_sql(F.lit("it's"))) == "it''s"
-    assert one(spark, T.plan_hash(F.array(F.lit("b"), F.lit("a")))) == one(spark, T.plan_hash(F.array(F.lit("a"), F.lit("b"))))
-    assert one(spark, T.poly31(F.lit("ab"))) == format(97 * 31 + 98, "X").lower()
+    files = lambda *x: F.array(*map(F.lit, x))
+    same = one(spark, T.plan_hash(F.lit("o"), files("b", "a")))
+    assert same == one(spark, T.plan_hash(F.lit("o"), files("a", "b"))) == hashlib.sha256(b"o\0a\0b").hexdigest()[:16] and same != one(spark, T.plan_hash(F.lit("p"), files("a", "b")))
+    for path in ("ab", "", "/home/user/project", "/répertoire/ü" * 5):
+        want = 0
+        for c in path.encode():
+            want = (want * 31 + c) % 2**64
+        assert one(spark, T.poly31(F.lit(path))) == f"{want:016x}"
+    assert one(spark, T.poly31(F.lit("/home/user/project"))) == "2709da73a14c5bb6"
     assert one(spark, T.json_object_in(F.lit('says {"a": {"b": 1}} so'))) == '{"a": {"b": 1}}' and one(spark, T.json_object_in(F.lit("no"))) is None
 
 

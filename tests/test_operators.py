@@ -62,8 +62,10 @@ def test_closure_ends_on_a_cycle_and_at_its_hops(spark):
 def test_cascade_stops_at_tests_and_at_behaviour(spark):
     refs, defs = _graph(spark, [(2, 1), (3, 2), (9, 1), (4, 9)], tests=(9,))
     seed = lambda kind: spark.createDataFrame([(1, kind)], "id long, kind string")
-    assert rows(graph.cascade(refs, defs, seed("removal"))) == [(0, 1, 1, "f2.go"), (1, 1, 2, "f3.go")]
-    assert rows(graph.cascade(refs, defs, seed("behavior-change"))) == [(0, 1, 1, "f2.go")]
+    columns = ("depth", "file", "breaks", "new_breaks", "cumulative", "converged")
+    assert rows(graph.cascade(refs, defs, seed("removal")), *columns) == [(0, "f2.go", 1, 1, 1, True), (1, "f3.go", 1, 1, 2, True)]
+    assert rows(graph.cascade(refs, defs, seed("removal"), 1), *columns) == [(0, "f2.go", 1, 1, 1, False)]
+    assert rows(graph.cascade(refs, defs, seed("behavior-change")), *columns) == [(0, "f2.go", 1, 1, 1, True)]
 
 
 def _signals(spark, *xs):
@@ -95,7 +97,7 @@ def test_forecasts_tell_good_plans_from_bad(spark):
     outcomes = spark.createDataFrame(h, "id long, recall double, density double, complexity int, blast int, depth int")
     plans = spark.createDataFrame([(1, 5, 0.5, 40, 0), (2, 5, 0.1, 40, 0), (3, 500, 0.5, 40, 0)], "plan_id long, complexity int, density double, blast int, depth int")
     exact = {r["plan_id"]: r for r in forecast.forecast_exact(plans, outcomes).collect()}
-    assert exact[1]["n"] == 5 and exact[2]["n"] == 3 and 3 not in exact and exact[1]["mean"] > exact[2]["mean"] and exact[2]["risk"] == "high"
+    assert exact[1]["n"] == 5 and exact[2]["n"] == 3 and exact[3]["n"] == 0 and exact[3]["confidence"] == "low" and exact[1]["mean"] > exact[2]["mean"] and exact[2]["risk"] == "high"
     drawn = {r["plan_id"]: r for r in forecast.forecast_draws(plans, outcomes, 4000).collect()}
     assert drawn[1]["mean"] == pytest.approx(exact[1]["mean"], abs=0.01) and drawn[1]["p_clean"] == pytest.approx(exact[1]["p_clean"], abs=0.03)
 

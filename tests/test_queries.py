@@ -15,7 +15,7 @@ def _rows(frame):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "part", "labels", "events", "conversations", "orders", "customer", "pages", "benchmark"):
+    for t in ("region", "nation", "supplier", "documents", "lineitem", "part", "labels", "events", "conversations", "orders", "customer", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(ORACLES[name]).df()
     columns = sorted(want.columns)
@@ -24,6 +24,5 @@ def test_matches_sql(spark, name):
     assert _rows(got[columns]) == _rows(want[columns])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs_without_sql(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
