@@ -10,13 +10,14 @@ parity sketch of at least as many bits as a set has shingles refutes pairs there
 error: sketches differ in no more bits than there are shingles in one set alone. What
 remains becomes rows and is verified by the shingles of both texts.
 
-Links come in two rounds. In the first each group is compared with the predecessor it
-shares most prefix shingles with, and the members of a group with their neighbours; the
-links found are contracted by union-find. The second compares, without exception, all that
-share a prefix shingle and still lie in different components, so a family of near copies
-costs few rows and no link is lost. Classes of a bucket that are neither linked nor told
-apart by sizes are compared by sketches, which is quadratic in time, in no rows. A bucket of
-more than ``SALT`` classes is dealt to several tasks, each of which has a part against the rest.
+Links come in rounds. In up to ``ROUNDS`` of them each class is verified against the nearest
+class of another component in its buckets, by sketch, and against the least one that is
+clearly near; the links found are contracted by union-find. The last round compares, without
+exception, all that share a prefix shingle and still lie in different components, so a
+family of near copies costs few rows and no link is lost. Classes of a bucket that are
+neither linked nor told apart by sizes are compared by sketches, which is quadratic in time,
+in no rows. A bucket of more than ``SALT`` classes is dealt to several tasks, each of which
+has a part against the rest.
 
 Sets and digests rest on 64-bit and 128-bit hashes. Defined results: a null, empty or blank
 text has no shingles, is linked with nothing and is its own component; a null doc_id ranks
@@ -47,6 +48,9 @@ PART = 1 << 15
 #: Classes of a bucket that a task holds at a time, and members of a group in one row.
 SALT = 2000
 CHUNK_MEMBERS = 64
+#: Rounds that contract what is nearest before all is compared, and one in how many shingles they look at.
+ROUNDS = 3
+NEAREST_OF = 4
 #: Words whose hashes a task keeps at a time, and shingles that it counts at a time.
 MEMO = 1 << 20
 CHUNK = 1 << 20
@@ -138,8 +142,8 @@ def rarity(texts: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def parity_sketch(h: np.ndarray) -> bytes:
-    """One bit for each remainder of the hashes by a power of two, set where an odd number of them has it."""
-    bits = max(64, 1 << (len(h) - 1).bit_length())
+    """One bit for each remainder of the hashes by a power of two, at least twice their number, set where an odd number of them has it."""
+    bits = max(64, 1 << (2 * len(h) - 1).bit_length())
     odd = np.bincount((h & _U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -184,24 +188,6 @@ def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
     return sketches
 
 
-def _not_refuted(percent: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b, s_a, s_b = (batch.column(k).to_pylist() for k in range(2, 6))
-            stays = np.zeros(batch.num_rows, dtype=bool)
-            for k in range(batch.num_rows):
-                common = -(-(n_a[k] + n_b[k]) * percent // (100 + percent))
-                if common > min(n_a[k], n_b[k]):
-                    continue
-                x, y = (np.frombuffer(s, dtype=np.uint64) for s in (s_a[k], s_b[k]))
-                words = min(len(x), len(y))
-                stays[k] = int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()) <= n_a[k] + n_b[k] - 2 * common
-            hit = batch.filter(pa.array(stays))
-            yield pa.RecordBatch.from_arrays([hit.column(0), hit.column(1)], names=["a", "b"])
-
-    return run
-
-
 class Bucket:
     """Classes of the groups that a bucket holds, as arrays; ``met`` gives those that a further class may be linked with."""
 
@@ -221,8 +207,8 @@ class Bucket:
             self.slot[at] = np.arange(len(at))
             self.sketches[w] = np.frombuffer(b"".join(of[i][3]["sketch"] for i in at), dtype=np.uint64).reshape(len(at), w)
 
-    def met(self, n: int, gid: int, pos: int, member: dict, upto: int | None = None) -> list[bytes]:
-        """Names of classes (the first ``upto``) in other components that no filter rules out."""
+    def met(self, n: int, gid: int, pos: int, member: dict, upto: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes (of the first ``upto``) in other components that no filter rules out, bits in which sketches differ, and the most that may."""
         part = slice(0, upto)
         m, p = self.percent, 100 + self.percent
         own = self.n[part]
@@ -235,28 +221,70 @@ class Bucket:
             first = (own < n) | ((own == n) & (self.gid[part] < gid))
             ok &= (self.gid[part] != gid) & (np.minimum(own - self.pos[part], n - pos) >= least) & np.where(first, self.pos[part] < index, pos < mine)
         at = np.flatnonzero(ok)
-        if not len(at):
-            return []
+        found, bits = [at[:0]], [at[:0]]
         sketch = np.frombuffer(member["sketch"], dtype=np.uint64)
-        found = []
         for w in np.unique(self.words[at]).tolist():
             of = at[self.words[at] == w]
             words = min(w, len(sketch))
-            apart = np.bitwise_count(_folded(self.sketches[w][self.slot[of]], words) ^ _folded(sketch, words)).sum(axis=1)
-            found += [self.names[i] for i in of[apart <= own[of] + n - 2 * least[of]].tolist()]
-        return found
+            apart = np.bitwise_count(_folded(self.sketches[w][self.slot[of]], words) ^ _folded(sketch, words)).sum(axis=1).astype(np.int64)
+            near = apart <= own[of] + n - 2 * least[of]
+            found.append(of[near])
+            bits.append(apart[near])
+        of = np.concatenate(found)
+        return of, np.concatenate(bits), own[of] + n - 2 * least[of]
 
 
-def _compared(percent: int):
-    """Rows (prefixes, key, salt, streamed, n, gid, pos, members), sorted by the first four: pairs of classes that no filter rules out."""
+class _Every:
+    """All pairs that a bucket leaves: a, b."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, bucket, closed, a, b = None, None, False, [], []
+    schema = "a binary, b binary"
+
+    def __init__(self):
+        self.a, self.b = [], []
+
+    def meet(self, bucket: Bucket, name: bytes, of: np.ndarray, apart: np.ndarray, most: np.ndarray) -> None:
+        for i in of.tolist():
+            self.a.append(min(name, bucket.names[i]))
+            self.b.append(max(name, bucket.names[i]))
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(self.a, pa.binary()), pa.array(self.b, pa.binary())], names=["a", "b"])
+        self.a, self.b = [], []
+        return out
+
+
+class _Best:
+    """Of each class the nearest one a bucket leaves, and the least of those that are clearly near: a, apart, near, clear."""
+
+    schema = "a binary, apart long, near binary, clear binary"
+
+    def __init__(self):
+        self.best: dict[bytes, list] = {}
+
+    def _offer(self, name: bytes, other: bytes, apart: int, clear: bool) -> None:
+        held = self.best.setdefault(name, [apart, other, None])
+        if (apart, other) < (held[0], held[1]):
+            held[:2] = apart, other
+        if clear and (held[2] is None or other < held[2]):
+            held[2] = other
 
-        def told(names, other):
-            for x in names:
-                a.append(min(x, other))
-                b.append(max(x, other))
+    def meet(self, bucket: Bucket, name: bytes, of: np.ndarray, apart: np.ndarray, most: np.ndarray) -> None:
+        for i, bits, clear in zip(of.tolist(), apart.tolist(), (4 * apart <= 3 * most).tolist(), strict=True):
+            self._offer(name, bucket.names[i], bits, clear)
+            self._offer(bucket.names[i], name, bits, clear)
+
+    def batch(self) -> pa.RecordBatch:
+        kept = list(self.best.items())
+        columns = [[k for k, _ in kept], *([v[j] for _, v in kept] for j in range(3))]
+        self.best = {}
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["a", "apart", "near", "clear"])
+
+
+def _compared(percent: int, told: type):
+    """Rows (prefixes, key, salt, streamed, n, gid, pos, members), sorted by the first four: what ``told`` says of the pairs that no filter rules out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, bucket, closed, out = None, None, False, told()
 
         def close():
             nonlocal closed
@@ -265,7 +293,7 @@ def _compared(percent: int):
             for n, gid, pos, members in bucket.rows:
                 for m in members:
                     if at:
-                        told(bucket.met(n, gid, pos, m, at), m["class"])
+                        out.meet(bucket, m["class"], *bucket.met(n, gid, pos, m, at))
                     at += 1
 
         for batch in batches:
@@ -282,13 +310,11 @@ def _compared(percent: int):
                     close()
                 if bucket.rows:
                     for m in members:
-                        told(bucket.met(n, gid, pos, m), m["class"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-            a.clear()
-            b.clear()
+                        out.meet(bucket, m["class"], *bucket.met(n, gid, pos, m))
+            yield out.batch()
         if bucket and not closed:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        yield out.batch()
 
     return run
 
@@ -310,12 +336,6 @@ def _side(classes: DataFrame, end: str, *columns: str) -> DataFrame:
     return classes.select(F.col("class").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
 
 
-def _refuted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) of classes without those that sketches refute."""
-    both = pairs.join(_side(classes, "a", "n", "sketch"), "a").join(_side(classes, "b", "n", "sketch"), "b")
-    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_not_refuted(percent), "a binary, b binary")
-
-
 def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, label: str) -> DataFrame:
     """pairs(a, b) of classes -> those that are linked by their texts, written."""
     left = materialize(pairs, f"{label}-left")
@@ -332,23 +352,8 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
     return out
 
 
-def _in_order(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def _first_pairs(shared: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each group's leader with that of the predecessor it shares most with, and neighbours within groups."""
-    near = shared.select("gid", F.explode(F.array("before", "before2")).alias("other")).filter("other IS NOT NULL AND other <> gid")
-    best = near.groupBy("gid", "other").agg(F.count(F.lit(1)).alias("n")).groupBy("gid").agg(F.max(F.struct("n", "other")).alias("best"))
-    leader = groups.select("gid", "leader")
-    across = best.select("gid", F.col("best.other").alias("other")).join(leader, "gid").join(leader.select(F.col("gid").alias("other"), F.col("leader").alias("other_leader")), "other")
-    within = classes.withColumn("next", F.lag("class").over(Window.partitionBy("group").orderBy("class"))).filter("next IS NOT NULL")
-    pairs = across.select(*_in_order(F.col("leader"), F.col("other_leader"))).unionByName(within.select(*_in_order(F.col("class"), F.col("next"))))
-    return pairs.filter("a <> b").distinct()
-
-
-def _rest_pairs(shared: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members(gid, class, comp, n, sketch) in different components that no filter rules out, compared bucket by bucket.
+def _buckets(shared: DataFrame, members: DataFrame, percent: int, told: type) -> DataFrame:
+    """What ``told`` says of members(gid, class, comp, n, sketch) in different components that no filter rules out, bucket by bucket.
 
     A bucket is a prefix shingle with the groups that have it, or a group of several
     components. Tasks hold at most about ``SALT`` classes of a bucket; what a bucket has beyond
@@ -372,11 +377,23 @@ def _rest_pairs(shared: DataFrame, members: DataFrame, percent: int) -> DataFram
     dealt = rows.join(chunks, "gid").withColumn("own", own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("streamed", F.col("salt") != F.col("own"))
     columns = ["prefixes", "key", "salt", "streamed"]
     ordered = dealt.select(*columns, "n", "gid", "pos", "members").repartition(shuffle_partitions(spark), *columns[:3]).sortWithinPartitions(*columns)
-    return ordered.mapInArrow(_compared(percent), "a binary, b binary").distinct()
+    return ordered.mapInArrow(_compared(percent, told), told.schema)
+
+
+def _nearest(shared: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Each class with the nearest in another component, and with the least that is clearly near, over a part of the shingles.
+
+    What this part of the shingles misses is left to the round that takes all.
+    """
+    some = shared.filter(F.pmod(F.xxhash64("token"), F.lit(NEAREST_OF)) == 0)
+    best = _buckets(some, members, percent, _Best).groupBy("a").agg(F.min(F.struct("apart", "near")).alias("best"), F.min("clear").alias("clear"))
+    pairs = best.select("a", F.explode(F.array_compact(F.array("best.near", "clear"))).alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
+    spark = docs.sparkSession
     t = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.cast("binary").alias("t"))
     levels = rarity(texts, words)
@@ -385,27 +402,35 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     of_class = [F.min(place).alias("best"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("n", "group", "prefix", "sketch")]]
     classes = materialize(prints.filter("n > 0").groupBy("class").agg(*of_class).withColumn("gid", F.xxhash64("group")), "ngram-classes")
     # Groups whose short names collide are compared as one, which adds pairs and loses none.
-    groups = materialize(classes.groupBy("group").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("class").alias("leader")), "ngram-groups")
+    groups = materialize(classes.groupBy("group").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "ngram-groups")
     bucket = Window.partitionBy("token").orderBy("n", "gid")
     rows = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    lags = {"before": F.lag("gid", 1).over(bucket), "before2": F.lag("gid", 2).over(bucket), "after": F.lead("gid", 1).over(bucket)}
-    shared = materialize(rows.withColumns(lags).filter("before IS NOT NULL OR after IS NOT NULL").drop("after"), "ngram-shared")
+    ends = {"before": F.lag("gid", 1).over(bucket), "after": F.lead("gid", 1).over(bucket)}
+    shared = materialize(rows.withColumns(ends).filter("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "ngram-shared")
 
-    plain = materialize(classes.select("class", "gid", "group", "n", "th", "sketch", "best"), "ngram-plain")
+    plain = materialize(classes.select("class", "gid", "n", "th", "sketch", "best"), "ngram-plain")
     discard(classes)
-    first = _linked(_refuted(_first_pairs(shared, groups, plain), plain, percent), plain, texts, words, percent, "ngram-first")
-    roots = components(first, "ngram")
     of = lambda r: plain.join(r.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class"))
-    members = materialize(of(roots).select("gid", "class", "comp", "n", "sketch"), "ngram-members")
-    rest = _linked(_rest_pairs(shared, members, percent), plain, texts, words, percent, "ngram-rest")
+    links, roots, moved = None, None, True
+    members = materialize(plain.select("gid", "class", F.col("class").alias("comp"), "n", "sketch"), "ngram-members")
+    # The last round takes all; those before it stop once they find nothing.
+    for told in [_Best] * ROUNDS + [_Every]:
+        if told is _Best and not moved:
+            continue
+        pairs = _nearest(shared, members, percent) if told is _Best else _buckets(shared, members, percent, _Every).distinct()
+        found = _linked(pairs, plain, texts, words, percent, "ngram-round")
+        moved = not found.isEmpty()
+        if moved:
+            links = found if links is None else links.unionByName(found)
+            discard(roots, members)
+            roots = components(links, "ngram")
+            members = materialize(of(roots).select("gid", "class", "comp", "n", "sketch"), "ngram-members")
+    roots = roots if roots is not None else spark.createDataFrame([], "node binary, root binary")
     discard(shared, groups, members)
-    if not rest.isEmpty():
-        discard(roots)
-        roots = components(first.unionByName(rest), "ngram")
     placed = of(roots).select("class", "comp", "best")
     least = placed.groupBy("comp").agg(F.min("best.no_id").alias("no_id"), F.min("best.doc_id").alias("component"))
     named = materialize(placed.join(least, "comp").select("class", "component"), "ngram-named")
-    discard(first, rest, roots, plain)
+    discard(roots, plain)
     out = prints.select("doc_id", "n", "class").join(named, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
