@@ -2,8 +2,8 @@
 
 Queries go out in blocks of at most ``BROADCAST_BYTES``, one after another: the driver holds
 one block, whatever their number, and a block's lists are written before the next is read.
-Each task multiplies a block with tiles of its shard, selects the best of each tile, and
-keeps one running list a query. Lists of tasks are merged as a tree: first within groups of
+Each task multiplies slices of a block with tiles of its shard, ``CELLS`` scores at a time,
+selects the best of each tile, and keeps one running list a query. Lists of tasks are merged as a tree: first within groups of
 tasks, then across groups.
 
 Defined results: vectors that are null or hold null or non-finite components take no part,
@@ -16,6 +16,7 @@ its ends.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, materialize, read_table
 
 TILE = 2048
+#: Scores that a task holds at a time: a slice of the queries against one tile.
+CELLS = 1 << 21
 K = 20
 #: Below every score; its negative is a number too.
 NONE = np.iinfo(np.int64).min + 1
@@ -56,36 +59,44 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
-def products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    if q.size and m.size and float(np.abs(q).max()) * float(np.abs(m).max()) * q.shape[1] < 2**53:
+def products(q: np.ndarray, m: np.ndarray, most_q: float | None = None) -> np.ndarray:
+    """Inner products of rows, in doubles where none can leave their whole numbers; ``most_q`` bounds the components of q."""
+    bound = float(np.abs(q).max(initial=0)) if most_q is None else most_q
+    if bound * float(np.abs(m).max(initial=0)) * max(1, q.shape[1]) < 2**53:
         return (q.astype(np.float64) @ m.T.astype(np.float64)).astype(np.int64)
     most = -(NONE + 1)
     exact = q.astype(object) @ m.T.astype(object) if q.shape[1] else np.zeros((len(q), len(m)), object)
     return np.clip(exact, -most, most).astype(np.int64)
 
 
-def _search(q_ids: np.ndarray, q: np.ndarray, k: int):
+def _best_of_tile(s: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids, scores: of each row of a tile's scores all that reach its k-th, padded with NONE, so ties are settled by id later."""
+    if len(own) <= k:
+        return np.broadcast_to(own, s.shape), s
+    floor = np.partition(s, len(own) - k, axis=1)[:, len(own) - k]
+    keep = s >= floor[:, None]
+    width = int(keep.sum(axis=1).max())
+    order = np.argsort(own, kind="stable")
+    first = np.argsort(~keep[:, order], axis=1, kind="stable")[:, :width]
+    scores = np.where(np.take_along_axis(keep[:, order], first, 1), np.take_along_axis(s[:, order], first, 1), NONE)
+    return own[order][first], scores
+
+
+def _search(q_ids: np.ndarray, q: np.ndarray, k: int, cells: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.zeros((len(q_ids), 0), dtype=np.int64)
-        scores = np.zeros((len(q_ids), 0), dtype=np.int64)
+        # One list a query; beside it a task holds the scores of a slice of queries and one tile.
+        ids, scores = np.zeros((len(q_ids), k), dtype=np.int64), np.full((len(q_ids), k), NONE, dtype=np.int64)
+        most = float(np.abs(q).max(initial=0))
         for batch in batches:
             for part in (batch.slice(at, TILE) for at in range(0, batch.num_rows, TILE)):
-                own = part.column(0).to_numpy()
-                s = products(q, _matrix(part.column(1), q.shape[1]))
-                s[q_ids[:, None] == own[None, :]] = NONE
-                if len(own) > k:
-                    # All that reach the k-th score stay candidates, so ties are settled by id below.
-                    floor = np.partition(s, len(own) - k, axis=1)[:, len(own) - k]
-                    keep = s >= floor[:, None]
-                    width = int(keep.sum(axis=1).max())
-                    order = np.argsort(own, kind="stable")
-                    key = np.where(keep[:, order], 0, 1).astype(np.int8)
-                    first = np.argsort(key, axis=1, kind="stable")[:, :width]
-                    tile_ids, s = own[order][first], np.take_along_axis(s[:, order], first, 1)
-                    s = np.where(np.take_along_axis(key, first, 1) == 0, s, NONE)
-                else:
-                    tile_ids = np.broadcast_to(own, s.shape)
-                ids, scores = best_of(np.concatenate([ids, tile_ids], 1), np.concatenate([scores, s], 1), k)
+                own, m = part.column(0).to_numpy(), _matrix(part.column(1), q.shape[1])
+                step = max(1, cells // len(own))
+                for at in range(0, len(q_ids), step):
+                    rows = slice(at, at + step)
+                    s = products(q[rows], m, most)
+                    s[q_ids[rows, None] == own[None, :]] = NONE
+                    tile_ids, s = _best_of_tile(s, own, k)
+                    ids[rows], scores[rows] = best_of(np.concatenate([ids[rows], tile_ids], 1), np.concatenate([scores[rows], s], 1), k)
         live = scores != NONE
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(q_ids, live.sum(axis=1))), pa.array(ids[live]), pa.array(scores[live])], names=["query_id", "vec_id", "score"]
@@ -105,11 +116,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         rows = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
         ids = rows.column(0).to_numpy()
         q = _matrix(rows.column(1).combine_chunks(), dim or 0) if n else np.zeros((0, 0), np.int64)
-        lists = vectors.mapInArrow(_search(ids, q, k), "query_id long, vec_id long, score long") if len(ids) else spark.createDataFrame([], "query_id long, vec_id long, score long")
+        lists = vectors.mapInArrow(_search(ids, q, k, CELLS), "query_id long, vec_id long, score long") if len(ids) else spark.createDataFrame([], "query_id long, vec_id long, score long")
         if blocks > 1:
             lists = materialize(lists, "topk-lists")
         out = lists if out is None else out.unionByName(lists)
-    lists = out.withColumn("g", F.spark_partition_id() % 16)
+    # Groups of tasks as many as each group has tasks.
+    lists = out.withColumn("g", F.spark_partition_id() % max(2, math.isqrt(out.rdd.getNumPartitions())))
     order = [F.desc("score"), F.asc("vec_id")]
     some = lists.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "g").orderBy(*order))).filter(F.col("r") <= k)
     final = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)

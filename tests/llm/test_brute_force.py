@@ -283,7 +283,13 @@ def test_op8_in_blocks_and_with_odd_vectors(spark, monkeypatch):
     whole = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.search(v, v.filter("vec_id % 20 = 0"), 5).collect()}
     monkeypatch.setattr(topk, "BROADCAST_BYTES", 60)
     blocks = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.search(v, v.filter("vec_id % 20 = 0"), 5).collect()}
-    assert whole == blocks and len(whole) == 15
+    monkeypatch.setattr(topk, "CELLS", 7)
+    slices = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.search(v, v.filter("vec_id % 20 = 0"), 5).collect()}
+    assert whole == blocks == slices and len(whole) == 15
+    twice = topk.search(v.unionByName(v), v.filter("vec_id % 20 = 0").unionByName(v.filter("vec_id = 20")), 4).collect()
+    # Rows that repeat are candidates of their own, a query that repeats is asked once, and its own rows take no part.
+    assert Counter(x["query_id"] for x in twice) == {0: 4, 20: 4, 40: 4} and all(x["query_id"] != x["vec_id"] for x in twice)
+    assert topk.search(v.limit(0), v.limit(0)).count() == 0 and topk.search(v, v.limit(0)).count() == 0
     usable = {i: np.floor(64 * np.array(x)) for i, x in data if i is not None and x and None not in x and np.isfinite(x).all() and max(map(abs, x)) < 1e9}
     for q in (0, 20, 40):
         want = sorted(((-int(usable[q] @ x), i) for i, x in usable.items() if i != q))[:5]
