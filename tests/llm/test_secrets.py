@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import SparkSession
 
-from rippleframe.llm.secrets import op9_secrets
+from rippleframe.llm.secrets import op9_secrets, scan, verdicts
 
 
 @pytest.fixture(scope="module")
@@ -22,3 +22,34 @@ def test_ownership_reaches_the_result(spark, tmp_path):
     assert got[5]["ownership"] == "token:4:28:1:1:live,token:33:57:2:2:copied" and got[5]["spans"] == "token:4:28"
     assert got[6]["ownership"] == "token:0:24:2:2:copied" and got[6]["spans"] == ""
     assert got[7]["ownership"] == got[8]["ownership"] == ""
+
+
+SCHEMA = "doc_id long, text string, source string, lang string, digest string, kind string, start string"
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Positions of 60,000 spans in one text, in time that grows with their number."""
+    import time
+
+    one = " ".join(f"{k:024x}" for k in range(60_000)) + " Zk3" + "Zk3" * 8
+    began = time.time()
+    rows, spans = scan(spark.createDataFrame([(1, one, "s", "en", "x", "y", "z")], SCHEMA))
+    got = [(r["start"], r["end"]) for r in spans.orderBy("start").collect()]
+    assert got[:60_000] == [(25 * k, 25 * k + 24) for k in range(60_000)] and len(got) == 60_001
+    assert verdicts(rows, spans).first()["n_hex"] == 60_000 and time.time() - began < 60
+
+
+def test_nulls_repeats_and_empty_tables(spark):
+    token = "Zk3" * 8
+    rows = [(1, f"{token}", None, "en"), (1, f"{token}", None, "en"), (None, f"{token} x", None, None), (2, None, "s", "en")]
+    docs = spark.createDataFrame([(*r, "d", "k", "s") for r in rows], SCHEMA)
+    got = sorted((x["doc_id"] or 0, x["spans"], x["ownership"]) for x in verdicts(*scan(docs)).collect())
+    # A null owner is one owner; repeated rows are each returned.
+    assert got == [(0, "token:0:24", "token:0:24:1:2:live"), (1, "token:0:24", "token:0:24:1:2:live"), (1, "token:0:24", "token:0:24:1:2:live"), (2, "", "")]
+    assert verdicts(*scan(docs.limit(0))).count() == 0
+
+
+def test_tokens_that_touch_base_spans_are_left_out(spark):
+    text = "key: token=Ab1" + "c" * 30 + " AKIA" + "B2" * 10 + "a Cd2" + "e" * 20 + "/" + "0f" * 14
+    (row,) = verdicts(*scan(spark.createDataFrame([(1, text, "s", "en", "d", "k", "s")], SCHEMA))).collect()
+    assert [s.split(":")[0] for s in row["spans"].split(",")] == ["assign", "access", "hex"]
