@@ -48,7 +48,7 @@ STARS = 2
 THRESHOLD = 0.8
 #: Signature values whose low four bits are kept, in two words, and the most that may differ.
 CHECKED = 32
-MOST_APART = 15
+MOST_APART = 18
 #: Bits of a parity sketch, a power of two.
 SKETCH_BITS = 1024
 #: Characters and lines that are signed or sketched at a time: so few that the arrays stay in a core's cache.
@@ -77,8 +77,10 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return every.withColumn("key", F.when(F.col("line").rlike("\\S"), F.unhex(F.md5("line"))))
 
 
-def _masks() -> np.ndarray:
-    return np.random.default_rng(20_011).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+def _mixes() -> tuple[np.ndarray, np.ndarray]:
+    """An odd multiplier and a mask for each row: orders of hashes that do not depend on one another, as those under masks alone would."""
+    r = np.random.default_rng(20_011)
+    return r.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
@@ -119,7 +121,7 @@ def signatures(lines: list[str]) -> np.ndarray:
     """The signature of each line, of one character at least: (lines, BANDS * ROWS) of uint32."""
     hashes, starts, _ = _hashed_shingles(lines)
     short = (hashes >> _U64(32)).astype(np.uint32)
-    return np.stack([np.minimum.reduceat(short ^ m, starts) for m in _masks()], axis=1)
+    return np.stack([np.minimum.reduceat((short * a) ^ m, starts) for a, m in zip(*_mixes(), strict=True)], axis=1)
 
 
 def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import SparkSession
 
-from rippleframe.llm.lines import decide, shingle_set, signatures, sketches
+from rippleframe.llm.lines import BANDS, CHECKED, MOST_APART, ROWS, decide, shingle_set, signatures, sketches
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +97,26 @@ def test_signatures_do_not_depend_on_the_block():
     for k, line in enumerate(lines):
         assert (signatures([line])[0] == together[k]).all()
         assert sketches([line])[0].tolist() == [len(shingle_set(line))]
+
+
+def near_pair(r, least, most):
+    """Two random lines of a length, with a similarity from .8 to .845."""
+    while True:
+        x = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=r.randint(least, most)))
+        shingles = max(1, len(x) - 4)
+        # A changed end of k characters takes k shingles from one line and adds k to the other.
+        k = round(shingles * r.uniform(0.165, 0.2) / (2 - 0.18))
+        y = x[:-k] + "".join(r.choices("ABCDEFGH", k=k)) if k and r.random() < 0.5 else x[max(1, round(shingles * r.uniform(0.155, 0.2))) :]
+        a, b = shingle_set(x), shingle_set(y)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.845:
+            return x, y
+
+
+@pytest.mark.parametrize("least, most", [(12, 16), (16, 30), (30, 60), (60, 300)])
+def test_recall_by_length(least, most):
+    r = random.Random(least)
+    pairs = [near_pair(r, least, most) for _ in range(1500)]
+    a, b = (signatures([p[side] for p in pairs]) for side in (0, 1))
+    same = (a == b).reshape(len(pairs), BANDS, ROWS).all(axis=2).any(axis=1)
+    close = ((a[:, :CHECKED] & 15) != (b[:, :CHECKED] & 15)).sum(axis=1) <= MOST_APART
+    assert (same & close).mean() >= 0.98 and close.mean() >= 0.9995
