@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rippleframe.functions.text import display_name
 from rippleframe.sources.scratch import written
 
 
@@ -282,3 +283,62 @@ def invariant_claims(refs: DataFrame, defs: DataFrame, claims: DataFrame) -> Dat
     n = F.when(F.col("kind").isin("tests", "api-compat"), F.coalesce(n, F.lit(0).cast("long")))
     verified = F.when(F.col("kind") == "tests", n > 0).when(F.col("kind") == "api-compat", n == 0).otherwise(F.lit(False))
     return joined.select("file", "kind", verified.alias("verified"), n.alias("evidence"))
+
+
+def impact_report(refs: DataFrame, defs: DataFrame, mutations: DataFrame, k: int = 10) -> DataFrame:
+    """mutations(id, kind) -> id, production_callers, test_callers, top_callers (the ``k`` first production ones by id), impact, confidence.
+
+    The confidence goes by the share of tests among all definitions. Callers of a definition
+    that very many refer to are ranked within tasks first, so only its first ones are shuffled.
+    """
+    hit = refs.join(mutations.select(F.col("id").alias("to_def")).distinct(), "to_def", "left_semi").join(_end(defs, "from", "name", "receiver", "is_test"), "from_def")
+    counts = hit.groupBy(F.col("to_def").alias("id")).agg(F.count_if(~F.col("from_is_test")).alias("production_callers"), F.count_if("from_is_test").alias("test_callers"))
+    first = hit.filter("NOT from_is_test").withColumn("r", F.row_number().over(Window.partitionBy("to_def").orderBy("from_def"))).filter(F.col("r") <= k)
+    shown = first.groupBy(F.col("to_def").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "from_name", "from_receiver"))), lambda x: display_name(x["from_name"], x["from_receiver"])).alias("top_callers"))
+    told = mutations.join(defs.select("id", "name", "receiver"), "id").join(counts, "id", "left").join(shown, "id", "left").na.fill(0, ["production_callers", "test_callers"])
+    who, n, t = display_name(F.col("name"), F.col("receiver")), F.col("production_callers"), F.col("test_callers")
+    impact = (
+        F.when(F.col("kind") == "signature-change", F.format_string("%s signature change: %d production callers will break, %d tests cover this", who, n, t))
+        .when(F.col("kind") == "behavior-change", F.format_string("%s behavior change: %d production callers unaffected syntactically, %d tests may fail", who, n, t))
+        .when(F.col("kind") == "removal", F.format_string("%s removal: %d production callers + %d test callers will fail to compile", who, n, t))
+        .otherwise(F.format_string("%s: %d production callers, %d tests", who, n, t))
+    )
+    share = defs.agg(F.avg(F.col("is_test").cast("int")).alias("share"))
+    confidence = F.when(F.col("share") > 0.35, "high").when(F.col("share") > 0.20, "moderate").otherwise("low")
+    return told.join(F.broadcast(share), F.lit(True)).select("id", "production_callers", "test_callers", F.coalesce("top_callers", F.array().cast("array<string>")).alias("top_callers"), impact.alias("impact"), confidence.alias("confidence"))
+
+
+def risk_of(callers: Column, tests: Column) -> Column:
+    return F.when((callers >= 10) | (tests >= 30), "high").when((callers >= 3) | (tests >= 10), "moderate").otherwise("low")
+
+
+def subdivide_plans(mutations: DataFrame) -> DataFrame:
+    """mutations(plan_id, pos, callers, tests), pos from 1 without gaps -> plan_id, first, last, callers, tests, risk: segments of each plan.
+
+    Up to three mutations stand alone. More are halved; a half of high risk with more than two
+    is divided in the same way. Sums up to each position make every segment two lookups; each
+    level of halving is one pass over the segments still open, of all plans together.
+    """
+    upto = Window.partitionBy("plan_id").orderBy("pos")
+    sums = mutations.select("plan_id", F.col("pos").cast("long").alias("pos"), F.sum("callers").over(upto).alias("c"), F.sum("tests").over(upto).alias("t"))
+    sums = written(sums.unionByName(sums.select("plan_id").distinct().select("plan_id", *[F.lit(0).cast("long").alias(c) for c in ("pos", "c", "t")])), "segment-sums")
+    at = lambda end, c, t: sums.select("plan_id", F.col("pos").alias(end), F.col("c").alias(c), F.col("t").alias(t))
+
+    def valued(segments: DataFrame) -> DataFrame:
+        both = segments.withColumn("before", F.col("first") - 1).join(at("before", "c0", "t0"), ["plan_id", "before"]).join(at("last", "c1", "t1"), ["plan_id", "last"])
+        out = both.select("plan_id", "first", "last", (F.col("c1") - F.col("c0")).alias("callers"), (F.col("t1") - F.col("t0")).alias("tests"))
+        return out.withColumn("risk", risk_of(F.col("callers"), F.col("tests")))
+
+    opened = sums.groupBy("plan_id").agg(F.max("pos").alias("last")).filter("last > 0").select("plan_id", F.lit(1).cast("long").alias("first"), "last")
+    done = None
+    while True:
+        n = F.col("last") - F.col("first") + 1
+        few, many = opened.filter(n <= 3), opened.filter(n > 3).withColumn("mid", F.col("first") + (n / 2).cast("long"))
+        alone = few.select("plan_id", F.explode(F.sequence("first", "last")).alias("first")).select("plan_id", "first", F.col("first").alias("last"))
+        halves = many.select("plan_id", F.explode(F.array(F.struct("first", (F.col("mid") - 1).alias("last")), F.struct(F.col("mid").alias("first"), "last"))).alias("s")).select("plan_id", "s.first", "s.last")
+        level = written(valued(alone).withColumn("goes_on", F.lit(False)).unionByName(valued(halves).withColumn("goes_on", (F.col("risk") == "high") & (F.col("last") - F.col("first") >= 2))), "segments")
+        closed = level.filter("NOT goes_on").drop("goes_on")
+        done = closed if done is None else done.unionByName(closed)
+        opened = level.filter("goes_on").select("plan_id", "first", "last")
+        if opened.isEmpty():
+            return done

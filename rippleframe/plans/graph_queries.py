@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rippleframe.operators import graph
@@ -189,3 +190,29 @@ def invariants(spark, sf):
     refs, defs = _graph(spark, sf)
     kinds = F.explode(F.array(*map(F.lit, ("tests", "api-compat", "no-new-deps"))))
     return graph.invariant_claims(refs, defs, defs.select(F.col("source_file").alias("file")).distinct().withColumn("kind", kinds))
+
+
+_KIND = "CASE id % 4 WHEN 0 THEN 'signature-change' WHEN 1 THEN 'behavior-change' WHEN 2 THEN 'removal' ELSE 'other' END"
+_SHOWN = "CASE WHEN {r}receiver = '' THEN {r}name ELSE '(' || {r}receiver || ').' || {r}name END"
+
+
+def _shown(r=""):
+    return _SHOWN.replace("{r}", r)
+
+
+@query("AND_VIEWS h AS (SELECT to_def AS id, from_def, s.is_test, " + _shown("s.") + " AS who FROM {refs} JOIN {defs} s ON s.id = from_def), c AS (SELECT id, count(*) FILTER (NOT is_test) AS p, count(*) FILTER (is_test) AS t FROM h GROUP BY 1), f AS (SELECT id, string_agg(who, ',' ORDER BY from_def) AS l FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY from_def) AS r FROM h WHERE NOT is_test) WHERE r <= 10 GROUP BY 1), m AS (SELECT d.id, " + _KIND.replace("id", "d.id") + " AS kind, " + _shown("d.") + " AS who, coalesce(p, 0) AS p, coalesce(t, 0) AS t, coalesce(l, '') AS l FROM {defs} d LEFT JOIN c ON c.id = d.id LEFT JOIN f ON f.id = d.id), sh AS (SELECT avg(is_test::INT) AS share FROM {defs}) SELECT id, p AS production_callers, t AS test_callers, l AS top_callers, CASE kind WHEN 'signature-change' THEN who || ' signature change: ' || p || ' production callers will break, ' || t || ' tests cover this' WHEN 'behavior-change' THEN who || ' behavior change: ' || p || ' production callers unaffected syntactically, ' || t || ' tests may fail' WHEN 'removal' THEN who || ' removal: ' || p || ' production callers + ' || t || ' test callers will fail to compile' ELSE who || ': ' || p || ' production callers, ' || t || ' tests' END AS impact, CASE WHEN share > 0.35 THEN 'high' WHEN share > 0.20 THEN 'moderate' ELSE 'low' END AS confidence FROM m, sh")
+def impact_report(spark, sf):
+    """What each definition's change would do."""
+    refs, defs = _graph(spark, sf)
+    kinds = F.element_at(F.array(*map(F.lit, ("signature-change", "behavior-change", "removal", "other"))), (F.col("id") % 4 + 1).cast("int"))
+    return graph.impact_report(refs, defs, defs.select("id", kinds.alias("kind"))).withColumn("top_callers", F.array_join("top_callers", ","))
+
+
+@query("AND_VIEWS RECURSIVE_ m AS (SELECT d.module_id AS plan_id, row_number() OVER (PARTITION BY d.module_id ORDER BY d.id) AS pos, (SELECT count(*) FROM {refs} r JOIN {defs} s ON s.id = r.from_def WHERE r.to_def = d.id AND NOT s.is_test) AS callers, (SELECT count(*) FROM {refs} r JOIN {defs} s ON s.id = r.from_def WHERE r.to_def = d.id AND s.is_test) AS tests FROM {defs} d), u AS (SELECT plan_id, pos, CAST(sum(callers) OVER w AS BIGINT) AS c, CAST(sum(tests) OVER w AS BIGINT) AS t FROM m WINDOW w AS (PARTITION BY plan_id ORDER BY pos) UNION ALL SELECT DISTINCT plan_id, 0, 0, 0 FROM m), g(plan_id, first, last, callers, tests, goes_on) AS (SELECT plan_id, CAST(1 AS BIGINT), max(pos), CAST(0 AS BIGINT), CAST(0 AS BIGINT), true FROM m GROUP BY 1 UNION ALL SELECT x.plan_id, x.a, x.b, h.c - l.c, h.t - l.t, x.halved AND (h.c - l.c >= 10 OR h.t - l.t >= 30) AND x.b - x.a >= 2 FROM (SELECT plan_id, unnest(CASE WHEN last - first < 3 THEN range(first, last + 1) ELSE [first, first + (last - first + 1) // 2] END) AS a, unnest(CASE WHEN last - first < 3 THEN range(first, last + 1) ELSE [first + (last - first + 1) // 2 - 1, last] END) AS b, last - first >= 3 AS halved FROM g WHERE goes_on) x JOIN u l ON l.plan_id = x.plan_id AND l.pos = x.a - 1 JOIN u h ON h.plan_id = x.plan_id AND h.pos = x.b) SELECT plan_id, first, last, callers, tests, CASE WHEN callers >= 10 OR tests >= 30 THEN 'high' WHEN callers >= 3 OR tests >= 10 THEN 'moderate' ELSE 'low' END AS risk FROM g WHERE NOT goes_on".replace("RECURSIVE_ ", ""), True)
+def subdivide_plans(spark, sf):
+    """Each module's definitions as a plan's mutations, divided by risk until no half of high risk is left to halve."""
+    refs, defs = _graph(spark, sf)
+    kinds = refs.join(defs.select(F.col("id").alias("from_def"), "is_test"), "from_def").groupBy(F.col("to_def").alias("id")).agg(F.count_if(~F.col("is_test")).alias("callers"), F.count_if("is_test").alias("tests"))
+    pos = F.row_number().over(Window.partitionBy("plan_id").orderBy("id"))
+    each = defs.select("id", F.col("module_id").alias("plan_id")).join(kinds, "id", "left").na.fill(0, ["callers", "tests"]).withColumn("pos", pos)
+    return graph.subdivide_plans(each)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rippleframe.plans import code_queries, comod_queries, compound_queries, eval_queries, graph_queries, history_queries, rank_queries, text_queries  # noqa: F401
+from rippleframe.plans import code_queries, comod_queries, compound_queries, eval_queries, gap_queries, graph_queries, history_queries, rank_queries, text_queries  # noqa: F401
 from rippleframe.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

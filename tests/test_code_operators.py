@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rippleframe.operators import addition, comod, compound, evaluate, forecast, keywords, quantile, rank, verified
+from rippleframe.operators import addition, comod, compound, evaluate, forecast, gaps, graph, keywords, quantile, rank, verified
 from rippleframe.sources import views
 
 
@@ -214,3 +214,55 @@ def test_written_views_follow_their_input(spark, tmp_path):
     assert rows(views.view(spark, f"file://{tmp_path}", "refs")) == [(10, 11)]
     write([(1, 1, 10), (1, 2, 12)])
     assert rows(views.view(spark, f"file://{tmp_path}", "refs")) == [(10, 12)]
+
+
+def test_gaps_merge_in_order(spark):
+    planned = spark.createDataFrame([(1, f) for f in ("a.go", "b.go", "c.css")], "plan_id long, file string")
+    pairs = [("a.go", "hub.go", 0.9), ("b.go", "hub.go", 0.5), ("c.css", "hub.go", 0.5), ("a.go", "d/known.go", 0.8), ("a.go", "x_test.py", 0.9), ("a.go", "b.go", 1.0), ("c.css", "low.go", 0.1), ("a.go", "one.css", 0.8)]
+    conf = spark.createDataFrame(pairs, "file_a string, file_b string, confidence double")
+    blast = spark.createDataFrame([(1, "a.go", "hub.go", 9, 0.9, "high"), (1, "a.go", "graph.go", 5, 0.2, "high")], "plan_id long, plan_file string, file string, callers long, frequency double, confidence string")
+    acks = spark.createDataFrame([(1, "known.go", "seen"), (2, "hub.go", "other plan"), (1, "hub.go", "")], "plan_id long, file string, reason string")
+    got = gaps.merged_gaps(conf, blast, planned, acks, 0.4)
+    assert [tuple(r) for r in got.select("file", "plan_file", "confidence", "cross_stack", "hub", "reason", "source").orderBy("place").collect()] == [
+        ("hub.go", "a.go", "high", False, True, None, "comod"), ("d/known.go", "a.go", "high", False, False, "seen", "comod"), ("one.css", "a.go", "high", True, False, None, "comod"),
+        ("graph.go", "a.go", "high", False, False, None, "refgraph"), ("hub.go", "b.go", "moderate", False, True, None, "comod"), ("hub.go", "c.css", "moderate", True, True, None, "comod"),
+    ]
+    assert rows(gaps.compact_counts(got)) == [(1, 5, 1, 2)] and rows(gaps.hub_explosions(got)) == [] and rows(gaps.hub_explosions(got, 1)) == [(1, 1, ["hub.go"])]
+    dirs = spark.createDataFrame([(1, "a/b"), (1, "c"), (2, "c")], "plan_id long, dir string")
+    assert rows(gaps.without_acknowledged(dirs, spark.createDataFrame([(1, "c/"), (1, "a")], "plan_id long, dir string"))) == [(1, "a/b"), (2, "c")]
+
+
+def test_what_an_agent_looked_at(spark):
+    calls = [("s", 3, "find", "a.go"), ("s", 1, "find", "a.go"), ("s", 2, "find", "once.go"), ("s", 1, "read", "b.go"), ("s", 2, "code", "b.go"), ("s", 1, "code", "c_test.go"), ("s", 1, "code", "done.go"), ("s", 1, "read", "gone.go"), ("s", 5, "constructors", "d.go")]
+    c = spark.createDataFrame(calls, "session string, turn int, tool string, path string")
+    files = spark.createDataFrame([(p,) for p in ("a.go", "b.go", "c_test.go", "d.go", "done.go", "once.go")], "path string")
+    got = gaps.exploration_scores(c, spark.createDataFrame([("s", "done.go")], "session string, path string"), files)
+    assert rows(got, "path", "tool_rank", "hits", "turn", "score") == [("a.go", 1, 2, 2, 0.4), ("b.go", 3, 2, 2, 0.6), ("d.go", 3, 1, 6, 0.5)]
+    said = spark.createDataFrame([("q", "a.go:1:x\na.go:2:y\nb.go:3:z\nc_test.go:1:x\nno match\nc.go:1:x\nd.go:1:x"), ("e", "")], "id string, text string")
+    assert rows(gaps.find_hits(said)) == [("q", "a.go", 2), ("q", "b.go", 1), ("q", "c.go", 1)]
+
+
+def test_plans_are_halved_by_risk(spark):
+    r = random.Random(4)
+    plans = {p: [(r.choice([0, 0, 0, 1, 2, 9, 30]), r.choice([0, 0, 1, 8])) for _ in range(n)] for p, n in enumerate((1, 2, 3, 4, 5, 17, 64))}
+
+    def divided(xs, start):
+        risk = lambda ys: "high" if sum(a for a, _ in ys) >= 10 or sum(b for _, b in ys) >= 30 else "moderate" if sum(a for a, _ in ys) >= 3 or sum(b for _, b in ys) >= 10 else "low"
+        if len(xs) <= 3:
+            return [(start + k, start + k, risk([x])) for k, x in enumerate(xs)]
+        out, mid = [], len(xs) // 2
+        for part, at in ((xs[:mid], start), (xs[mid:], start + mid)):
+            out += divided(part, at) if risk(part) == "high" and len(part) > 2 else [(at, at + len(part) - 1, risk(part))]
+        return out
+
+    data = [(p, k, a, b) for p, xs in plans.items() for k, (a, b) in enumerate(xs, 1)]
+    got = graph.subdivide_plans(spark.createDataFrame(data, "plan_id int, pos int, callers long, tests long"))
+    assert rows(got, "plan_id", "first", "last", "risk") == sorted((p, *s) for p, xs in plans.items() for s in divided(xs, 1))
+
+
+def test_impact_texts(spark):
+    refs, defs = code(spark, [(2, 1), (3, 1), (4, 1)], {1: ("Save", "a.go"), 2: ("Use", "b.go"), 3: ("run", "c.go"), 4: ("TestSave", "a_test.go")}, tests=(4,), receivers=((1, "*DB"), (3, "App")))
+    kinds = spark.createDataFrame([(1, "removal"), (2, "signature-change")], "id long, kind string")
+    got = {r["id"]: r for r in graph.impact_report(refs, defs, kinds).collect()}
+    assert got[1]["impact"] == "(*DB).Save removal: 2 production callers + 1 test callers will fail to compile" and got[1]["top_callers"] == ["Use", "(App).run"]
+    assert got[2]["impact"] == "Use signature change: 0 production callers will break, 0 tests cover this" and got[2]["top_callers"] == [] and got[1]["confidence"] == "moderate"

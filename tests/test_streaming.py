@@ -54,12 +54,47 @@ def test_gate_stream_keeps_state_between_batches(spark, tmp_path):
     assert sorted((r["seq"], r["allowed"], r["attempts"]) for r in got) == [(1, False, 1), (2, True, 2)]
 
 
+def edit(file, hour, day=1):
+    return {"project": "p", "file": file, "ts": f"2024-01-{day:02d}T{hour:02d}:00:00Z"}
+
+
 def test_edits_fire_from_two_files_on(spark, tmp_path):
-    batches = [[{"project": "p", "file": "a"}], [{"project": "p", "file": "a"}], [{"project": "p", "file": "b"}]]
-    got = run(gates.edited_files(source(spark, tmp_path, batches, "project string, file string")), "edits_out", spark)
+    batches = [[edit("a", 1)], [edit("a", 1)], [edit("b", 2)], [edit("b", 2)]]
+    got = run(gates.edited_files(source(spark, tmp_path, batches, "project string, file string, ts timestamp")), "edits_out", spark)
     assert [(r["project"], r["n"], r["files"]) for r in got] == [("p", 2, ["a", "b"])]
 
 
+def test_edits_expire(spark, tmp_path):
+    """Files leave a day after their last edit, late edits do not count, and state shrinks again."""
+    batches = [[edit("a", 1), edit("b", 2)], [edit("c", 12, 3)], [edit("late", 1, 1)], [edit("d", 13, 3)], [edit("e", 0, 9)], [{"project": "q", "file": "x", "ts": "2024-01-20T00:00:00Z"}], [{"project": "q", "file": "x", "ts": "2024-01-21T00:00:00Z"}]]
+    stream = gates.edited_files(source(spark, tmp_path, batches, "project string, file string, ts timestamp"))
+    q = stream.writeStream.format("memory").queryName("expiring").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.table("expiring").collect()
+    assert [(r["n"], r["files"]) for r in got] == [(2, ["a", "b"]), (2, ["c", "d"])]
+    # Only q is left: p has no file that is younger than a day.
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_corrections_by_id(spark, tmp_path):
+    at = lambda d, h=0: f"2024-01-{d:02d}T{h:02d}:00:00Z"
+    checks = [[{"id": "a", "ts": at(1)}, {"id": "b", "ts": at(1)}, {"id": "a", "ts": at(1, 1)}], [{"id": "z", "ts": at(20)}], [{"id": "y", "ts": at(21)}]]
+    outcomes = [[{"id": "a", "ts": at(2), "outcome": "clean"}, {"id": "a", "ts": at(2, 1), "outcome": "failed"}, {"id": "b", "ts": at(9), "outcome": "rework"}], [{"id": "z", "ts": at(20, 1), "outcome": "clean"}], [{"id": "none", "ts": at(30), "outcome": "clean"}]]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "o").mkdir()
+    c = source(spark, tmp_path / "c", checks, "id string, ts timestamp")
+    o = source(spark, tmp_path / "o", outcomes, "id string, ts timestamp, outcome string")
+    got = sorted((r["id"], r["outcome"]) for r in run(gates.corrected(c, o), "corrected_out", spark))
+    # The first outcome of a counts, once; that of b came after seven days; y is still open.
+    assert got == [("a", "clean"), ("b", None), ("z", "clean")]
+
+
+def test_churn_decays(spark, tmp_path):
+    rows = [[{"ts": "2024-01-01T00:30:00Z", "file": "a"}, {"ts": "2024-01-02T01:10:00Z", "file": "a"}, {"ts": "2024-01-04T00:00:00Z", "file": "b"}]]
+    got = run(gates.decayed_churn(source(spark, tmp_path, rows, "ts timestamp, file string"), 2), "churn_out", spark, "complete")
+    assert sorted((r["end"].day, r["file"], r["n"]) for r in got) == [(2, "a", 1), (3, "a", 2), (4, "a", 1), (5, "b", 1), (6, "b", 1)]
+
+
 def test_sliding_windows(spark, tmp_path):
     rows = [[{"ts": "2024-01-01T00:30:00Z", "kind": "e"}, {"ts": "2024-01-01T01:10:00Z", "kind": "e"}]]
     got = run(gates.sliding_counts(source(spark, tmp_path, rows, "ts timestamp, kind string"), "2 hours"), "windows_out", spark, "complete")
