@@ -6,9 +6,10 @@ over all documents, then by hash. Two sets at the threshold share a shingle amon
 few of that order, their prefixes. Classes with the same prefix and size are one group;
 only groups enter the join on prefix shingles, filtered by size and by the position of the
 shingle. Group pairs that are left are expanded to pairs of members where they meet, and a
-parity sketch of at least as many bits as a set has shingles refutes pairs there without an
-error: sketches differ in no more bits than there are shingles in one set alone. What
-remains becomes rows and is verified by the shingles of both texts.
+parity sketch of at least twice as many bits as a set has shingles refutes pairs there
+without an error: sketches differ in no more bits than there are shingles in one set alone.
+Sets of up to ``WHOLE`` shingles, where a few bits decide, are carried whole and compared at
+once. What remains becomes rows and is verified by the shingles of both texts.
 
 Links come in rounds. In up to ``ROUNDS`` of them each class is verified against the nearest
 class of another component in its buckets, by sketch, and against the least one that is
@@ -43,14 +44,16 @@ from .components import components
 WORDS = 4
 PERCENT = 85
 #: Counters of shingles, a power of two, and how many of them go in one row.
-BUCKETS = 1 << 21
-PART = 1 << 15
+BUCKETS = 1 << 23
+PART = 1 << 17
 #: Classes of a bucket that a task holds at a time, and members of a group in one row.
 SALT = 2000
 CHUNK_MEMBERS = 64
 #: Rounds that contract what is nearest before all is compared, and one in how many shingles they look at.
-ROUNDS = 3
+ROUNDS = 2
 NEAREST_OF = 4
+#: Sets of up to this size are carried whole, at 32 bits a shingle.
+WHOLE = 150
 #: Words whose hashes a task keeps at a time, and shingles that it counts at a time.
 MEMO = 1 << 20
 CHUNK = 1 << 20
@@ -102,21 +105,27 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 def _tally(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, held, size = _Hashes(), np.zeros(BUCKETS, dtype=np.int64), [], 0
+        hashes, counts, held, size = _Hashes(), np.zeros(BUCKETS, dtype=np.int32), [], 0
+
+        def count():
+            at, n = np.unique(_bucket(np.concatenate(held)), return_counts=True)
+            counts[at] += n.astype(np.int32)
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.append(shingles(text, hashes, words))
                 size += len(held[-1])
                 if size >= CHUNK:
-                    counts += np.bincount(_bucket(np.concatenate(held)), minlength=BUCKETS)
+                    count()
                     held, size = [], 0
         if held:
-            counts += np.bincount(_bucket(np.concatenate(held)), minlength=BUCKETS)
+            count()
+        # A task's count of a byte's range is exact; what is more is common enough wherever it stands.
+        small = np.minimum(counts, 255).astype(np.uint8)
         for at in range(0, BUCKETS, PART):
-            part = counts[at : at + PART]
+            part = small[at : at + PART]
             if part.any():
-                width = np.uint16 if part.max() < 1 << 16 else np.uint64
-                yield pa.RecordBatch.from_arrays([pa.array([at // PART]), pa.array([part.astype(width).tobytes()])], names=["part", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([at // PART]), pa.array([part.tobytes()])], names=["part", "counts"])
 
     return run
 
@@ -125,7 +134,7 @@ def _levels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(counts, dtype=np.uint16 if len(counts) == 2 * PART else np.uint64).astype(np.float64)
+            own = np.frombuffer(counts, dtype=np.uint8).astype(np.float32)
             sums[part] = sums[part] + own if part in sums else own
     for part, total in sums.items():
         level = np.round(4 * np.log2(1 + total)).astype(np.uint8)
@@ -148,14 +157,19 @@ def parity_sketch(h: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-_PRINT = "doc_id long, th long, n long, class binary, group binary, prefix array<long>, sketch binary"
+def whole_set(h: np.ndarray) -> bytes:
+    """The upper halves of the hashes, ascending, of sets that are not too large; empty for others."""
+    return (h >> _U64(32)).astype(np.uint32).tobytes() if len(h) <= WHOLE else b""
+
+
+_PRINT = "doc_id long, th long, n long, class binary, group binary, prefix array<long>, sketch binary, whole binary"
 
 
 def _printed(levels: np.ndarray, words: int, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            sizes, classes, groups, prefixes, ends, sketches = [], [], [], [], [0], []
+            sizes, classes, groups, prefixes, ends, sketches, wholes = [], [], [], [], [0], [], []
             for text in batch.column(2).to_pylist():
                 h = shingles(text, hashes, words)
                 sizes.append(len(h))
@@ -165,15 +179,16 @@ def _printed(levels: np.ndarray, words: int, percent: int):
                     classes.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     groups.append(hashlib.blake2b(prefix.tobytes(), digest_size=16, salt=str(len(h)).encode()[:16]).digest())
                     sketches.append(parity_sketch(h))
+                    wholes.append(whole_set(h))
                 else:
-                    for column in (classes, groups, sketches):
+                    for column in (classes, groups, sketches, wholes):
                         column.append(None)
                 prefixes.append(prefix)
                 ends.append(ends[-1] + len(prefix))
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(groups, pa.binary()), lists, pa.array(sketches, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(groups, pa.binary()), lists, pa.array(sketches, pa.binary()), pa.array(wholes, pa.binary())],
                 names=[c.split()[0] for c in _PRINT.split(", ")],
             )
 
@@ -199,7 +214,7 @@ class Bucket:
         of = [(n, gid, pos, m) for n, gid, pos, members in self.rows for m in members]
         self.n, self.gid, self.pos = (np.array([r[k] for r in of], dtype=np.int64) for k in range(3))
         self.comp = np.array([r[3]["comp"] for r in of], dtype="S16")
-        self.names = [r[3]["class"] for r in of]
+        self.names, self.wholes = [r[3]["class"] for r in of], [r[3]["whole"] for r in of]
         words = np.array([len(r[3]["sketch"]) // 8 for r in of])
         self.slot, self.words, self.sketches = np.zeros(len(of), dtype=np.int64), words, {}
         for w in np.unique(words).tolist():
@@ -230,8 +245,24 @@ class Bucket:
             near = apart <= own[of] + n - 2 * least[of]
             found.append(of[near])
             bits.append(apart[near])
-        of = np.concatenate(found)
-        return of, np.concatenate(bits), own[of] + n - 2 * least[of]
+        of, apart = np.concatenate(found), np.concatenate(bits)
+        if member["whole"] and len(of):
+            of, apart = self._by_sets(of, apart, np.frombuffer(member["whole"], dtype=np.uint32), least)
+        return of, apart, own[of] + n - 2 * least[of]
+
+    def _by_sets(self, of: np.ndarray, apart: np.ndarray, own: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without those whose sets, where they are whole, have too few shingles in common."""
+        sets = [np.frombuffer(self.wholes[i], dtype=np.uint32) for i in of.tolist()]
+        sizes = np.array([len(x) for x in sets])
+        there = np.flatnonzero(sizes)
+        if not len(there):
+            return of, apart
+        flat = np.concatenate([sets[i] for i in there])
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        common = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes[there]) - sizes[there])
+        stays = np.ones(len(of), dtype=bool)
+        stays[there] = common >= least[of[there]]
+        return of[stays], apart[stays]
 
 
 class _Every:
@@ -353,7 +384,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
 
 
 def _buckets(shared: DataFrame, members: DataFrame, percent: int, told: type) -> DataFrame:
-    """What ``told`` says of members(gid, class, comp, n, sketch) in different components that no filter rules out, bucket by bucket.
+    """What ``told`` says of members(gid, class, comp, n, sketch, whole) in different components that no filter rules out, bucket by bucket.
 
     A bucket is a prefix shingle with the groups that have it, or a group of several
     components. Tasks hold at most about ``SALT`` classes of a bucket; what a bucket has beyond
@@ -372,7 +403,7 @@ def _buckets(shared: DataFrame, members: DataFrame, percent: int, told: type) ->
     # Members of a group come in chunks, so no row grows with its group.
     part = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / CHUNK_MEMBERS)).alias("part")
     asked = members.join(spans.select("gid", "size"), "gid").join(rows.select("gid").distinct(), "gid", "left_semi")
-    chunks = asked.groupBy("gid", part).agg(F.first("n").alias("n"), F.collect_list(F.struct("class", "comp", "sketch")).alias("members"))
+    chunks = asked.groupBy("gid", part).agg(F.first("n").alias("n"), F.collect_list(F.struct("class", "comp", "sketch", "whole")).alias("members"))
     own = F.pmod(F.xxhash64("gid", "part"), F.col("salts")).cast("int")
     dealt = rows.join(chunks, "gid").withColumn("own", own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("streamed", F.col("salt") != F.col("own"))
     columns = ["prefixes", "key", "salt", "streamed"]
@@ -399,7 +430,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     levels = rarity(texts, words)
     prints = materialize(texts.mapInArrow(_printed(levels, words, percent), _PRINT), "ngram-prints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
-    of_class = [F.min(place).alias("best"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("n", "group", "prefix", "sketch")]]
+    of_class = [F.min(place).alias("best"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("n", "group", "prefix", "sketch", "whole")]]
     classes = materialize(prints.filter("n > 0").groupBy("class").agg(*of_class).withColumn("gid", F.xxhash64("group")), "ngram-classes")
     # Groups whose short names collide are compared as one, which adds pairs and loses none.
     groups = materialize(classes.groupBy("group").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "ngram-groups")
@@ -408,11 +439,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     ends = {"before": F.lag("gid", 1).over(bucket), "after": F.lead("gid", 1).over(bucket)}
     shared = materialize(rows.withColumns(ends).filter("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "ngram-shared")
 
-    plain = materialize(classes.select("class", "gid", "n", "th", "sketch", "best"), "ngram-plain")
+    plain = materialize(classes.select("class", "gid", "n", "th", "sketch", "whole", "best"), "ngram-plain")
     discard(classes)
     of = lambda r: plain.join(r.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class"))
     links, roots, moved = None, None, True
-    members = materialize(plain.select("gid", "class", F.col("class").alias("comp"), "n", "sketch"), "ngram-members")
+    members = materialize(plain.select("gid", "class", F.col("class").alias("comp"), "n", "sketch", "whole"), "ngram-members")
     # The last round takes all; those before it stop once they find nothing.
     for told in [_Best] * ROUNDS + [_Every]:
         if told is _Best and not moved:
@@ -424,7 +455,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             links = found if links is None else links.unionByName(found)
             discard(roots, members)
             roots = components(links, "ngram")
-            members = materialize(of(roots).select("gid", "class", "comp", "n", "sketch"), "ngram-members")
+            members = materialize(of(roots).select("gid", "class", "comp", "n", "sketch", "whole"), "ngram-members")
     roots = roots if roots is not None else spark.createDataFrame([], "node binary, root binary")
     discard(shared, groups, members)
     placed = of(roots).select("class", "comp", "best")
