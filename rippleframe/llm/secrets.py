@@ -106,7 +106,7 @@ def verdicts(rows: DataFrame, spans: DataFrame) -> DataFrame:
     base, kept = F.filter("owned", lambda s: s["kind"] < 3), F.filter("owned", lambda s: (s["kind"] < 3) | s["live"])
     kinds = F.array(*map(F.lit, KINDS))
     told = F.transform("owned", lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"], s["n_owners"], s["n_repos"], F.when(s["live"], "live").otherwise("copied")))
-    count = [F.size(F.filter("owned", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    count = [F.size(F.expr(f"filter(owned, s -> s.kind = {k})")).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     joined = lambda x: F.array_join(x, ",")
     return both.select("doc_id", *count, F.sha2(joined(_said(base)), 256).alias("base_sha256"), joined(_said(kept)).alias("spans"), joined(told).alias("ownership"))
 
