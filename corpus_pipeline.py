@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rippleframe.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from rippleframe.llm.common import materialize, read_table
+from rippleframe.llm.common import discard, materialize, read_table
 
 #: No SQL: trained models take part.
 ORACLE_SQL = None
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5."""
+    """Documents scored below 0.5; null texts are scored as empty ones."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id."""
+    """Of equal texts the one with the largest id; a null text equals an empty one, rows that repeat id and text leave one."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the one with the smallest id."""
+    """Of each SimHash component the one with the smallest id; all texts without words are one component."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -32,7 +32,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, repeated ones too; null texts as empty ones."""
     return bpe.digest_texts(docs)
 
 
@@ -46,8 +46,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each stage's rows are written and read again."""
+    """Apply the stages to ``documents``; each stage's rows are written and read again, and deleted once the next stage's are written.
+
+    Null, empty and very long texts, null and repeated ids, repeated rows and extra columns of any
+    name go through; a table without documents gives none, and without labels of both kinds all
+    texts score alike.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs

@@ -32,7 +32,8 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The write's shuffle files go once the table is there, as nothing reads them again.
+    The write's shuffle files go once the table is there, as nothing reads them again, and so
+    do the tables that ``df`` alone reads (see ``reading``).
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tables/{label}-{uuid.uuid4().hex}"
@@ -44,9 +45,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    discard(*getattr(df, "_reads", ()))
     return out
 
 
+def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, which alone reads these written tables; ``materialize`` deletes them once it has written it."""
+    df._reads = tables
+    return df
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete the tables behind frames from ``materialize`` once nothing reads them any more."""
     for df in tables:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, read_table, shuffle_partitions, text_or_empty
+from .common import fresh, materialize, read_table, reading, shuffle_partitions, text_or_empty
 
 SLOTS = 4
 MAX_KICKS = 256
@@ -270,7 +270,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         repeated = F.col(digest) == F.col(gone_digest)
         once = kept.join(again, repeated, "left_semi").dropDuplicates([digest])
         kept = kept.join(again, repeated, "left_anti").unionByName(once)
-    return kept.drop(digest)
+    return reading(kept.drop(digest), decided)
 
 
 # --- the stored index -------------------------------------------------------------------

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialize, read_table, shuffle_partitions
+from .common import discard, fresh, materialize, read_table, reading, shuffle_partitions
 from .components import components
 
 WORDS = 3
@@ -211,8 +211,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fp, rid = fresh(docs, "nd_fp", "nd_rid")
     held = materialize(docs.withColumn(fp, _fingerprints(F.col(text_col))).withColumn(rid, F.monotonically_increasing_id()), "nd-docs")
     prints = held.select(F.col(id_col).cast("long").alias("doc_id"), F.col(rid).alias("rid"), F.col(fp).alias("fp"))
-    keep = classes(prints, bits).select(F.col("keep.rid").alias(rid)).distinct()
-    return held.join(keep, rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = classes(prints, bits)
+    keep = found.select(F.col("keep.rid").alias(rid)).distinct()
+    return reading(held.join(keep, rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]), held, found)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

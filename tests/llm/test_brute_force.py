@@ -319,3 +319,20 @@ def test_each_stage_of_the_pipeline(spark):
     assert set(ids(mixed)) == set(root.values()) and all(x.columns == docs.columns for x in (exact, near, mixed))
     enc = library()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in stages["encoding"](spark, mixed, SF).collect()) == Counter({(i, len(enc.encode_ordinary(text[i]))): n for i, n in ids(mixed).items()})
+
+
+def test_the_pipeline_on_odd_and_empty_tables(spark, folder, tmp_path):
+    import pathlib
+
+    scratch = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "tables"
+    left = lambda: {p.name for kind in ("pipeline", "nd-docs", "nd-classes", "exact-decided") for p in scratch.glob(f"{kind}-*")}
+    before = left()
+    got = corpus_pipeline.run(spark, folder[0]).collect()
+    enc = library()
+    known = {(i, len(enc.encode_ordinary(t))) for i, t in ((r["doc_id"], r["text"] or "") for r in folder[1].collect())}
+    assert {(r["doc_id"], r["n_tokens"]) for r in got} <= known and len({r["doc_id"] for r in got}) > 10
+    # Of what this run wrote between stages nothing is left.
+    assert {name.split("-")[1] for name in left() - before} == {"encoding"}
+    spark.read.parquet(f"{folder[0]}/empty.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder[0]}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
