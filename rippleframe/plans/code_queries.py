@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rippleframe.operators import addition, evaluate, keywords, verified
+from rippleframe.operators import addition, evaluate, infer, keywords, verified
 from rippleframe.plans.base import query
 from rippleframe.sources import golang
 from rippleframe.sources.views import view
@@ -183,3 +183,30 @@ def keyword_files(spark, sf):
     plans, planned, files = _task_plans(spark, sf)
     gaps = keywords.keyword_gaps(plans, planned, files, most=10, most_entity=12)
     return keywords.keyword_files(gaps, plans, planned, files)
+
+
+# --- what words say about code ---
+
+_CONCEPTS = ", ".join(f"'{c}'" for c in infer.CONCEPTS)
+
+
+@query("SELECT concept, count(*) AS documents FROM (SELECT doc_id, unnest([c FOR c IN [" + _CONCEPTS + "] IF contains(lower(text), c)]) AS concept FROM {documents}) GROUP BY 1")
+def concept_counts(spark, sf):
+    """How many documents name each concept."""
+    named = view(spark, sf, "documents").select(F.explode(infer.concepts(F.col("text"))).alias("concept"))
+    return named.groupBy("concept").agg(F.count(F.lit(1)).alias("documents"))
+
+
+_FUNCS = "fn AS (SELECT DISTINCT p_brand AS file, split_part(p_name, ' ', 1) AS c, split_part(p_name, ' ', 2) AS n, p_size % 4 AS kind FROM {part}), fs AS (SELECT DISTINCT file, kind, CASE WHEN kind < 3 THEN c END AS c, CASE WHEN kind >= 2 THEN n END AS n, CASE kind WHEN 0 THEN 'NewCmd' || upper(c[1]) || c[2:] WHEN 1 THEN c || 'Run' WHEN 2 THEN upper(n[1]) || n[2:] || upper(c[1]) || c[2:] ELSE 'Get' || upper(n[1]) || n[2:] END AS name FROM fn)"
+
+
+@query(f"AND_VIEWS {_FUNCS}, ls AS (SELECT o_custkey AS plan_id, p_name, p_brand AS file, l_returnflag FROM {_LINES}), wd AS (SELECT DISTINCT plan_id, unnest(string_split(p_name, ' ')) AS w FROM ls), pl AS (SELECT DISTINCT plan_id, file FROM ls WHERE l_returnflag = 'R'), sc AS (SELECT pl.plan_id, fs.file, fs.name, kind, (EXISTS (SELECT 1 FROM wd WHERE wd.plan_id = pl.plan_id AND wd.w = fs.c))::INT * (kind < 3)::INT + (EXISTS (SELECT 1 FROM wd WHERE wd.plan_id = pl.plan_id AND wd.w = fs.n))::INT * (kind >= 2)::INT + (EXISTS (SELECT 1 FROM wd WHERE wd.plan_id = pl.plan_id AND wd.w = 'new'))::INT * (kind = 0)::INT AS shared FROM pl JOIN fs ON fs.file = pl.file), ru AS (SELECT *, CASE WHEN kind = 1 THEN 0.7 WHEN kind = 0 THEN 0.5 ELSE 0 END::DOUBLE AS own, CASE WHEN shared > 0 THEN round((0.3::DOUBLE + 0.15::DOUBLE * shared) * 100) / 100 ELSE 0 END AS tok FROM sc), t AS (SELECT plan_id, file, name, greatest(own, tok) AS score, CASE WHEN tok > own THEN 'tokens' WHEN kind = 1 THEN 'run' ELSE 'constructor' END AS reason FROM ru WHERE own > 0 OR tok > 0) SELECT plan_id, file, name, score, reason FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, file ORDER BY score DESC, name) AS r FROM t) WHERE r <= 3")
+def infer_mutations(spark, sf):
+    """Functions named after parts, for every customer's planned brands and the words of all its parts."""
+    parts = view(spark, sf, "part")
+    c, n = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    kind = F.col("p_size") % 4
+    name = F.when(kind == 0, F.concat(F.lit("NewCmd"), F.initcap(c))).when(kind == 1, F.concat(c, F.lit("Run"))).when(kind == 2, F.concat(F.initcap(n), F.initcap(c))).otherwise(F.concat(F.lit("Get"), F.initcap(n)))
+    plans, _, _ = _task_plans(spark, sf)
+    own = view(spark, sf, "planned").join(plans, "plan_id").select("plan_id", "text", "file")
+    return infer.infer_mutations(own, parts.select(F.col("p_brand").alias("file"), name.alias("name")))

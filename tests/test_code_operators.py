@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rippleframe.operators import addition, comod, compound, evaluate, forecast, gaps, graph, keywords, quantile, rank, verified
+from rippleframe.operators import addition, comod, compound, evaluate, forecast, gaps, graph, infer, keywords, quantile, rank, verified
 from rippleframe.sources import views
 
 
@@ -266,3 +266,25 @@ def test_impact_texts(spark):
     got = {r["id"]: r for r in graph.impact_report(refs, defs, kinds).collect()}
     assert got[1]["impact"] == "(*DB).Save removal: 2 production callers + 1 test callers will fail to compile" and got[1]["top_callers"] == ["Use", "(App).run"]
     assert got[2]["impact"] == "Use signature change: 0 production callers will break, 0 tests cover this" and got[2]["top_callers"] == [] and got[1]["confidence"] == "moderate"
+
+
+def test_what_words_say_about_code(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(infer.concepts(F.lit("Add a Rate limiter to the AUTH handlers; serialize events"))) == ["handler", "auth", "serializ", "rate", "limit", "event"]
+    patterns = lambda objective, *steps: one(infer.body_patterns(F.lit(objective), F.array(*map(F.lit, steps)) if steps else F.array().cast("array<string>")))
+    assert patterns("modernize loops", "use range over ints") == ["for %:= 0%<%++", "for %:= 0%<%+="]
+    assert patterns("Rename IsValidName to IsInvalidName, drop isvalidname") == ["IsValidName", "IsInvalidName,", "IsInvalidName"][:2]
+    assert patterns("migrate github.com/x/y away", "improve error handling", "deprecate Old") == ["if err != nil", "github.com/x/y", "Deprecated"]
+    assert patterns("nothing to see") == []
+
+
+def test_functions_a_task_is_likely_to_change(spark):
+    names = ["createRun", "NewCmdCreate", "ListIssues", "Helper", "CreateIssue", "fooBar"]
+    functions = spark.createDataFrame([("a.go", n) for n in names], "file string, name string")
+    plans = spark.createDataFrame([(1, "Add a flag to create an issue", "a.go"), (2, "call helper from the list of issues", "a.go"), (3, "unrelated", "a.go")], "plan_id long, text string, file string")
+    got = rows(infer.infer_mutations(plans, functions), "plan_id", "name", "score", "reason")
+    assert got == [
+        (1, "CreateIssue", 0.6, "tokens"), (1, "NewCmdCreate", 0.8, "constructor"), (1, "createRun", 0.7, "run"),
+        (2, "Helper", 0.9, "mentioned"), (2, "ListIssues", 0.6, "tokens"), (2, "createRun", 0.7, "run"),
+        (3, "NewCmdCreate", 0.5, "constructor"), (3, "createRun", 0.7, "run"),
+    ]
