@@ -44,8 +44,8 @@ from .components import components
 WORDS = 4
 PERCENT = 85
 #: Counters of shingles, a power of two, and how many of them go in one row.
-BUCKETS = 1 << 23
-PART = 1 << 17
+BUCKETS = 1 << 21
+PART = 1 << 15
 #: Classes of a bucket that a task holds at a time, and members of a group in one row.
 SALT = 2000
 CHUNK_MEMBERS = 64
