@@ -59,9 +59,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     v, base = F.col("m.value"), F.col("kind") < 3
     fits = F.when(F.col("kind") == 0, F.length(v) >= 6).when(base, True).otherwise(v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]"))
     spans = placed.filter(fits).select("rid", "owner", "repo", "kind", "start", "end", F.sha2(v, 256).alias("digest"))
-    w = Window.partitionBy("rid").orderBy("start", "kind")
-    before = F.max(F.when(base, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(base, F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # What follows is asked of the opposite order, where it is a running minimum too.
+    earlier = Window.partitionBy("rid").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max(F.when(base, F.col("end"))).over(earlier)
+    after = F.min(F.when(base, F.col("start"))).over(later)
     touched = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
     apart = spans.withColumn("touched", ~base & touched).filter("NOT touched").drop("touched")
     return held.select("rid", "doc_id"), materialize(apart, "secret-spans")

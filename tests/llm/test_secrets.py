@@ -52,4 +52,5 @@ def test_nulls_repeats_and_empty_tables(spark):
 def test_tokens_that_touch_base_spans_are_left_out(spark):
     text = "key: token=Ab1" + "c" * 30 + " AKIA" + "B2" * 10 + "a Cd2" + "e" * 20 + "/" + "0f" * 14
     (row,) = verdicts(*scan(spark.createDataFrame([(1, text, "s", "en", "d", "k", "s")], SCHEMA))).collect()
-    assert [s.split(":")[0] for s in row["spans"].split(",")] == ["assign", "access", "hex"]
+    # The assigned value holds a run of hexadecimal digits too; tokens that touch either are none of their own.
+    assert [s.split(":")[0] for s in row["spans"].split(",")] == ["assign", "hex", "access", "hex"]
