@@ -288,3 +288,17 @@ def test_functions_a_task_is_likely_to_change(spark):
         (2, "Helper", 0.9, "mentioned"), (2, "ListIssues", 0.6, "tokens"), (2, "createRun", 0.7, "run"),
         (3, "NewCmdCreate", 0.5, "constructor"), (3, "createRun", 0.7, "run"),
     ]
+
+
+def test_a_name_in_many_files_is_scored_once_a_plan(spark, monkeypatch):
+    seen, write = {}, infer.written
+    monkeypatch.setattr(infer, "written", lambda df, label: seen.setdefault(label, write(df, label)))
+    shared = [f"x{k}Run" for k in range(12)]
+    # The last file has none of the first eight names of the plan, the one before it two.
+    held = [(f"{n}.go", name) for n in range(5) for name in shared] + [("y.go", "x0Run"), ("y.go", "x1Run"), ("y.go", "zRun"), ("z.go", "yRun"), ("z.go", "zRun")]
+    functions = spark.createDataFrame(held, "file string, name string")
+    files = sorted({f for f, _ in held})
+    plans = spark.createDataFrame([(1, "nothing", f) for f in files], "plan_id long, text string, file string")
+    got = rows(infer.infer_mutations(plans, functions).select("file", "name"))
+    assert got == sorted((f, n) for f in files for n in sorted(m for g, m in held if g == f)[:3])
+    assert seen["scored"].count() == 14
