@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleframe.functions.text import basename, dirname, entities, tokenize
+from rippleframe.sources.scratch import written
 
 # Folders that the search passes over, and names of files that are often shared.
 PASSED = (".git", ".defn", "vendor", "node_modules", "testdata")
@@ -36,18 +37,20 @@ def keyword_gaps(plans: DataFrame, planned: DataFrame, files: DataFrame, most: i
     up to ``most_entity`` directories. An index from words to directories answers; words of
     more directories than that are only looked up among what the plan covers, so a word that
     very many bear costs nothing.
+
+    A plan's words and the directories it covers come together in one row, so all that tells gaps
+    apart is read there; only the index, which is small beside the plans, is joined afterwards.
     """
-    dirs = directories(files)
-    words = plans.select("plan_id", "text", F.explode(tokenize(F.col("text"))).alias("token")).distinct()
-    words = words.select("plan_id", "token", F.array_contains(entities(F.col("text")), F.col("token")).alias("entity"))
-    covered_all = planned.select("plan_id", F.explode(ancestors(F.col("path"))).alias("dir")).distinct()
-    covered = covered_all.join(dirs, "dir").join(words.select("plan_id", F.col("token").alias("base")), ["plan_id", "base"]).select("plan_id", "dir", "parent", "depth")
-    peers = covered.groupBy("plan_id", "parent", "depth").agg(F.min("dir").alias("peer"))
-    anywhere = covered.groupBy("plan_id").agg(F.min("dir").alias("any_peer"))
+    dirs = written(directories(files), "directories")
     few = dirs.groupBy("base").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max(most, most_entity))
-    index = dirs.join(few, "base").withColumnRenamed("base", "token")
-    named = words.join(index, "token").join(covered_all, ["plan_id", "dir"], "left_anti")
-    both = named.join(peers, ["plan_id", "parent", "depth"], "left").join(anywhere, "plan_id", "left")
+    index = written(dirs.join(few, "base").withColumnRenamed("base", "token"), "named-directories")
+    known = planned.select("plan_id", F.explode(ancestors(F.col("path"))).alias("dir")).join(dirs, "dir").groupBy("plan_id").agg(F.collect_set(F.struct("dir", "base", "parent", "depth")).alias("known"))
+    told = plans.select("plan_id", tokenize(F.col("text")).alias("words"), entities(F.col("text")).alias("quoted")).join(known, "plan_id", "left")
+    each = told.select("plan_id", "words", "quoted", F.col("known.dir").alias("covered"), F.filter("known", lambda d: F.array_contains("words", d["base"])).alias("peers"))
+    each = each.select("plan_id", "quoted", "covered", "peers", F.explode("words").alias("token"))
+    named = each.select("plan_id", "token", "covered", "peers", F.array_contains("quoted", F.col("token")).alias("entity")).join(index, "token").filter(~F.coalesce(F.array_contains("covered", F.col("dir")), F.lit(False)))
+    beside = F.filter("peers", lambda d: (d["parent"] == F.col("parent")) & (d["depth"] == F.col("depth")))
+    both = named.select("plan_id", "token", "dir", "entity", "n", F.array_min(beside)["dir"].alias("peer"), F.array_min("peers")["dir"].alias("any_peer"))
     kept = both.filter((F.col("entity") & (F.col("n") <= most_entity)) | (~F.col("entity") & F.col("peer").isNotNull() & (F.col("n") <= most)))
     return kept.select("plan_id", "token", "dir", F.coalesce("peer", "any_peer", F.lit("(none)")).alias("covered_dir"), F.when(F.col("entity"), "entity-dir").otherwise("keyword-dir").alias("source"))
 
@@ -59,14 +62,13 @@ def keyword_files(gaps: DataFrame, plans: DataFrame, planned: DataFrame, files:
     name is a word of the text, .7 for names that are often shared, else .5; quoted names add .2.
     """
     source_files = files.filter(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).select("path").distinct()
-    up = dirname(F.col("path"))
-    near = source_files.select("path", F.explode(F.array_distinct(F.array(up, dirname(up)))).alias("dir")).filter("dir <> '.'")
-    subs = planned.select("plan_id", "path", F.explode(ancestors(F.col("path"))).alias("covered_dir"))
-    subs = subs.select("plan_id", "covered_dir", F.substr("path", F.length("covered_dir") + 2).alias("sub")).distinct().withColumn("mirrors", F.lit(True))
-    words = plans.select("plan_id", F.explode(tokenize(F.col("text"))).alias("stem")).distinct().withColumn("said", F.lit(True))
-    stem = F.lower(F.regexp_replace(basename(F.col("path")), r"\.go$", ""))
-    listed = gaps.join(near, "dir").withColumn("stem", stem).withColumn("sub", F.concat(basename(dirname(F.col("path"))), F.lit("/"), basename(F.col("path"))))
-    told = listed.join(subs, ["plan_id", "covered_dir", "sub"], "left").join(words, ["plan_id", "stem"], "left")
+    up, base = dirname(F.col("path")), basename(F.col("path"))
+    near = source_files.select("path", F.explode(F.array_distinct(F.array(up, dirname(up)))).alias("dir"), F.lower(F.regexp_replace(base, r"\.go$", "")).alias("stem"), F.concat(basename(up), F.lit("/"), base).alias("sub"))
+    near = written(near.filter("dir <> '.'"), "files-near")
+    # Gaps meet their plan's words and files in one row, and go on to the files of their directory without another exchange.
+    own = plans.select("plan_id", tokenize(F.col("text")).alias("words")).join(planned.groupBy("plan_id").agg(F.collect_set("path").alias("paths")), "plan_id", "left")
+    listed = gaps.join(own, "plan_id", "left").join(near, "dir")
+    told = listed.select("plan_id", "dir", "token", "source", "path", "stem", F.array_contains("paths", F.concat("covered_dir", F.lit("/"), "sub")).alias("mirrors"), F.array_contains("words", F.col("stem")).alias("said"))
     score = F.when(F.col("mirrors"), 0.9).when(F.col("said"), 0.8).when(F.col("stem").isin(*COMMON), 0.7).otherwise(0.5)
     w = Window.partitionBy("plan_id", "dir", "token").orderBy(F.desc("score"), "path")
     best = told.withColumn("score", score).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)

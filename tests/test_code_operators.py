@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,6 +198,16 @@ def test_keyword_directories(spark):
     assert rows(keywords.keyword_gaps(plans, planned, f, most=0)) == [(2, "label", "cmd/label", "cmd/pr", "entity-dir")]
 
 
+def test_keyword_files_meet_plans_by_id_alone(spark):
+    f = spark.createDataFrame([("a/xx/nn.go",), ("a/yy/nn.go",)], "path string")
+    plans, planned = spark.createDataFrame([(1, "xx yy nn")], "plan_id long, text string"), spark.createDataFrame([(1, "a/xx/nn.go")], "plan_id long, path string")
+    gaps = keywords.keyword_gaps(plans, planned, f)
+    found = keywords.keyword_files(gaps, plans, planned, f)
+    assert rows(found, "plan_id", "path", "score") == [(1, "a/yy/nn.go", 0.8)]
+    # Joins by plan and directory, path or word moved the listed files once for each.
+    assert not re.search(r"Join \[plan_id#\d+L?, ", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_gold_files_match_once_in_order(spark):
     plans = spark.createDataFrame([(1, "a/b/x.go"), (1, "b/x.go"), (1, "/c/y.go/"), (1, "d/z.go"), (1, "e/z.go"), (2, "q.go"), (4, "p.go")], "task_id long, path string")
     gold = spark.createDataFrame([(1, "b/x.go"), (1, "root/a/b/x.go"), (1, "y.go"), (1, "other/y.go"), (1, "z.go"), (1, "n/z.go"), (2, "w.go"), (3, "v.go")], "task_id long, path string")
