@@ -208,6 +208,18 @@ def test_keyword_files_meet_plans_by_id_alone(spark):
     assert not re.search(r"Join \[plan_id#\d+L?, ", found._jdf.queryExecution().executedPlan().toString())
 
 
+def test_classes_of_similar_history_hold_every_customer_and_pair(spark):
+    sf = "/root/testdata/sf0.001"
+    from rippleframe.plans.registry import QUERIES
+
+    got = rows(QUERIES["similar_history"](spark, sf), "kind", "id", "class_id")
+    plan, outcome = ({i: c for kind, i, c in got if kind == k} for k in ("plan", "outcome"))
+    assert set(plan) == {r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()}
+    met = {(a, b) for kind, a, b in got if kind == "alike"}
+    pairs = {(p, o) for p, a in plan.items() for o, b in outcome.items() if (a, b) in met}
+    assert pairs == set(rows(forecast.similar(views.view(spark, sf, "customer_plans"), views.view(spark, sf, "outcomes")), "plan_id", "id"))
+
+
 def test_gold_files_match_once_in_order(spark):
     plans = spark.createDataFrame([(1, "a/b/x.go"), (1, "b/x.go"), (1, "/c/y.go/"), (1, "d/z.go"), (1, "e/z.go"), (2, "q.go"), (4, "p.go")], "task_id long, path string")
     gold = spark.createDataFrame([(1, "b/x.go"), (1, "root/a/b/x.go"), (1, "y.go"), (1, "other/y.go"), (1, "z.go"), (1, "n/z.go"), (2, "w.go"), (3, "v.go")], "task_id long, path string")
