@@ -95,11 +95,14 @@ def paired_difference(base: DataFrame, model: DataFrame, resamples: int = 1000)
 
 def grid_search(scored: DataFrame, actual: DataFrame, grid: list[float], at: float = 0.5) -> DataFrame:
     """scored(task_id, file, a, b): for each weight w the mean recall of files with w * a + (1 - w) * b of ``at`` or more, and which is best."""
-    # The grid is a handful of weights, exploded beside each row.
-    tried = scored.withColumn("w", F.explode(F.array(*map(F.lit, grid)))).filter(F.col("w") * F.col("a") + (1 - F.col("w")) * F.col("b") >= at)
-    hits = tried.join(actual, ["task_id", "file"], "left_semi").groupBy("w", "task_id").agg(F.countDistinct("file").alias("hits"))
-    truth = actual.groupBy("task_id").agg(F.countDistinct("file").alias("n")).withColumn("w", F.explode(F.array(*map(F.lit, grid))))
-    by = truth.join(hits, ["w", "task_id"], "left").groupBy("w").agg(rounded(F.avg(F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0))), 4).alias("recall"))
+    # The grid is a handful of weights: one count each in the row of a task, so no row is repeated for them.
+    held = scored.join(actual.select("task_id", "file").distinct(), ["task_id", "file"], "left_semi")
+    best = held.groupBy("task_id", "file").agg(*[F.max(w * F.col("a") + (1 - w) * F.col("b") >= at).alias(f"h{i}") for i, w in enumerate(grid)])
+    hits = best.groupBy("task_id").agg(*[F.count_if(f"h{i}").alias(f"h{i}") for i in range(len(grid))])
+    truth = actual.groupBy("task_id").agg(F.countDistinct("file").alias("n")).join(hits, "task_id", "left")
+    share = lambda i: F.avg(F.coalesce(F.col(f"h{i}") / F.col("n"), F.lit(0.0)))
+    means = truth.agg(F.count(F.lit(1)).alias("n"), *[rounded(share(i), 4).alias(f"h{i}") for i in range(len(grid))]).filter("n > 0")
+    by = means.select(F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"h{i}").alias("recall")) for i, w in enumerate(grid)])).alias("g")).select("g.w", "g.recall")
     first = F.row_number().over(Window.orderBy(F.desc("recall"), "w")) == 1
     return by.withColumn("best", first)
 

@@ -80,7 +80,9 @@ def paired_difference(spark, sf):
 
 @query("AND_VIEWS s AS (SELECT plan_id AS task_id, file, coalesce(max(score) FILTER (source = 'structural'), 0) AS a, coalesce(max(score) FILTER (source = 'comod'), 0) AS b FROM {signals} GROUP BY 1, 2), g AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS w), n AS (SELECT w, a.task_id, count(s.file) / count(*) AS recall FROM g CROSS JOIN {actual} a LEFT JOIN s ON s.task_id = a.task_id AND s.file = a.file AND w * s.a + (1 - w) * s.b >= 0.5 GROUP BY 1, 2), r AS (SELECT w, round(avg(recall) * 10000) / 10000 AS recall FROM n GROUP BY 1) SELECT *, row_number() OVER (ORDER BY recall DESC, w) = 1 AS best FROM r")
 def grid_search(spark, sf):
-    wide = view(spark, sf, "signals").groupBy(F.col("plan_id").alias("task_id"), "file").pivot("source", ["structural", "comod"]).agg(F.max("score")).na.fill(0.0)
+    # Files of other sources alone score 0, below the mark at any weight.
+    best = lambda s: F.coalesce(F.max(F.when(F.col("source") == s, F.col("score"))), F.lit(0.0))
+    wide = view(spark, sf, "signals").filter("source IN ('structural', 'comod')").groupBy(F.col("plan_id").alias("task_id"), "file").agg(best("structural").alias("structural"), best("comod").alias("comod"))
     return evaluate.grid_search(wide.select("task_id", "file", F.col("structural").alias("a"), F.col("comod").alias("b")), view(spark, sf, "actual"), _GRID)
 
 

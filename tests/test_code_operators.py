@@ -220,6 +220,15 @@ def test_classes_of_similar_history_hold_every_customer_and_pair(spark):
     assert pairs == set(rows(forecast.similar(views.view(spark, sf, "customer_plans"), views.view(spark, sf, "outcomes")), "plan_id", "id"))
 
 
+def test_grid_search_does_not_repeat_rows_for_a_weight(spark):
+    scored = spark.createDataFrame([(1, "a", 0.6, 0.1), (1, "b", 0.1, 0.9), (2, "a", 1.0, 1.0), (1, "a", 0.2, 0.2)], "task_id long, file string, a double, b double")
+    actual = spark.createDataFrame([(1, "a"), (1, "b"), (3, "x")], "task_id long, file string")
+    found = evaluate.grid_search(scored, actual, [0.1, 0.9])
+    assert rows(found, "w", "recall", "best") == [(0.1, 0.25, True), (0.9, 0.25, False)]
+    # One generator, over the row of means.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
 def test_gold_files_match_once_in_order(spark):
     plans = spark.createDataFrame([(1, "a/b/x.go"), (1, "b/x.go"), (1, "/c/y.go/"), (1, "d/z.go"), (1, "e/z.go"), (2, "q.go"), (4, "p.go")], "task_id long, path string")
     gold = spark.createDataFrame([(1, "b/x.go"), (1, "root/a/b/x.go"), (1, "y.go"), (1, "other/y.go"), (1, "z.go"), (1, "n/z.go"), (2, "w.go"), (3, "v.go")], "task_id long, path string")
