@@ -113,3 +113,14 @@ def test_files_break_by_themselves(spark):
     assert [(r["id"], r["params_before"], r["params_after"]) for r in parse.signature_breaks(before, after).collect()] == [("b.go", 2, 3)]
     sites = {(r["callee"], r["args"]) for r in parse.call_sites(spark.createDataFrame([("c.go", "func F() { p.Run(1, g(2)) }")], "id string, text string")).collect()}
     assert sites == {("Run", 2), ("g", 1)}
+
+
+def test_names_are_functions_and_calls_of_one_reading(spark):
+    text = "package m\n\nfunc A(f func(int) int) {\n\tx.B(1)\n\t// C(1)\n\tb()\n}\nfunc b() {}\n"
+    texts = spark.createDataFrame([(f"f{i}", text) for i in range(40)] + [("none", None)], "id string, text string").coalesce(1)
+    found = golang.names(texts)
+    assert sorted(found.filter("id = 'f7'").select("kind", "name").collect()) == [("call", "B"), ("call", "b"), ("function", "A"), ("function", "b")]
+    both = golang.calls(texts).selectExpr("id", "'call' AS kind", "callee").union(golang.functions(texts).selectExpr("id", "'function'", "name"))
+    assert sorted(found.collect()) == sorted(both.collect())
+    # However few tasks hold the texts, reading them is dealt out.
+    assert found.rdd.getNumPartitions() >= 4
