@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rippleframe.operators.graph import blast_bucket, density_bucket
 from rippleframe.operators.rank import rounded
+from rippleframe.sources.scratch import discard, written
 
 
 #: Cells of the grid: complexity and blast radius by logarithm, so that a ratio spans few of them, density by its reach.
@@ -57,6 +59,17 @@ def _meetings(plans: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFra
     return placed.withColumn("x_cell", _density_cell(F.col("density"))).join(by_density, cells), placed.withColumn("x_cell", _blast_cell(F.col("blast"))).join(by_blast, cells)
 
 
+def _likeness(of: Callable[[str], Column]) -> tuple[Column, Column, Column]:
+    """Whether an outcome's columns, by ``of``, are like a plan's (p_..) in complexity and depth, in density, and in blast radius."""
+    gap = F.abs(of("complexity") - F.col("p_complexity"))
+    like = (gap <= 3) | ((F.col("p_complexity") > 0) & (gap / F.nullif("p_complexity", F.lit(0)) < 0.5))
+    dense = F.abs(of("density") - F.col("p_density")) < DENSITY_REACH
+    ratio = of("blast") / F.nullif("p_blast", F.lit(0))
+    blast = ((F.col("p_blast") <= 5) & (of("blast") <= 10)) | F.coalesce((F.col("p_blast") > 0) & (ratio > 0.3) & (ratio < 3.0), F.lit(False))
+    deep = F.coalesce(~((F.col("p_depth") > 0) & (of("depth") > 0)) | (F.abs(of("depth") - F.col("p_depth")) <= 1), F.lit(True))
+    return like & deep, dense, blast
+
+
 def similar(plans: DataFrame, outcomes: DataFrame) -> DataFrame:
     """plans(plan_id, complexity, density, blast, depth) with each outcome that resembles it.
 
@@ -68,14 +81,9 @@ def similar(plans: DataFrame, outcomes: DataFrame) -> DataFrame:
     joins are on equal cells, and the second leaves out what the first has, so a pair comes once
     and outcomes out of range are not compared. Null densities and blast radii are like none.
     """
-    gap = F.abs(F.col("complexity") - F.col("p_complexity"))
-    like = (gap <= 3) | ((F.col("p_complexity") > 0) & (gap / F.nullif("p_complexity", F.lit(0)) < 0.5))
-    dense = F.abs(F.col("density") - F.col("p_density")) < DENSITY_REACH
-    ratio = F.col("blast") / F.nullif("p_blast", F.lit(0))
-    blast = ((F.col("p_blast") <= 5) & (F.col("blast") <= 10)) | F.coalesce((F.col("p_blast") > 0) & (ratio > 0.3) & (ratio < 3.0), F.lit(False))
-    deep = F.coalesce(~((F.col("p_depth") > 0) & (F.col("depth") > 0)) | (F.abs(F.col("depth") - F.col("p_depth")) <= 1), F.lit(True))
+    like, dense, blast = _likeness(F.col)
     by_density, by_blast = _meetings(plans, outcomes)
-    both = by_density.filter(like & deep & dense).unionByName(by_blast.filter(like & deep & blast & ~F.coalesce(dense, F.lit(False))))
+    both = by_density.filter(like & dense).unionByName(by_blast.filter(like & blast & ~F.coalesce(dense, F.lit(False))))
     return both.drop("c_cell", "k_cell", "x_cell").withColumnRenamed("p_plan_id", "plan_id")
 
 
@@ -195,23 +203,64 @@ def forecast_exact(plans: DataFrame, outcomes: DataFrame) -> DataFrame:
     return _report(mine.unionByName(rest))
 
 
+#: Outcomes in a run of neighbours by id, in which a draw is looked up.
+RUN = 256
+
+
+def _runs(outcomes: DataFrame) -> DataFrame:
+    """run, rows: outcomes in the order of their ids, ``RUN`` to an array (fewer at the end of a range)."""
+    kept = _labelled(outcomes).select("id", *_FEATURES, "recall", "outcome")
+    # Ids of rows go up through the ranges, so runs do too.
+    placed = kept.repartitionByRange("id").sortWithinPartitions("id").withColumn("at", F.monotonically_increasing_id())
+    row = F.struct("at", *_FEATURES, "recall", "outcome")
+    return placed.groupBy(F.floor(F.col("at") / RUN).alias("run")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+
+def _in_runs(counts: DataFrame, picks: DataFrame) -> DataFrame:
+    """picks(plan_id, i, ..) with the run that holds a plan's i-th outcome, and its place among the run's similar ones.
+
+    Runs and picks are sorted together, so each pick follows the run that it lies in.
+    """
+    before = F.sum("n").over(Window.partitionBy("plan_id").orderBy("run")) - F.col("n")
+    starts = counts.select("plan_id", before.alias("at"), F.lit(0).alias("pick"), F.struct("run", before.alias("start")).alias("in"))
+    both = starts.unionByName(picks.withColumns({"at": F.col("i"), "pick": F.lit(1)}), allowMissingColumns=True)
+    upto = Window.partitionBy("plan_id").orderBy("at", "pick").rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("in", F.last("in", ignorenulls=True).over(upto)).filter("pick = 1")
+    return held.select(*picks.columns, "in.run", (F.col("i") - F.col("in.start")).alias("place"))
+
+
 def forecast_draws(plans: DataFrame, outcomes: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """The same from ``draws`` draws of recalls and as many of labels a plan; each is a digest of plan, draw and seed, so reruns agree.
 
     Outcomes of a plan are numbered by id. Plans with fewer than three similar outcomes get no row.
+
+    A plan's similar outcomes are counted by run of ids, and only runs that a draw falls in are
+    opened, so they are neither moved nor sorted for each plan.
     """
-    costs = _costs(plans)
-    w = Window.partitionBy("plan_id")
-    pool = similar(plans, _labelled(outcomes)).select("plan_id", "recall", "outcome", (F.row_number().over(w.orderBy("id")) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(w).alias("m"))
-    pool = pool.filter(F.col("m") >= LEAST_SIMILAR)
-    sizes = pool.groupBy("plan_id").agg(F.max("m").alias("n"))
+    own = written(plans.select("plan_id", *_FEATURES), "draw-plans")
+    runs = written(_runs(outcomes), "draw-runs")
+    counts = written(similar(own, runs.select("run", F.inline("rows"))).groupBy("plan_id", "run").agg(F.count(F.lit(1)).alias("n")), "draw-counts")
+    sizes = written(counts.groupBy("plan_id").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_SIMILAR), "draw-sizes")
     each = sizes.select("plan_id", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("d"), "n", F.explode(F.array(F.lit("recall"), F.lit("label"))).alias("of"))
     digest = F.md5(F.concat_ws(":", "of", "plan_id", "d", F.lit(seed)))
     picks = each.select("plan_id", "of", F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.col("n")).alias("i"))
     # Draws of the same outcome are one row with a weight.
-    drawn = picks.groupBy("plan_id", "of", "i").agg(F.count(F.lit(1)).alias("weight")).join(pool.drop("m"), ["plan_id", "i"]).join(costs, "plan_id")
-    drawn = _drawn(drawn, "cost")
-    return _report(sizes.join(_chances(drawn.filter("of = 'label'"), "plan_id"), "plan_id").join(_recalls(drawn.filter("of = 'recall'"), "plan_id"), "plan_id"))
+    times = lambda kind: F.count_if(F.col("of") == kind).alias(kind)
+    placed = _in_runs(counts, picks.groupBy("plan_id", "i").agg(times("recall"), times("label")))
+    wanted = placed.groupBy("plan_id", "run").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct("recall", "label")))).alias("wanted"))
+    features = own.select("plan_id", *[F.col(c).alias(f"p_{c}") for c in _FEATURES])
+
+    def alike(o: Column) -> Column:
+        like, dense, blast = _likeness(lambda c: o[c])
+        return like & (F.coalesce(dense, F.lit(False)) | blast)
+
+    met = F.transform(F.filter("rows", alike), lambda o, i: F.struct(o["recall"].alias("recall"), o["outcome"].alias("outcome"), F.element_at("wanted", i.cast("long")).alias("w")))
+    opened = wanted.join(features, "plan_id").join(runs, "run").select("plan_id", F.inline(F.filter(met, lambda x: x["w"].isNotNull())))
+    drawn = opened.groupBy("plan_id", "recall", "outcome").agg(F.sum("w.recall").alias("of_recall"), F.sum("w.label").alias("of_label"))
+    drawn = written(_drawn(drawn.join(_costs(plans), "plan_id"), "cost"), "draw-drawn")
+    discard(runs, counts, own)
+    of = lambda kind: drawn.withColumn("weight", F.col(f"of_{kind}")).filter("weight > 0")
+    return _report(sizes.join(_chances(of("label"), "plan_id"), "plan_id").join(_recalls(of("recall"), "plan_id"), "plan_id"))
 
 
 def replicated(own: DataFrame, traces: DataFrame, seeds: DataFrame) -> DataFrame:
