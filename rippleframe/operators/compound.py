@@ -16,26 +16,36 @@ def _ends(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return refs.join(a, "from_def").join(b, "to_def").filter("from_file <> to_file")
 
 
-def graph_signals(plans: DataFrame, refs: DataFrame, defs: DataFrame, split: bool = True) -> DataFrame:
-    """plan_id, file, source, score of callers (.4 + .1 each, .8 at most) and, with ``split``, of callees with three references (.3).
+def file_links(refs: DataFrame, defs: DataFrame, confidences: DataFrame, least: float = 0.3) -> DataFrame:
+    """own, file, callers (references from file), callees (references to it), confidence (from ``least`` on): what ties other files to a file.
 
-    Files are counted before plans are joined, so a hub file is one row here, not one a reference.
+    One row a pair of files, whatever the number of plans.
     """
     between = _ends(refs, defs).filter("NOT from_test").groupBy("from_file", "to_file").agg(F.count(F.lit(1)).alias("n"))
-    own = plans.select("plan_id", F.col("file").alias("own"))
-    callers = own.join(between, F.col("own") == F.col("to_file")).groupBy("plan_id", F.col("from_file").alias("file")).agg(F.sum("n").alias("n"))
-    out = callers.select("plan_id", "file", F.lit("graph-caller" if split else "graph").alias("source"), suggest_confidence(F.col("n")).alias("score"))
-    if split:
-        callees = own.join(between, F.col("own") == F.col("from_file")).groupBy("plan_id", F.col("to_file").alias("file")).agg(F.sum("n").alias("n"))
-        out = out.unionByName(callees.filter("n >= 3").select("plan_id", "file", F.lit("graph-callee").alias("source"), F.lit(0.3).alias("score")))
-    return out
+    sides = F.inline(F.array(
+        F.struct(F.col("to_file").alias("own"), F.col("from_file").alias("file"), F.col("n").alias("callers"), F.lit(None).cast("long").alias("callees")),
+        F.struct(F.col("from_file").alias("own"), F.col("to_file").alias("file"), F.lit(None).cast("long").alias("callers"), F.col("n").alias("callees")),
+    ))
+    near = confidences.filter(F.col("confidence") >= least).select(F.col("file_a").alias("own"), F.col("file_b").alias("file"), "confidence")
+    return between.select(sides).unionByName(near, allowMissingColumns=True).groupBy("own", "file").agg(F.sum("callers").alias("callers"), F.sum("callees").alias("callees"), F.max("confidence").alias("confidence"))
+
 
+def suggest_linked(plans: DataFrame, links: DataFrame, split: bool = True, most: float = 0.8, k: int = 10) -> DataFrame:
+    """Files of two sources that the plan lacks, by ``file_links``: plan_id, file, best, reason, n_sources, label.
 
-def comod_signals(plans: DataFrame, confidences: DataFrame, least: float = 0.3, most: float = 0.8) -> DataFrame:
-    """plan_id, file, source, score: the highest confidence of a partner of the plan's files."""
-    pairs = plans.select("plan_id", F.col("file").alias("file_a")).join(confidences.filter(F.col("confidence") >= least), "file_a")
-    best = pairs.groupBy("plan_id", F.col("file_b").alias("file")).agg(F.max("confidence").alias("c"))
-    return best.select("plan_id", "file", F.lit("comod").alias("source"), F.least("c", F.lit(most)).alias("score"))
+    Callers score .4 + .1 each (.8 at most), with ``split`` callees with three references .3, co-change
+    the highest confidence (``most`` at most). A plan is one row with its files, so what is linked to
+    them is counted where the plan lies and only plans are shuffled.
+    """
+    own = plans.groupBy("plan_id").agg(F.collect_set("file").alias("files"))
+    met = own.select("plan_id", "files", F.explode("files").alias("own")).join(links, "own").filter(~F.array_contains("files", F.col("file")))
+    sums = met.groupBy("plan_id", "file").agg(F.sum("callers").alias("callers"), F.sum("callees").alias("callees"), F.max("confidence").alias("c"))
+    source = lambda when, score, name: F.when(when, F.struct(score.cast("double").alias("score"), F.lit(name).alias("source")))
+    told = [source(F.col("callers").isNotNull(), suggest_confidence(F.col("callers")), "graph-caller" if split else "graph"), source(F.col("c").isNotNull(), F.least("c", F.lit(most)), "comod")]
+    if split:
+        told.append(source(F.col("callees") >= 3, F.lit(0.3), "graph-callee"))
+    found = sums.select("plan_id", "file", F.array_compact(F.array(*told)).alias("told"))
+    return rank.best_of_plans(found.select("plan_id", "file", F.array_max("told").alias("b"), F.size("told").cast("long").alias("n_sources")).filter("n_sources >= 2"), k)
 
 
 def build_signals(errors: DataFrame) -> DataFrame:

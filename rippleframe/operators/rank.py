@@ -98,6 +98,11 @@ def source_count_gate(signals: DataFrame, least: int = 2, k: int = 10) -> DataFr
     found = signals.groupBy("plan_id", "file").agg(
         F.countDistinct("source").alias("n_sources"), F.max(F.struct("score", "source")).alias("b"), F.bool_or(F.col("source") == "build-check").alias("built")
     ).filter((F.col("n_sources") >= least) | F.col("built"))
+    return best_of_plans(found, k)
+
+
+def best_of_plans(found: DataFrame, k: int) -> DataFrame:
+    """Of found(plan_id, file, b (score, source), n_sources) the ``k`` best of a plan, labelled."""
     w = Window.partitionBy("plan_id").orderBy(F.desc("b.score"), "file")
     label = F.when(F.col("b.score") >= 0.9, "must").when(F.col("b.score") >= 0.5, "likely").when(F.col("b.score") >= 0.3, "consider").otherwise("unlikely")
     return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("plan_id", "file", F.col("b.score").alias("best"), F.col("b.source").alias("reason"), "n_sources", label.alias("label"))

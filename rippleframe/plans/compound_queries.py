@@ -8,6 +8,7 @@ from rippleframe.operators import comod, compound, forecast
 from rippleframe.plans.base import query
 from rippleframe.plans.history_queries import _EXACT
 from rippleframe.plans.rank_queries import _ADDED
+from rippleframe.sources.scratch import written
 from rippleframe.sources.views import view
 
 _BETWEEN = "b AS (SELECT s.source_file AS from_file, t.source_file AS to_file, count(*) AS n FROM {refs} JOIN {defs} s ON s.id = from_def JOIN {defs} t ON t.id = to_def WHERE NOT s.is_test AND s.source_file <> t.source_file GROUP BY 1, 2), n AS (SELECT file, count(*) AS alone FROM {commits} GROUP BY file), f AS (SELECT a.file AS file_a, b.file AS file_b, count(*) / any_value(n.alone) AS confidence FROM {commits} a JOIN {commits} b ON a.commit_id = b.commit_id AND a.file <> b.file JOIN n ON n.file = a.file GROUP BY 1, 2 HAVING confidence >= 0.16) "
@@ -20,20 +21,20 @@ def _caller(name):
     return _CALLER.format(name).replace("[", "{").replace("]", "}")
 
 
-def _signals(spark, sf, split):
-    plans, commits = view(spark, sf, "planned"), view(spark, sf, "commits")
-    graph = compound.graph_signals(plans, view(spark, sf, "refs"), view(spark, sf, "defs"), split)
-    return plans, graph.unionByName(compound.comod_signals(plans, comod.confidence(commits, plans.select("file").distinct()), 0.16))
+def _suggested(spark, sf, split):
+    links = compound.file_links(view(spark, sf, "refs"), view(spark, sf, "defs"), comod.confidence(view(spark, sf, "commits")), 0.16)
+    # Written, so that their size is known before they are joined.
+    return compound.suggest_linked(view(spark, sf, "planned"), written(links, "file-links"), split)
 
 
 @query("AND_VIEWS " + _BETWEEN + ", s AS (" + _caller("graph-caller") + " UNION ALL SELECT p.plan_id, to_file, 'graph-callee', 0.3 FROM {planned} p JOIN b ON from_file = p.file GROUP BY 1, 2 HAVING sum(n) >= 3" + _COMOD + _TAIL)
 def suggest_files(spark, sf):
-    return compound.suggest(*_signals(spark, sf, True))
+    return _suggested(spark, sf, True)
 
 
 @query("AND_VIEWS " + _BETWEEN + ", s AS (" + _caller("graph") + _COMOD + _TAIL)
 def review_files(spark, sf):
-    return compound.suggest(*_signals(spark, sf, False))
+    return _suggested(spark, sf, False)
 
 
 @query("AND_VIEWS a AS (SELECT DISTINCT task_id AS plan_id, file FROM {actual}), j AS (SELECT coalesce(p.plan_id, a.plan_id) AS plan_id, p.file IS NOT NULL AS p, a.file IS NOT NULL AS a FROM {planned} p FULL JOIN a ON a.plan_id = p.plan_id AND a.file = p.file), c AS (SELECT plan_id, count(*) FILTER (p) AS planned, count(*) FILTER (a) AS changed, count(*) FILTER (p AND NOT a) AS untouched, count(*) FILTER (NOT p) AS unplanned FROM j GROUP BY 1), m AS (SELECT *, round(coalesce((planned - untouched) / nullif(planned, 0), 0) * 1000) / 1000 AS precision, round(coalesce((planned - untouched) / nullif(changed, 0), 0) * 1000) / 1000 AS recall FROM c) SELECT *, CASE WHEN recall >= 0.8 THEN 'clean' WHEN recall >= 0.4 THEN 'rework' ELSE 'failed' END AS verdict FROM m")

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+from collections import Counter, defaultdict
 
-from rippleframe.operators import forecast
+from rippleframe.operators import comod, compound, forecast
+from rippleframe.sources.scratch import written
 
 
 def shuffled(spark, run):
@@ -37,3 +39,43 @@ def test_draws_find_outcomes_without_moving_them_for_each_plan(spark, monkeypatc
         assert [got[plan][c] for c in ("p50", "p85", "p95")] == [drawn[math.floor(p * (draws - 1))] for p in (0.5, 0.85, 0.95)]
     # Numbered plan by plan, the similar outcomes alone were ``plans`` times 2,666 rows.
     assert rows < 85_000
+
+
+def _project(spark, n_plans, n_files=20, each=6):
+    """plans, refs, defs and commits; every file is tied to every other."""
+    files = [f"f{k:02}.go" for k in range(n_files)]
+    plans = spark.createDataFrame([(p, files[(p + 3 * k) % n_files]) for p in range(n_plans) for k in range(each)], "plan_id long, file string")
+    defs = spark.createDataFrame([(k, files[k], k % 5 == 0, k % 2 == 0) for k in range(n_files)], "id long, source_file string, is_test boolean, exported boolean")
+    refs = spark.createDataFrame([(a, b) for a in range(n_files) for b in range(n_files) if (a * b + a) % 3], "from_def long, to_def long")
+    commits = spark.createDataFrame([(c, files[k]) for c in range(12) for k in range(n_files) if (c + k) % 3], "commit_id long, file string")
+    return plans, refs, defs, commits
+
+
+def test_suggestions_are_counted_where_plans_lie(spark):
+    plans, refs, defs, commits = _project(spark, 300)
+
+    def run():
+        links = compound.file_links(refs, defs, comod.confidence(commits), 0.4)
+        return compound.suggest_linked(plans, written(links, "file-links")).collect()
+
+    got, rows = shuffled(spark, run)
+    names = {d["id"]: (d["source_file"], d["is_test"]) for d in defs.collect()}
+    ties = [(names[r["from_def"]], names[r["to_def"]][0]) for r in refs.collect()]
+    calls = Counter((a, b) for (a, test), b in ties if not test and a != b)
+    sets = defaultdict(set)
+    for r in commits.collect():
+        sets[r["file"]].add(r["commit_id"])
+    own = defaultdict(set)
+    for r in plans.collect():
+        own[r["plan_id"]].add(r["file"])
+    for plan, mine in own.items():
+        want = []
+        for file in set(sets) - mine:
+            callers, callees = sum(calls[file, m] for m in mine), sum(calls[m, file] for m in mine)
+            near = max(len(sets[m] & sets[file]) / len(sets[m]) for m in mine)
+            told = [(min((4 + callers) / 10, 0.8), "graph-caller")] * (callers > 0) + [(0.3, "graph-callee")] * (callees >= 3) + [(min(near, 0.8), "comod")] * (near >= 0.4)
+            if len(told) >= 2:
+                want.append((-max(told)[0], file, max(told)[1], len(told)))
+        assert [(-r["best"], r["file"], r["reason"], r["n_sources"]) for r in sorted((r for r in got if r["plan_id"] == plan), key=lambda r: (-r["best"], r["file"]))] == sorted(want)[:10]
+    # Signals of each source were shuffled plan by plan, over 300 * 14 rows each.
+    assert rows < 6000
