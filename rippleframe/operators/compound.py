@@ -30,14 +30,15 @@ def file_links(refs: DataFrame, defs: DataFrame, confidences: DataFrame, least:
     return between.select(sides).unionByName(near, allowMissingColumns=True).groupBy("own", "file").agg(F.sum("callers").alias("callers"), F.sum("callees").alias("callees"), F.max("confidence").alias("confidence"))
 
 
-def suggest_linked(plans: DataFrame, links: DataFrame, split: bool = True, most: float = 0.8, k: int = 10) -> DataFrame:
+def suggest_linked(plans: DataFrame, links: DataFrame, split: bool = True, most: float = 0.8, k: int = 10, tasks: int | None = None) -> DataFrame:
     """Files of two sources that the plan lacks, by ``file_links``: plan_id, file, best, reason, n_sources, label.
 
     Callers score .4 + .1 each (.8 at most), with ``split`` callees with three references .3, co-change
     the highest confidence (``most`` at most). A plan is one row with its files, so what is linked to
-    them is counted where the plan lies and only plans are shuffled.
+    them is counted where the plan lies and only plans are shuffled; ``tasks`` bounds those of a task.
     """
-    own = plans.groupBy("plan_id").agg(F.collect_set("file").alias("files"))
+    dealt = plans.repartition(tasks, "plan_id") if tasks else plans
+    own = dealt.groupBy("plan_id").agg(F.collect_set("file").alias("files"))
     met = own.select("plan_id", "files", F.explode("files").alias("own")).join(links, "own").filter(~F.array_contains("files", F.col("file")))
     sums = met.groupBy("plan_id", "file").agg(F.sum("callers").alias("callers"), F.sum("callees").alias("callees"), F.max("confidence").alias("c"))
     source = lambda when, score, name: F.when(when, F.struct(score.cast("double").alias("score"), F.lit(name).alias("source")))

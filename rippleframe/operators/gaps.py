@@ -2,32 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleframe.functions.text import basename, confidence_level, is_cross_stack, is_test_file
+from rippleframe.sources.scratch import written
 
 # Ranks of an agent's tools, and the scores that go with them.
 TOOL_RANK = {"code": 3, "constructors": 3, "read": 2, "find": 1}
 RANK_SCORE = {3: 0.50, 2: 0.45, 1: 0.30}
 
 
-def blast_gaps(refs: DataFrame, defs: DataFrame, planned: DataFrame, least: float = 0.1) -> DataFrame:
-    """plan_id, plan_file, file, callers, frequency, confidence: for each plan the files outside it that hold enough callers of its exported definitions.
-
-    A file's share of a definition's callers is counted once for all plans; of a plan and file the highest counts.
-    """
+def blast_links(refs: DataFrame, defs: DataFrame, least: float = 0.1) -> DataFrame:
+    """plan_file, file, b (frequency, callers): the highest share of callers of an exported definition of one file that another holds."""
     to = defs.filter("exported AND NOT is_test").select(F.col("id").alias("to_def"), F.col("source_file").alias("plan_file"))
     edges = refs.join(to, "to_def").join(defs.select(F.col("id").alias("from_def"), F.col("source_file").alias("file"), F.col("is_test").alias("from_test")), "from_def")
     # Callers are counted by definition and file first, so a definition that very many call is folded before the shuffle.
     each = edges.groupBy("to_def", "plan_file", "file").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("from_test")).alias("callers"))
     total = each.groupBy("to_def").agg(F.sum("n").alias("total"))
     share = each.filter("callers > 0").join(total, "to_def").withColumn("frequency", F.col("callers") / F.col("total")).filter(F.col("frequency") >= least)
-    best = share.groupBy("plan_file", "file").agg(F.max(F.struct("frequency", "callers")).alias("b"))
-    found = planned.select("plan_id", F.col("file").alias("plan_file")).distinct().join(best, "plan_file").join(planned.select("plan_id", "file").distinct(), ["plan_id", "file"], "left_anti")
+    return share.groupBy("plan_file", "file").agg(F.max(F.struct("frequency", "callers")).alias("b"))
+
+
+def _level(frequency: Column, callers: Column) -> Column:
+    return F.when((frequency > 0.5) | (callers >= 5), "high").otherwise("moderate")
+
+
+def _met(plans: DataFrame, links: DataFrame) -> DataFrame:
+    """plans(plan_id, files ..) with links(plan_file, file ..) of their files to files that they lack.
+
+    A plan is one row, so it is not moved for what it meets if ``links`` are few.
+    """
+    return plans.withColumn("plan_file", F.explode("files")).join(links, "plan_file").filter(~F.array_contains("files", F.col("file"))).drop("files")
+
+
+def _by_plan(planned: DataFrame, tasks: int | None = None) -> DataFrame:
+    dealt = planned.repartition(tasks, "plan_id") if tasks else planned
+    return dealt.groupBy("plan_id").agg(F.collect_set("file").alias("files"))
+
+
+def blast_gaps(refs: DataFrame, defs: DataFrame, planned: DataFrame, least: float = 0.1) -> DataFrame:
+    """plan_id, plan_file, file, callers, frequency, confidence: for each plan the files outside it that hold enough callers of its exported definitions.
+
+    A file's share of a definition's callers is counted once for all plans; of a plan and file the highest counts.
+    """
+    found = _met(_by_plan(planned), written(blast_links(refs, defs, least), "blast-links"))
     top = found.groupBy("plan_id", "file").agg(F.max(F.struct("b.frequency", "b.callers", "plan_file")).alias("b"))
-    level = F.when((F.col("frequency") > 0.5) | (F.col("callers") >= 5), "high").otherwise("moderate")
-    return top.select("plan_id", "b.plan_file", "file", "b.callers", "b.frequency").withColumn("confidence", level)
+    return top.select("plan_id", "b.plan_file", "file", "b.callers", "b.frequency").withColumn("confidence", _level(F.col("frequency"), F.col("callers")))
+
+
+def _comod_links(confidences: DataFrame, threshold: float) -> DataFrame:
+    """plan_file, file, often, cross_stack: partners at the threshold or more that are no tests."""
+    pairs = confidences.filter(F.col("confidence") >= threshold).select(F.col("file_a").alias("plan_file"), F.col("file_b").alias("file"), F.col("confidence").alias("often"))
+    return pairs.filter(~is_test_file(F.col("file"))).withColumn("cross_stack", is_cross_stack(F.col("plan_file"), F.col("file")))
+
+
+def _acknowledging(planned: DataFrame, acks: DataFrame, tasks: int | None = None) -> DataFrame:
+    """plan_id, files, said: each plan's files and its reasons by path."""
+    own = acks.filter("reason <> '' AND file IS NOT NULL").groupBy("plan_id", "file").agg(F.min("reason").alias("reason"))
+    said = own.groupBy("plan_id").agg(F.map_from_entries(F.collect_list(F.struct("file", "reason"))).alias("said"))
+    return _by_plan(planned, tasks).join(said, "plan_id", "left")
+
+
+def _told(met: DataFrame) -> DataFrame:
+    """Partners with the reason by path, else by base name."""
+    reason = F.coalesce(F.element_at("said", F.col("file")), F.element_at("said", basename(F.col("file"))))
+    return met.withColumn("reason", F.when(F.col("often").isNotNull(), reason)).drop("said")
+
+
+def _merged(rows: DataFrame, least_hub: int, hub_share: float) -> DataFrame:
+    """rows(plan_id, plan_file, file, often, cross_stack, reason, b): co-change where often is given, the graph where b (frequency, callers, plan_file, confidence) is."""
+    each, plan, near = Window.partitionBy("plan_id", "file"), Window.partitionBy("plan_id"), F.col("often").isNotNull()
+    counted = rows.withColumn("n", F.count("often").over(each)).withColumn("top", F.max("b").over(each))
+    kept = counted.withColumn("pointing", F.size(F.collect_set(F.when(near, F.col("plan_file"))).over(plan))).filter("often IS NOT NULL OR n = 0 AND b = top")
+    hub = (F.col("n") >= least_hub) | (F.col("n") / F.nullif("pointing", F.lit(0)) >= hub_share)
+    out = kept.select(
+        "plan_id", "plan_file", "file", F.coalesce("often", "b.frequency").alias("frequency"), F.when(near, confidence_level(F.col("often"))).otherwise(F.col("b.confidence")).alias("confidence"),
+        F.when(near, F.col("cross_stack")).otherwise(F.lit(False)).alias("cross_stack"), F.when(near, hub).otherwise(F.lit(False)).alias("hub"), "reason", F.when(near, "comod").otherwise("refgraph").alias("source"),
+    )
+    order = Window.partitionBy("plan_id").orderBy(F.when(F.col("confidence") == "high", 0).otherwise(1), F.desc("frequency"), "file", "plan_file")
+    return out.withColumn("place", F.row_number().over(order))
 
 
 def merged_gaps(confidences: DataFrame, blast: DataFrame, planned: DataFrame, acks: DataFrame, threshold: float, least_hub: int = 3, hub_share: float = 0.6) -> DataFrame:
@@ -36,23 +90,23 @@ def merged_gaps(confidences: DataFrame, blast: DataFrame, planned: DataFrame, ac
     Co-change partners of planned files at the threshold or more come first: those that the plan
     lacks and that are no tests, marked as hubs where ``least_hub`` planned files point to them
     or ``hub_share`` of those that point anywhere, and with the reason of acks(plan_id, file,
-    reason) by path, else by base name. Gaps of the graph follow only for files without one.
+    reason) by path, else by base name. Gaps of the graph, ``blast``, follow only for files without one.
     Places go by high confidence first, then by frequency.
     """
-    pairs = planned.select("plan_id", F.col("file").alias("file_a")).distinct().join(confidences.filter(F.col("confidence") >= threshold), "file_a")
-    found = pairs.select("plan_id", F.col("file_a").alias("plan_file"), F.col("file_b").alias("file"), F.col("confidence").alias("frequency")).filter(~is_test_file(F.col("file")))
-    found = found.join(planned.select("plan_id", "file").distinct(), ["plan_id", "file"], "left_anti")
-    pointing = found.groupBy("plan_id").agg(F.countDistinct("plan_file").alias("pointing"))
-    near = found.groupBy("plan_id", "file").agg(F.countDistinct("plan_file").alias("n")).join(pointing, "plan_id")
-    hubs = near.select("plan_id", "file", ((F.col("n") >= least_hub) | (F.col("n") / F.col("pointing") >= hub_share)).alias("hub"))
-    own = acks.filter("reason <> ''").groupBy("plan_id", F.col("file").alias("at")).agg(F.min("reason").alias("reason"))
-    told = found.join(hubs, ["plan_id", "file"]).withColumn("base", basename(F.col("file")))
-    told = told.join(own.select("plan_id", F.col("at").alias("file"), F.col("reason").alias("by_path")), ["plan_id", "file"], "left").join(own.select("plan_id", F.col("at").alias("base"), F.col("reason").alias("by_base")), ["plan_id", "base"], "left")
-    first = told.select("plan_id", "plan_file", "file", "frequency", confidence_level(F.col("frequency")).alias("confidence"), is_cross_stack(F.col("plan_file"), F.col("file")).alias("cross_stack"), "hub", F.coalesce("by_path", "by_base").alias("reason"), F.lit("comod").alias("source"))
-    rest = blast.join(found.select("plan_id", "file").distinct(), ["plan_id", "file"], "left_anti")
-    second = rest.select("plan_id", "plan_file", "file", "frequency", "confidence", F.lit(False).alias("cross_stack"), F.lit(False).alias("hub"), F.lit(None).cast("string").alias("reason"), F.lit("refgraph").alias("source"))
-    order = Window.partitionBy("plan_id").orderBy(F.when(F.col("confidence") == "high", 0).otherwise(1), F.desc("frequency"), "file", "plan_file")
-    return first.unionByName(second).withColumn("place", F.row_number().over(order))
+    near = _told(_met(_acknowledging(planned, acks), _comod_links(confidences, threshold)))
+    far = blast.select("plan_id", "plan_file", "file", F.struct("frequency", "callers", "plan_file", "confidence").alias("b"))
+    return _merged(near.unionByName(far, allowMissingColumns=True), least_hub, hub_share)
+
+
+def plan_gaps(confidences: DataFrame, links: DataFrame, planned: DataFrame, acks: DataFrame, threshold: float, least_hub: int = 3, hub_share: float = 0.6, tasks: int | None = None) -> DataFrame:
+    """``merged_gaps`` with those of the graph by ``blast_links``: plans meet both in one table, a row a pair of files.
+
+    ``tasks`` bounds the plans, and so the gaps, that one of them sorts.
+    """
+    both = _comod_links(confidences, threshold).join(links, ["plan_file", "file"], "full_outer")
+    b = F.struct("b.frequency", "b.callers", "plan_file", _level(F.col("b.frequency"), F.col("b.callers")).alias("confidence"))
+    met = _met(_acknowledging(planned, acks, tasks), written(both.withColumn("b", F.when(F.col("b").isNotNull(), b)), "gap-links"))
+    return _merged(_told(met), least_hub, hub_share)
 
 
 def hub_explosions(gaps: DataFrame, least: int = 5, named: int = 3) -> DataFrame:

@@ -6,13 +6,11 @@ from pyspark.sql import functions as F
 
 from rippleframe.operators import comod
 from rippleframe.plans.base import query
-from rippleframe.sources.views import table, view
+from rippleframe.sources.views import line_tasks, view
 
 PLANNED = ("Brand#11", "Brand#12", "Brand#13")
 _PLAN = ", ".join(f"'{p}'" for p in PLANNED)
 THRESHOLD = 0.16
-#: Lines of commits that one task gathers.
-LINES_A_TASK = 500_000
 _CONF = "n AS (SELECT file, count(*) AS alone FROM {commits} GROUP BY file), f AS (SELECT a.file AS file_a, b.file AS file_b, count(*) AS together, any_value(n.alone) AS alone, count(*) / any_value(n.alone) AS confidence FROM {commits} a JOIN {commits} b ON a.commit_id = b.commit_id AND a.file <> b.file JOIN n ON n.file = a.file GROUP BY 1, 2) "
 _GAPS = "SELECT file_b AS file, max(confidence) AS best, count(*) AS sources FROM f WHERE confidence >= 0.16 AND file_a IN (" + _PLAN + ") AND file_b NOT IN (" + _PLAN + ") GROUP BY file_b"
 _DIR_PLAN = "ECONOMY/Brand#2/blue_bolt.go", "SMALL/Brand#4/red_ring.go"
@@ -50,8 +48,7 @@ def newest_commits(spark, sf):
 
 @query("AND_VIEWS p AS (SELECT unnest(['ECONOMY/Brand#2', 'ECONOMY', 'SMALL/Brand#4', 'SMALL']) AS plan_dir), t AS (SELECT DISTINCT plan_dir, commit_id FROM p JOIN {commit_paths} c ON starts_with(c.file, plan_dir || '/')), n AS (SELECT plan_dir, count(*) AS touching FROM t GROUP BY 1 HAVING count(*) >= 3) SELECT t.plan_dir, c.file, count(*) AS together, any_value(touching) AS touching, count(*) / any_value(touching) AS frequency FROM t JOIN n ON n.plan_dir = t.plan_dir JOIN {commit_paths} c ON c.commit_id = t.commit_id WHERE NOT starts_with(c.file, t.plan_dir || '/') AND c.file NOT IN ('" + "', '".join(_DIR_PLAN) + "') GROUP BY 1, 2 HAVING frequency >= 0.003")
 def dir_comod(spark, sf):
-    tasks = table(spark, sf, "lineitem").count() // LINES_A_TASK + 1
-    return comod.dir_comod(view(spark, sf, "commit_lines"), spark.createDataFrame([(p,) for p in _DIR_PLAN], "file string"), 0.003, tasks=tasks)
+    return comod.dir_comod(view(spark, sf, "commit_lines"), spark.createDataFrame([(p,) for p in _DIR_PLAN], "file string"), 0.003, tasks=line_tasks(spark, sf, 500_000))
 
 
 @query("SELECT a.base AS base_a, b.base AS base_b, count(*) AS dirs FROM {manifest} a JOIN {manifest} b ON a.dir = b.dir AND a.base < b.base GROUP BY 1, 2 HAVING count(*) >= 5")

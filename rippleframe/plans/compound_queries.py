@@ -9,7 +9,7 @@ from rippleframe.plans.base import query
 from rippleframe.plans.history_queries import _EXACT
 from rippleframe.plans.rank_queries import _ADDED
 from rippleframe.sources.scratch import written
-from rippleframe.sources.views import view
+from rippleframe.sources.views import line_tasks, view
 
 _BETWEEN = "b AS (SELECT s.source_file AS from_file, t.source_file AS to_file, count(*) AS n FROM {refs} JOIN {defs} s ON s.id = from_def JOIN {defs} t ON t.id = to_def WHERE NOT s.is_test AND s.source_file <> t.source_file GROUP BY 1, 2), n AS (SELECT file, count(*) AS alone FROM {commits} GROUP BY file), f AS (SELECT a.file AS file_a, b.file AS file_b, count(*) / any_value(n.alone) AS confidence FROM {commits} a JOIN {commits} b ON a.commit_id = b.commit_id AND a.file <> b.file JOIN n ON n.file = a.file GROUP BY 1, 2 HAVING confidence >= 0.16) "
 _COMOD = " UNION ALL SELECT p.plan_id, file_b, 'comod', least(max(confidence), 0.8) FROM {planned} p JOIN f ON file_a = p.file GROUP BY 1, 2"
@@ -24,7 +24,7 @@ def _caller(name):
 def _suggested(spark, sf, split):
     links = compound.file_links(view(spark, sf, "refs"), view(spark, sf, "defs"), comod.confidence(view(spark, sf, "commits")), 0.16)
     # Written, so that their size is known before they are joined.
-    return compound.suggest_linked(view(spark, sf, "planned"), written(links, "file-links"), split)
+    return compound.suggest_linked(view(spark, sf, "planned"), written(links, "file-links"), split, tasks=line_tasks(spark, sf, 200_000))
 
 
 @query("AND_VIEWS " + _BETWEEN + ", s AS (" + _caller("graph-caller") + " UNION ALL SELECT p.plan_id, to_file, 'graph-callee', 0.3 FROM {planned} p JOIN b ON from_file = p.file GROUP BY 1, 2 HAVING sum(n) >= 3" + _COMOD + _TAIL)

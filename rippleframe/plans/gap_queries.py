@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rippleframe.operators import comod, gaps
 from rippleframe.plans.base import query
-from rippleframe.sources.views import table, view
+from rippleframe.sources.views import line_tasks, table, view
 
 _BLAST = "e AS (SELECT t.source_file AS plan_file, s.source_file AS file, s.is_test AS s_test, to_def FROM {refs} JOIN {defs} s ON s.id = from_def JOIN {defs} t ON t.id = to_def WHERE t.exported AND NOT t.is_test), tt AS (SELECT to_def, count(*) AS total FROM e GROUP BY 1), sh AS (SELECT plan_file, file, e.to_def, count(*) AS callers, count(*) / any_value(total) AS frequency FROM e JOIN tt ON tt.to_def = e.to_def WHERE NOT s_test GROUP BY 1, 2, 3), bg AS (SELECT plan_id, plan_file, file, callers, frequency, CASE WHEN frequency > 0.5 OR callers >= 5 THEN 'high' ELSE 'moderate' END AS confidence FROM (SELECT p.plan_id, sh.*, row_number() OVER (PARTITION BY p.plan_id, sh.file ORDER BY frequency DESC, callers DESC, plan_file DESC) AS r FROM {planned} p JOIN sh ON sh.plan_file = p.file WHERE frequency >= 0.1 AND NOT EXISTS (SELECT 1 FROM {planned} q WHERE q.plan_id = p.plan_id AND q.file = sh.file)) WHERE r = 1)"
 _GAPS = _BLAST + ", al AS (SELECT file, count(*) AS alone FROM {commits} GROUP BY 1), f AS (SELECT a.file AS file_a, b.file AS file_b, count(*) / any_value(alone) AS frequency FROM {commits} a JOIN {commits} b ON a.commit_id = b.commit_id AND a.file <> b.file JOIN al ON al.file = a.file GROUP BY 1, 2), cg AS (SELECT p.plan_id, p.file AS plan_file, file_b AS file, frequency FROM {planned} p JOIN f ON file_a = p.file WHERE frequency >= 0.16 AND NOT EXISTS (SELECT 1 FROM {planned} q WHERE q.plan_id = p.plan_id AND q.file = file_b)), po AS (SELECT plan_id, count(DISTINCT plan_file) AS pointing FROM cg GROUP BY 1), hb AS (SELECT cg.plan_id, file, count(DISTINCT plan_file) AS n, any_value(pointing) AS pointing FROM cg JOIN po ON po.plan_id = cg.plan_id GROUP BY 1, 2), ak AS (SELECT plan_id, min(file) AS file FROM {predicted_plans} GROUP BY 1), a AS (SELECT cg.*, CASE WHEN frequency > 0.75 THEN 'high' ELSE 'moderate' END AS confidence, false AS cross_stack, n >= 3 OR n / pointing >= 0.6 AS hub, CASE WHEN ak.file IS NOT NULL THEN 'known' END AS reason, 'comod' AS source FROM cg JOIN hb ON hb.plan_id = cg.plan_id AND hb.file = cg.file LEFT JOIN ak ON ak.plan_id = cg.plan_id AND ak.file = cg.file UNION ALL SELECT plan_id, plan_file, file, frequency, confidence, false, false, NULL, 'refgraph' FROM bg WHERE NOT EXISTS (SELECT 1 FROM cg WHERE cg.plan_id = bg.plan_id AND cg.file = bg.file)), g AS (SELECT *, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY CASE WHEN confidence = 'high' THEN 0 ELSE 1 END, frequency DESC, file, plan_file) AS INTEGER) AS place FROM a) "
@@ -16,9 +16,9 @@ _GAPS = _GAPS.replace("{predicted_plans}", "(SELECT task_id AS plan_id, file FRO
 def _gaps(spark, sf):
     """Every customer's plan; the least predicted brand is acknowledged."""
     planned, commits = view(spark, sf, "planned"), view(spark, sf, "commits")
-    blast = gaps.blast_gaps(view(spark, sf, "refs"), view(spark, sf, "defs"), planned)
+    links = gaps.blast_links(view(spark, sf, "refs"), view(spark, sf, "defs"))
     acks = view(spark, sf, "predicted").groupBy(F.col("task_id").alias("plan_id")).agg(F.min("file").alias("file")).withColumn("reason", F.lit("known"))
-    return gaps.merged_gaps(comod.confidence(commits), blast, planned, acks, 0.16)
+    return gaps.plan_gaps(comod.confidence(commits), links, planned, acks, 0.16, tasks=line_tasks(spark, sf, 200_000))
 
 
 @query("AND_VIEWS " + _BLAST + " SELECT * FROM bg")

@@ -4,7 +4,7 @@ import hashlib
 import math
 from collections import Counter, defaultdict
 
-from rippleframe.operators import comod, compound, forecast
+from rippleframe.operators import comod, compound, forecast, gaps
 from rippleframe.sources.scratch import written
 
 
@@ -98,3 +98,16 @@ def test_directories_meet_commits_where_these_are_gathered(spark):
     assert got == sorted(want) and got
     # Each line is dealt once; what is counted then is a row a directory, file and task.
     assert rows < len(data) + 9 * 4 * 25 + 200
+
+
+def test_gaps_are_merged_where_plans_lie(spark):
+    plans, refs, defs, commits = _project(spark, 300)
+    acks = spark.createDataFrame([(p, "f07.go", "known") for p in range(0, 300, 2)], "plan_id long, file string, reason string")
+    conf = written(comod.confidence(commits), "confidences")
+    columns = ("plan_id", "place", "plan_file", "file", "frequency", "confidence", "cross_stack", "hub", "reason", "source")
+    apart = gaps.merged_gaps(conf, gaps.blast_gaps(refs, defs, plans, 0.01), plans, acks, 0.6)
+    want = sorted(map(str, apart.select(*columns).collect()))
+    got, rows = shuffled(spark, lambda: gaps.plan_gaps(conf, gaps.blast_links(refs, defs, 0.01), plans, acks, 0.6, tasks=3).select(*columns).collect())
+    assert sorted(map(str, got)) == want and {r["source"] for r in got} == {"comod", "refgraph"} and "known" in {r["reason"] for r in got}
+    # Pairs of a plan's file with a gap are more; they were shuffled to be filtered, to find hubs and to be placed.
+    assert len(got) > 3000 and rows < 6000
