@@ -139,7 +139,7 @@ def union_of(*sets: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, (s.select("task_id", "file") for s in sets)).distinct()
 
 
-def gold_matches(gold: DataFrame, plans: DataFrame) -> DataFrame:
+def gold_matches(gold: DataFrame, plans: DataFrame, tasks: int | None = None) -> DataFrame:
     """gold(task_id, path), plans(task_id, path) -> task_id, path, matched, how: for each gold file the planned file it is met by, null without one.
 
     The whole path comes first, then one path that ends in the other, then a base name that one
@@ -147,25 +147,27 @@ def gold_matches(gold: DataFrame, plans: DataFrame) -> DataFrame:
     joins, so a task's files are not compared pair by pair. Slashes at either end do not count;
     a planned file may meet several gold files.
     """
-    clean = lambda df: df.select("task_id", F.trim(F.col("path"), F.lit("/")).alias("path")).distinct()
-    g, p = clean(gold), clean(plans)
+    side = lambda df, gold: df.select("task_id", F.trim(F.col("path"), F.lit("/")).alias("path"), F.lit(gold).alias("gold"))
+    # Both sides are dealt by task once and meet where they lie.
+    both = side(gold, True).unionByName(side(plans, False)).repartition(*([tasks] if tasks else []), "task_id").distinct()
     parts = F.split("path", "/")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))
-    cut = lambda df, c: df.withColumn("end", F.explode(ends)).select("task_id", F.col("path").alias(c), "end")
-    how = F.when(F.col("path") == F.col("matched"), 0).otherwise(1).alias("how")
-    longer = g.withColumn("end", F.col("path")).join(cut(p, "matched"), ["task_id", "end"]).select("task_id", "path", "matched", how)
-    shorter = cut(g, "path").join(p.select("task_id", F.col("path").alias("matched"), F.col("path").alias("end")), ["task_id", "end"]).select("task_id", "path", "matched", how)
-    base = F.regexp_replace("path", "^.*/", "").alias("base")
-    alone = p.select("task_id", "path", base).groupBy("task_id", "base").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("matched")).filter("n = 1")
-    named = g.select("task_id", "path", base).join(alone, ["task_id", "base"]).select("task_id", "path", "matched", F.lit(2).alias("how"))
-    best = longer.unionByName(shorter).unionByName(named).groupBy("task_id", "path").agg(F.min(F.struct("how", "matched")).alias("b"))
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.lit("end").alias("kind"), F.array_join(F.slice(parts, n, F.size(parts)), "/").alias("key")))
+    base = F.array(F.struct(F.lit("base").alias("kind"), F.regexp_replace("path", "^.*/", "").alias("key")))
+    keyed = both.select("task_id", "path", "gold", F.inline_outer(F.concat(ends, base)))
+    same, planned, whole = Window.partitionBy("task_id", "kind", "key"), ~F.col("gold") & F.col("task_id").isNotNull(), F.col("path") == F.col("key")
+    least = lambda when, how: F.min(F.when(planned & when, F.struct(how.alias("how"), F.col("path").alias("matched")))).over(same)
+    met = keyed.withColumns({"any": least(F.lit(True), F.when(whole, 0).otherwise(1)), "exact": F.max(planned & whole).over(same), "n": F.count_if(planned).over(same)}).filter("gold")
+    longer = F.when(whole, F.col("any"))
+    shorter = F.when(F.col("exact") & ~whole, F.struct(F.lit(1).alias("how"), F.col("key").alias("matched")))
+    named = F.when(F.col("n") == 1, F.struct(F.lit(2).alias("how"), F.col("any.matched").alias("matched")))
+    best = met.groupBy("task_id", "path").agg(F.min(F.when(F.col("kind") == "base", named).otherwise(F.coalesce(longer, shorter))).alias("b"))
     said = F.when(F.col("b.how") == 0, "exact").when(F.col("b.how") == 1, "suffix").when(F.col("b.how") == 2, "basename")
-    return g.join(best, ["task_id", "path"], "left").select("task_id", "path", F.col("b.matched").alias("matched"), said.alias("how"))
+    return best.select("task_id", "path", F.col("b.matched").alias("matched"), said.alias("how"))
 
 
-def gold_scores(gold: DataFrame, plans: DataFrame) -> DataFrame:
+def gold_scores(gold: DataFrame, plans: DataFrame, tasks: int | None = None) -> DataFrame:
     """task_id, gold, hits, recall, precision, f1 of ``gold_matches``, for tasks with gold files."""
-    found = gold_matches(gold, plans).groupBy("task_id").agg(F.count(F.lit(1)).alias("gold"), F.count("matched").alias("hits"))
+    found = gold_matches(gold, plans, tasks).groupBy("task_id").agg(F.count(F.lit(1)).alias("gold"), F.count("matched").alias("hits"))
     sizes = plans.select("task_id", F.trim(F.col("path"), F.lit("/")).alias("path")).distinct().groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
     both = found.join(sizes, "task_id", "left")
     share = lambda x: F.coalesce(F.col("hits") / F.nullif(x, F.lit(0)), F.lit(0.0))

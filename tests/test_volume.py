@@ -4,7 +4,7 @@ import hashlib
 import math
 from collections import Counter, defaultdict
 
-from rippleframe.operators import comod, compound, forecast, gaps
+from rippleframe.operators import comod, compound, evaluate, forecast, gaps
 from rippleframe.sources.scratch import written
 
 
@@ -111,3 +111,14 @@ def test_gaps_are_merged_where_plans_lie(spark):
     assert sorted(map(str, got)) == want and {r["source"] for r in got} == {"comod", "refgraph"} and "known" in {r["reason"] for r in got}
     # Pairs of a plan's file with a gap are more; they were shuffled to be filtered, to find hubs and to be placed.
     assert len(got) > 3000 and rows < 6000
+
+
+def test_gold_and_planned_files_are_dealt_once(spark):
+    schema = "task_id long, path string"
+    plans = spark.createDataFrame([(t, f"a/b{k}/c/x{k}.go") for t in range(50) for k in range(10)] + [(None, "q.go"), (1, None)], schema)
+    gold = spark.createDataFrame([(t, f"b{k}/c/x{k}.go") for t in range(50) for k in range(10)] + [(None, "q.go"), (1, None)], schema)
+    got, rows = shuffled(spark, lambda: evaluate.gold_matches(gold, plans).collect())
+    assert sum(r["how"] == "suffix" and r["matched"] == f"a/{r['path']}" for r in got) == 500
+    assert sorted((r["task_id"] or 0, r["path"] or "", r["matched"]) for r in got if r["how"] is None) == [(0, "q.go", None), (1, "", None)]
+    # Joined end by end, each file was shuffled several times.
+    assert rows == 1004
