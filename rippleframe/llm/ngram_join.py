@@ -5,7 +5,8 @@ Shingles are put in one order for all: rare ones first, by a count of ``BUCKETS`
 over all documents, then by hash. Two sets at the threshold share a shingle among the first
 few of that order, their prefixes. Classes with the same prefix and size are one group;
 only groups enter the join on prefix shingles, filtered by size and by the position of the
-shingle. Group pairs that are left are expanded to pairs of members where they meet, and a
+shingle. Prefix shingles that the same groups have are one bucket, with each group's first
+position among them, so a long passage in two texts costs as much as a short one. Group pairs that are left are expanded to pairs of members where they meet, and a
 parity sketch of at least twice as many bits as a set has shingles refutes pairs there
 without an error: sketches differ in no more bits than there are shingles in one set alone.
 Sets of up to ``WHOLE`` shingles, where a few bits decide, are carried whole and compared at
@@ -411,13 +412,26 @@ def _buckets(shared: DataFrame, members: DataFrame, percent: int, told: type) ->
     return ordered.mapInArrow(_compared(percent, told), told.schema)
 
 
+def _shared(groups: DataFrame) -> DataFrame:
+    """groups(gid, n, prefix) -> buckets of several groups: token, gid, n, pos, some.
+
+    A bucket is named by a hash over the groups that have a shingle. Names that collide
+    join their buckets, and the first position passes any filter that a later one does, so
+    no pair is lost. ``some`` marks the buckets with one of the shingles that rounds look at.
+    """
+    bucket = Window.partitionBy("shingle")
+    rows = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    named = rows.withColumns({"held": F.count(F.lit(1)).over(bucket), "token": F.bit_xor(F.xxhash64("gid")).over(bucket)}).filter("held > 1")
+    some = F.pmod(F.xxhash64("shingle"), F.lit(NEAREST_OF)) == 0
+    return named.groupBy("token", "gid").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.bool_or(some).alias("some"))
+
+
 def _nearest(shared: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Each class with the nearest in another component, and with the least that is clearly near, over a part of the shingles.
 
     What this part of the shingles misses is left to the round that takes all.
     """
-    some = shared.filter(F.pmod(F.xxhash64("token"), F.lit(NEAREST_OF)) == 0)
-    best = _buckets(some, members, percent, _Best).groupBy("a").agg(F.min(F.struct("apart", "near")).alias("best"), F.min("clear").alias("clear"))
+    best = _buckets(shared.filter("some"), members, percent, _Best).groupBy("a").agg(F.min(F.struct("apart", "near")).alias("best"), F.min("clear").alias("clear"))
     pairs = best.select("a", F.explode(F.array_compact(F.array("best.near", "clear"))).alias("b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -429,18 +443,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.cast("binary").alias("t"))
     levels = rarity(texts, words)
     prints = materialize(texts.mapInArrow(_printed(levels, words, percent), _PRINT), "ngram-prints")
+    rows = materialize(prints.select("doc_id", "n", "class"), "ngram-rows")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
     of_class = [F.min(place).alias("best"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("n", "group", "prefix", "sketch", "whole")]]
     classes = materialize(prints.filter("n > 0").groupBy("class").agg(*of_class).withColumn("gid", F.xxhash64("group")), "ngram-classes")
+    discard(prints)
+    plain = materialize(classes.select("class", "gid", "n", "th", "sketch", "whole", "best"), "ngram-plain")
     # Groups whose short names collide are compared as one, which adds pairs and loses none.
     groups = materialize(classes.groupBy("group").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "ngram-groups")
-    bucket = Window.partitionBy("token").orderBy("n", "gid")
-    rows = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    ends = {"before": F.lag("gid", 1).over(bucket), "after": F.lead("gid", 1).over(bucket)}
-    shared = materialize(rows.withColumns(ends).filter("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "ngram-shared")
-
-    plain = materialize(classes.select("class", "gid", "n", "th", "sketch", "whole", "best"), "ngram-plain")
     discard(classes)
+    shared = materialize(_shared(groups), "ngram-shared")
+    discard(groups)
     of = lambda r: plain.join(r.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class"))
     links, roots, moved = None, None, True
     members = materialize(plain.select("gid", "class", F.col("class").alias("comp"), "n", "sketch", "whole"), "ngram-members")
@@ -457,12 +470,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             roots = components(links, "ngram")
             members = materialize(of(roots).select("gid", "class", "comp", "n", "sketch", "whole"), "ngram-members")
     roots = roots if roots is not None else spark.createDataFrame([], "node binary, root binary")
-    discard(shared, groups, members)
+    discard(shared, members)
     placed = of(roots).select("class", "comp", "best")
     least = placed.groupBy("comp").agg(F.min("best.no_id").alias("no_id"), F.min("best.doc_id").alias("component"))
     named = materialize(placed.join(least, "comp").select("class", "component"), "ngram-named")
     discard(roots, plain)
-    out = prints.select("doc_id", "n", "class").join(named, "class", "left")
+    out = rows.join(named, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
