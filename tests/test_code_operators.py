@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,6 +230,33 @@ def test_grid_search_does_not_repeat_rows_for_a_weight(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
 
 
+def test_similar_history_lists_every_plan_with_every_outcome(spark):
+    sf = "/root/testdata/sf0.001"
+    from rippleframe.plans.registry import QUERIES
+
+    features = ("complexity", "density", "blast", "depth")
+    plans, outcomes = (rows(views.view(spark, sf, name), key, *features) for name, key in (("customer_plans", "plan_id"), ("outcomes", "id")))
+    named = lambda x: dict(zip(features, x[1:]))
+    want = sorted((p[0], o[0]) for p in plans for o in outcomes if like(named(p), named(o)))
+    assert rows(QUERIES["similar_history"](spark, sf).filter("kind = 'pair'"), "id", "class_id") == want
+
+
+def test_pairs_by_hands_are_the_similar_ones(spark, monkeypatch):
+    monkeypatch.setattr(forecast, "HAND", 32)
+    monkeypatch.setattr(forecast, "HAND_TASKS", 2)
+    r = random.Random(9)
+    plans, outcomes = history(r, 80, 12), history(r, 200, 12)
+    # Repeated rows, an outcome without an id, and a hundred of equal features.
+    plans += plans[:9]
+    outcomes += outcomes[:9] + [{**outcomes[0], "id": None}] + [{**outcomes[1], "id": 1000 + k} for k in range(100)]
+    p, h = spark.createDataFrame(plans, SCHEMA).withColumnRenamed("id", "plan_id"), spark.createDataFrame(outcomes, SCHEMA)
+    found = forecast.similar_pairs(p, h)
+    assert Counter(map(tuple, found.collect())) == Counter((a["id"], b["id"]) for a in plans for b in outcomes if like(a, b))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert forecast.similar_pairs(p.limit(0), h).count() == forecast.similar_pairs(p, h.limit(0)).count() == 0
+
+
 def test_gold_files_match_once_in_order(spark):
     plans = spark.createDataFrame([(1, "a/b/x.go"), (1, "b/x.go"), (1, "/c/y.go/"), (1, "d/z.go"), (1, "e/z.go"), (2, "q.go"), (4, "p.go")], "task_id long, path string")
     gold = spark.createDataFrame([(1, "b/x.go"), (1, "root/a/b/x.go"), (1, "y.go"), (1, "other/y.go"), (1, "z.go"), (1, "n/z.go"), (2, "w.go"), (3, "v.go")], "task_id long, path string")
